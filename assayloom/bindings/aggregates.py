@@ -230,7 +230,7 @@ def _weighted_mean_by_flag(spark, folder):
     return _round_all(rows, ["loss"])
 
 
-_FOLD_SQL = """lines AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_quantity AS x,
+_FOLD_SQL = """lines AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, l_quantity AS x,
     l_extendedprice AS y, l_quantity * 1500.0 AS p FROM lineitem),
 ranked AS (SELECT *, row_number() OVER (ORDER BY md5(k || '|42')) - 1 AS r,
                   count(*) OVER () AS n FROM lines),

@@ -67,5 +67,6 @@ def priced_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_key():
-    return F.concat_ws("-", F.col("l_orderkey").cast("string"),
-                       F.col("l_linenumber").cast("string"))
+    """Unique per order line; order and line number alone are not."""
+    parts = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in parts])

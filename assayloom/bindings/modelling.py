@@ -58,7 +58,7 @@ def _robust_scale(spark, folder):
 
 @query(
     "standardise_target",
-    """WITH t AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_extendedprice AS y FROM lineitem),
+    """WITH t AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, l_extendedprice AS y FROM lineitem),
        f AS (SELECT avg(y) AS m, stddev_pop(y) AS s FROM t WHERE md5(k || '|42') >= '33333333')
        SELECT k, round((y - m) / s, 4) + 0.0 AS z, round(y, 2) + 0.0 AS restored FROM t, f""",
 )
@@ -181,7 +181,7 @@ def _cross_validate(spark, folder):
 
 @query(
     "linear_batch_score",
-    """WITH t AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_quantity AS x, l_extendedprice AS y
+    """WITH t AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, l_quantity AS x, l_extendedprice AS y
                   FROM lineitem),
        f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t
              WHERE md5(k || '|42') >= '33333333')

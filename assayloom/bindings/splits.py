@@ -27,7 +27,7 @@ def _lines(spark, folder):
     return table(spark, folder, "lineitem").select(line_key().alias("k"))
 
 
-_KEYED_SQL = "keyed AS (SELECT l_orderkey || '-' || l_linenumber AS k FROM lineitem)"
+_KEYED_SQL = "keyed AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k FROM lineitem)"
 _RANKED_SQL = f"""{_KEYED_SQL}, ranked AS (SELECT k, row_number() OVER (ORDER BY md5(k || '|42')) AS r,
                                                   count(*) OVER () AS n FROM keyed)"""
 
@@ -136,7 +136,7 @@ def _undersample_bins(spark, folder):
 
 
 _QTY_SQL = """lim AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
-  b AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_quantity,
+  b AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, l_quantity,
           CAST(least(greatest(ceil((l_quantity - lo) / ((hi - lo) / 10)) - 1, 0), 9) AS INTEGER) AS bin
         FROM lineitem, lim),
   r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(k || '|42')) AS rn,
@@ -178,8 +178,8 @@ def _split_check(spark, folder):
 
 @query(
     "conditional_resample",
-    """SELECT l_orderkey || '-' || l_linenumber AS k,
-              CASE WHEN md5((l_orderkey || '-' || l_linenumber) || '|42') < '33333333'
+    """SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k,
+              CASE WHEN md5((l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey) || '|42') < '33333333'
                    THEN 'test' ELSE 'train' END AS split FROM lineitem""",
 )
 def _conditional_resample(spark, folder):
@@ -189,7 +189,7 @@ def _conditional_resample(spark, folder):
     return kept.select("k", "split")
 
 
-_SKEWED_SQL = """s AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_quantity,
+_SKEWED_SQL = """s AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k, l_quantity,
                       CASE WHEN l_quantity <= 10 THEN 'test' ELSE 'train' END AS split FROM lineitem),
   lim AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM s WHERE split = 'train'),
   b AS (SELECT k, CAST(least(greatest(ceil((l_quantity - lo) / ((hi - lo) / 10)) - 1, 0), 9) AS INTEGER)

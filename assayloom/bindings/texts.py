@@ -22,7 +22,7 @@ from assayloom.operators.featurise import (
 )
 from assayloom.operators.lookup import pattern_cross
 from assayloom.operators.stats import feature_summary
-from assayloom.session import fresh_path
+from assayloom.session import fresh_path, spread_rows
 from assayloom.sources.stores import clear_features, featurise_with_store, upsert_features
 
 # Patterns that suit the documents; Java and RE2 read them alike.
@@ -35,10 +35,10 @@ TEXT_PATTERNS = (
     Pattern("HasPipe", r"\|"),
 )
 TARGET_PATTERNS = (
-    ("en_article", r"\bthe\b"),
-    ("fr_article", r"\bles?\b"),
-    ("de_article", r"\bd(er|ie|as)\b"),
-    ("es_article", r"\bel\b"),
+    ("en_article", "(^| )the "),
+    ("fr_article", "(^| )les? "),
+    ("de_article", "(^| )d(er|ie|as) "),
+    ("es_article", "(^| )el "),
     ("capital_pair", "[A-Z][a-z]+ [A-Z]"),
     ("number", "[0-9]+[.,][0-9]+"),
     ("broken", None),
@@ -80,6 +80,10 @@ prints AS (SELECT doc_id, count(*) AS n_bits, string_agg(CAST(b AS VARCHAR), ','
            FROM bits GROUP BY doc_id)"""
 
 
+def _documents(spark, folder):
+    return spread_rows(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
+
+
 def _sql_list(items) -> str:
     return "[" + ", ".join(
         "NULL" if k is None else "'" + k.replace("'", "''") + "'" for k in items
@@ -98,7 +102,7 @@ _KEYS_SQL = f"""dict AS (
         SELECT doc_id, {", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in DESCRIPTORS)} FROM descr""",
 )
 def _text_descriptors(spark, folder):
-    rows = text_descriptors(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    rows = text_descriptors(_documents(spark, folder).drop("lang"), "text")
     return rows.select("doc_id", *[rounded(F.col(n)).alias(n) for n in DESCRIPTORS])
 
 
@@ -109,7 +113,7 @@ def _text_descriptors(spark, folder):
         FROM documents d LEFT JOIN prints p ON p.doc_id = d.doc_id""",
 )
 def _hashed_fingerprint(spark, folder):
-    rows = hashed_fingerprint(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    rows = hashed_fingerprint(_documents(spark, folder).drop("lang"), "text")
     return rows.select(
         "doc_id", F.size("bits").cast("bigint").alias("n_bits"),
         F.array_join(F.col("bits").cast("array<string>"), ",").alias("bits"),
@@ -121,7 +125,7 @@ def _hashed_fingerprint(spark, folder):
     f"""WITH {_KEYS_SQL} SELECT doc_id, array_to_string(keys, '') AS keys FROM dict""",
 )
 def _dictionary_keys(spark, folder):
-    rows = dictionary_keys(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    rows = dictionary_keys(_documents(spark, folder).drop("lang"), "text")
     return rows.select("doc_id", F.array_join(F.col("keys").cast("array<string>"), "").alias("keys"))
 
 
@@ -136,7 +140,7 @@ _COUNTS = [p for p in TEXT_PATTERNS if p.count]
     ) + " FROM documents",
 )
 def _pattern_flag(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = _documents(spark, folder).drop("lang")
     return pattern_columns(rows, "text", _FLAGS).drop("text")
 
 
@@ -147,7 +151,7 @@ def _pattern_flag(spark, folder):
     ) + " FROM documents",
 )
 def _pattern_count(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = _documents(spark, folder).drop("lang")
     return pattern_columns(rows, "text", _COUNTS).drop("text")
 
 
@@ -161,7 +165,7 @@ def _flag_sql(regex):
     + " FROM documents",
 )
 def _target_pattern_flags(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = _documents(spark, folder).drop("lang")
     patterns = [Pattern(n, r) for n, r in TARGET_PATTERNS]
     return pattern_columns(rows, "text", patterns).drop("text")
 
@@ -222,7 +226,7 @@ def _vector_digest(rows):
 
 @query("assemble_features", _ASSEMBLED_SQL)
 def _assemble_features(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = _documents(spark, folder).drop("lang")
     return _vector_digest(assemble_features(rows, "text", DOCUMENT_FEATURES))
 
 
@@ -230,7 +234,7 @@ def _assemble_features(spark, folder):
 def _feature_store_lookup(spark, folder):
     """Half of the store is filled first, so the run sees hits and misses."""
     path = fresh_path(spark, "features")
-    rows = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    rows = _documents(spark, folder)
     upsert_features(rows.where("lang = 'en'"), "text", path, DOCUMENT_FEATURES)
     found = featurise_with_store(rows, "text", "doc_id", path, DOCUMENT_FEATURES)
     return _vector_digest(found)

@@ -1,12 +1,13 @@
 """Text column expressions: cleaning, tokens, hashed and dictionary bits, patterns.
 
-Arrays that a lambda reads from outside (tokens, set bits) must be real columns, not inlined
-expressions, or Spark evaluates them once per element; callers use ``withColumn`` first.
+An expression used several times is bound with ``let``. Spark writes projections out into each
+other when it moves filters, and an array expression inside a lambda would then be computed
+again for every element; a bound value is computed once wherever the expression ends up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ TOKEN_BREAK = r"[ \t\n\r\f]+"
 LINE_BREAK = r"\r\n|\n|\r"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
@@ -43,31 +49,41 @@ def tokens(text: Column) -> Column:
 
 def ngrams(toks: Column, n: int) -> Column:
     """Runs of n neighbouring tokens joined by one space."""
-    starts = F.slice(toks, F.lit(1), F.greatest(F.size(toks) - (n - 1), F.lit(0)))
-    if n == 1:
-        return starts
-    return F.transform(
-        starts, lambda t, i: F.concat_ws(" ", t, *[F.get(toks, i + k) for k in range(1, n)])
-    )
+    grams = toks
+    for k in range(2, n + 1):
+        left = F.greatest(F.size(toks) - (k - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, F.lit(1), left),
+            F.slice(toks, F.lit(k), left),
+            lambda g, t: F.concat_ws(" ", g, t),
+        )
+    return grams
 
 
 def hashed_bits(toks: Column, radius: int = 2, width: int = HASH_BITS) -> Column:
     """Sorted positions of the bits set by all 1..(radius+1)-grams."""
-    grams = F.array_distinct(F.concat(*[ngrams(toks, n) for n in range(1, radius + 2)]))
     digits = 3 if width <= 4096 else 7
-    bits = F.transform(
-        grams,
-        lambda g: (F.conv(F.substring(F.md5(g), 1, digits), 16, 10).cast("int") % width),
-    )
-    return F.array_sort(F.array_distinct(bits))
+
+    def bit(gram: Column) -> Column:
+        return F.conv(F.substring(F.md5(gram), 1, digits), 16, 10).cast("int") % width
+
+    def bits(t: Column) -> Column:
+        grams = F.concat(*[ngrams(t, n) for n in range(1, radius + 2)])
+        return F.array_sort(F.array_distinct(F.transform(grams, bit)))
+
+    return let(toks, bits)
 
 
 def dictionary_bits(text: Column, keys: Sequence[str | None]) -> Column:
     """0/1 per dictionary entry; a ``None`` entry is a reserved position that stays 0."""
-    return F.transform(
-        F.array(*[F.lit(k).cast("string") for k in keys]),
-        lambda k: F.coalesce(F.contains(text, k), F.lit(False)).cast("int"),
-    )
+    if not keys:
+        return F.array().cast("array<int>")
+    def bit(t: Column, key: str | None) -> Column:
+        if key is None:
+            return F.lit(0)
+        return F.coalesce(F.contains(t, F.lit(key)), F.lit(False)).cast("int")
+
+    return let(text, lambda t: F.array(*[bit(t, k) for k in keys]))
 
 
 def pattern_flag(text: Column, pattern: str | None) -> Column:
@@ -86,17 +102,16 @@ def pattern_count(text: Column, pattern: str | None) -> Column:
 def dense_bits(bits: Column, width: int) -> Column:
     """0/1 float array of the given width from sorted set positions, in linear time."""
     zero, one = F.lit(0.0).cast("float"), F.lit(1.0).cast("float")
-    runs = F.transform(
-        bits,
-        lambda b, i: F.concat(
-            F.array_repeat(
-                zero, b - F.when(i == 0, F.lit(-1)).otherwise(F.get(bits, i - 1)) - 1
-            ),
-            F.array(one),
-        ),
-    )
-    last = F.coalesce(F.array_max(bits), F.lit(-1))
-    return F.flatten(F.concat(runs, F.array(F.array_repeat(zero, F.lit(width - 1) - last))))
+
+    def spread(b: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.lit(-1)), b), F.lit(1), F.size(b))
+        runs = F.zip_with(
+            b, before, lambda x, prev: F.concat(F.array_repeat(zero, x - prev - 1), F.array(one))
+        )
+        last = F.coalesce(F.array_max(b), F.lit(-1))
+        return F.flatten(F.concat(runs, F.array(F.array_repeat(zero, F.lit(width - 1) - last))))
+
+    return let(bits, spread)
 
 
 def bits_from_string(bit_string: Column) -> Column:
@@ -109,5 +124,13 @@ def select_indices(vector: Column, indices: Sequence[int] | None) -> Column:
     """The entries at the given positions, in that order; ``None`` keeps all."""
     if indices is None:
         return vector
-    wanted = F.array(*[F.lit(int(i)) for i in indices]).cast("array<int>")
-    return F.transform(wanted, lambda i: F.get(vector, i))
+    indices = [int(i) for i in indices]
+    if not indices:
+        return F.slice(vector, 1, 0)
+    if any(a >= b for a, b in zip(indices, indices[1:])):
+        return F.array(*[F.get(vector, F.lit(i)) for i in indices])
+    # Ascending positions: mark the wanted entries and filter by the mark.
+    wanted = set(indices)
+    marks = F.array(*[F.lit(i in wanted) for i in range(indices[-1] + 1)])
+    marked = F.zip_with(vector, marks, lambda x, m: F.struct(x.alias("x"), m.alias("m")))
+    return F.transform(F.filter(marked, lambda s: s["m"]), lambda s: s["x"])

@@ -20,10 +20,12 @@ from assayloom.functions.text import (
     dense_bits,
     dictionary_bits,
     hashed_bits,
+    let,
     pattern_count,
     pattern_flag,
     tokens,
 )
+from assayloom.operators.curate import not_blank
 from assayloom.settings import DICTIONARY_BITS, HASH_BITS, HASH_RADIUS
 
 Descriptor = Callable[[Column, Column], Column]  # (text, tokens) -> number
@@ -180,40 +182,40 @@ def feature_names(spark: SparkSession, features: FeatureSet) -> DataFrame:
     return spark.range(1).select(F.posexplode(names).alias("pos", "name"))
 
 
-def with_tokens(df: DataFrame, text: str, lower: bool = True) -> DataFrame:
-    """Adds ``_text`` (cleaned case) and ``_tokens`` as real columns for later lambdas."""
-    source = F.lower(F.col(text)) if lower else F.col(text)
-    return df.withColumn("_text", source).withColumn("_tokens", tokens(F.col("_text")))
+def _descriptor_array(text: Column, descriptors: dict[str, Descriptor]) -> Column:
+    """All descriptors as one double array over a single tokenisation."""
+    return let(
+        tokens(text),
+        lambda toks: F.array(*[
+            finite_or_zero(default_on_error(f(text, toks).cast("double")))
+            for f in descriptors.values()
+        ]).cast("array<double>"),
+    )
 
 
 def text_descriptors(
     df: DataFrame, text: str, descriptors: dict[str, Descriptor] | None = None
 ) -> DataFrame:
     """Adds the named descriptors as double columns; failures and non-finite values are 0."""
-    made = with_tokens(df, text, lower=False)
-    columns = {
-        name: finite_or_zero(default_on_error(f(F.col(text), F.col("_tokens")).cast("double")))
-        for name, f in (descriptors or DESCRIPTORS).items()
-    }
-    return made.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
+    descriptors = descriptors or DESCRIPTORS
+    made = df.withColumn("_desc", _descriptor_array(F.col(text), descriptors))
+    return made.select(
+        *df.columns, *[F.get("_desc", F.lit(i)).alias(n) for i, n in enumerate(descriptors)]
+    )
 
 
 def hashed_fingerprint(
     df: DataFrame, text: str, radius: int = HASH_RADIUS, width: int = HASH_BITS, out: str = "bits"
 ) -> DataFrame:
     """Adds the sorted set positions of the hashed 1..(radius+1)-grams."""
-    made = with_tokens(df, text).withColumn(out, hashed_bits(F.col("_tokens"), radius, width))
-    return made.select(*df.columns, out)
+    return df.withColumn(out, hashed_bits(tokens(F.lower(F.col(text))), radius, width))
 
 
 def dictionary_keys(
     df: DataFrame, text: str, keys: Sequence[str | None] | None = None, out: str = "keys"
 ) -> DataFrame:
     """Adds 0/1 per dictionary entry, looked up in the lower-cased text."""
-    made = df.withColumn("_text", F.lower(F.col(text)))
-    return made.withColumn(
-        out, dictionary_bits(F.col("_text"), keys or default_dictionary())
-    ).drop("_text")
+    return df.withColumn(out, dictionary_bits(F.lower(F.col(text)), keys or default_dictionary()))
 
 
 def pattern_columns(df: DataFrame, text: str, patterns: Sequence[Pattern]) -> DataFrame:
@@ -221,22 +223,27 @@ def pattern_columns(df: DataFrame, text: str, patterns: Sequence[Pattern]) -> Da
 
 
 def sparse_features(df: DataFrame, text: str, features: FeatureSet) -> DataFrame:
-    """Adds the four feature groups before assembly: _desc, _bits, _keys, _pats."""
-    cased = df.withColumn("_toks_raw", tokens(F.col(text)))
-    desc = F.array(*[
-        finite_or_zero(default_on_error(f(F.col(text), F.col("_toks_raw")).cast("double")))
-        for f in features.descriptors.values()
-    ])
-    made = (
-        cased.withColumn("_desc", desc)
-        .drop("_toks_raw")
-        .withColumn("_text", F.lower(F.col(text)) if features.lower else F.col(text))
-        .withColumn("_tokens", tokens(F.col("_text")))
-        .withColumn("_bits", hashed_bits(F.col("_tokens"), features.radius, features.hash_bits))
-        .withColumn("_keys", dictionary_bits(F.col("_text"), features.dictionary))
-        .withColumn("_pats", F.array(*[p.column(F.col(text)) for p in features.patterns]))
-    )
-    return made.drop("_text", "_tokens")
+    """Adds the feature groups unassembled: descriptors, set bits, dictionary, patterns."""
+    source = F.lower(F.col(text)) if features.lower else F.col(text)
+    return df.withColumns({
+        "descriptors": _descriptor_array(F.col(text), features.descriptors),
+        "bits": hashed_bits(tokens(source), features.radius, features.hash_bits),
+        "keys": dictionary_bits(source, features.dictionary),
+        "patterns": F.array(*[p.column(F.col(text)) for p in features.patterns]).cast("array<int>"),
+    })
+
+
+def vector_column(text: Column, features: FeatureSet) -> Column:
+    """The dense float vector in registry order."""
+    source = F.lower(text) if features.lower else text
+    groups = [
+        _descriptor_array(text, features.descriptors),
+        dense_bits(hashed_bits(tokens(source), features.radius, features.hash_bits),
+                   features.hash_bits),
+        dictionary_bits(source, features.dictionary),
+        F.array(*[p.column(text) for p in features.patterns]),
+    ]
+    return F.concat(*[g.cast("array<float>") for g in groups])
 
 
 def assemble_features(
@@ -247,16 +254,8 @@ def assemble_features(
     valid: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Adds the dense float vector in registry order; an invalid text gives null."""
-    features = features or FeatureSet()
-    made = sparse_features(df, text, features)
-    vector = F.concat(
-        F.col("_desc").cast("array<float>"),
-        dense_bits(F.col("_bits"), features.hash_bits),
-        F.col("_keys").cast("array<float>"),
-        F.col("_pats").cast("array<float>"),
-    )
-    check = valid(F.col(text)) if valid is not None else (F.trim(text) != "")
-    return made.withColumn(out, F.when(check, vector)).drop("_desc", "_bits", "_keys", "_pats")
+    check = (valid or not_blank)(F.col(text))
+    return df.withColumn(out, F.when(check, vector_column(F.col(text), features or FeatureSet())))
 
 
 def descriptor_unpivot(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayloom.functions.text import content_key
+from assayloom.operators.curate import not_blank
 from assayloom.operators.featurise import FeatureSet, assemble_features
 from assayloom.operators.lookup import cached_lookup, uncached_keys
 
@@ -116,7 +117,8 @@ def upsert_features(
     spark = df.sparkSession
     features = features or FeatureSet()
     missing = uncached_keys(df, text, read_features(spark, path), version=features.version)
-    made = assemble_features(missing, text, features).where(F.col("features").isNotNull())
+    # Checked on the text: a filter on the vector would compute every vector twice.
+    made = assemble_features(missing.where(not_blank(F.col(text))), text, features)
     (
         made.select("key", "features", F.substring("key", 1, 1).alias("shard"))
         .repartition(F.col("shard"), F.substring("key", 2, 1))
