@@ -95,8 +95,9 @@ def running_totals(
     limits = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.5 / ranges)
     inner = sorted({float(x) for x in limits if abs(x) != float("inf")})
     splits = [float("-inf"), *inner, float("inf")]
+    # Adding 0.0 turns -0.0 into 0.0: equal values must fall into one range.
     ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(
-        df.withColumn("_v", F.col(value).cast("double"))
+        df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0))
     )
     # The merge by (range, value) combines on the map side: a value held by a third of all
     # rows reaches the shuffle as one row per task.
