@@ -26,23 +26,20 @@ def batch_score(
     The fitted stages cannot take null vectors, so a null is replaced by zeros of the fitted
     width for the pass through the model and its prediction is removed again: one pass, no union.
     """
-    missing = F.col(features).isNull()
+    source = trained.pipeline.stages[0].getInputCol()
     width = len(trained.metadata.get("full_feature_names") or []) or None
     if width is None:
         first = df.where(F.col(features).isNotNull()).select(F.size(features)).first()
         width = first[0] if first else trained.metadata["input_dim"]
     element = df.schema[features].dataType.simpleString()
     filler = F.array_repeat(F.lit(0.0), width).cast(element)
-    ready = df.withColumn("_failed", missing).withColumn(
-        features, F.coalesce(F.col(features), filler)
+    ready = df.select(F.struct("*").alias("_row")).withColumn(
+        source, F.coalesce(F.col(f"_row.{features}"), filler)
     )
     scored = trained.pipeline.transform(ready)
     restored = trained.y_scale.restored(F.col(RAW_PREDICTION))
-    predicted = F.when(~F.col("_failed") & ~F.isnan(restored), restored)
-    made = scored.select(
-        *[c if c != features else F.when(~F.col("_failed"), F.col(c)).alias(c) for c in df.columns],
-        predicted.alias(out),
-    )
+    usable = F.col(f"_row.{features}").isNotNull() & ~F.isnan(restored)
+    made = scored.select("_row.*", F.when(usable, restored).alias(out))
     return made.withColumn("status", score_status(F.col(out))).withColumn(
         "confidence", confidence_struct(F.col(out))
     )
