@@ -27,7 +27,7 @@ from assayloom.plans.training import (
     run_report,
     train_regressor,
 )
-from assayloom.session import fresh_path
+from assayloom.session import constant_table, fresh_path
 from assayloom.sources.models import save_model
 from assayloom.sources.output import save_json
 
@@ -90,9 +90,12 @@ def _correlation_prune(spark, folder):
     train = _split_vectors(spark, folder).where("split = 'train'")
     fitted = CorrelationPrune.fit(train, "embedding", NAMES, threshold=0.1)
     kept = set(fitted.kept)
-    return spark.createDataFrame(
-        [(i, n, i in kept) for i, n in enumerate(fitted.names)], "pos bigint, name string, kept boolean"
-    )
+    positions = range(len(fitted.names))
+    return constant_table(spark, {
+        "pos": ("bigint", list(positions)),
+        "name": ("string", list(fitted.names)),
+        "kept": ("boolean", [i in kept for i in positions]),
+    })
 
 
 @query(

@@ -13,30 +13,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.functions.text import content_key
+from assayloom.functions.text import content_key, pattern_flag
+from assayloom.session import constant_table
 from assayloom.settings import LINEAR_COEFFICIENTS, REFERENCE_ENTITIES, TARGETS
 
 HOT_SHARE = 0.005  # at most 1 / HOT_SHARE = 200 keys can be hot
 PIECES = 32
 
 
+def _fixed(spark: SparkSession, rows: list[tuple], names: str, numbers: bool = False) -> DataFrame:
+    columns = names.split()
+    types = ["string", *(["double" if numbers else "string"] * (len(columns) - 1))]
+    return constant_table(
+        spark, {n: (t, [r[i] for r in rows]) for i, (n, t) in enumerate(zip(columns, types))}
+    )
+
+
 def target_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TARGETS, "target_id string, name string, description string")
+    return _fixed(spark, TARGETS, "target_id name description")
 
 
 def reference_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        REFERENCE_ENTITIES, "target_id string, name string, key_text string"
-    )
+    return _fixed(spark, REFERENCE_ENTITIES, "target_id name key_text")
 
 
 def coefficient_table(spark: SparkSession) -> DataFrame:
     """Per-target coefficients; the row with a null target is the fallback."""
-    return spark.createDataFrame(
-        LINEAR_COEFFICIENTS,
-        "target string, logp double, donors double, acceptors double, tpsa double, "
-        "weight double, bias double",
-    )
+    names = "target logp donors acceptors tpsa weight bias"
+    return _fixed(spark, LINEAR_COEFFICIENTS, names, numbers=True)
 
 
 def dim_join_default(
@@ -206,8 +210,6 @@ def pattern_cross(
 
     The catalogue sits in the projection, so this is a row expansion without any join.
     """
-    from assayloom.functions.text import pattern_flag
-
     return df.select(
         *keep,
         F.inline(

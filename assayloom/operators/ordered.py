@@ -86,7 +86,8 @@ def running_totals(
     descending: bool = False,
     ranges: int = 1024,
 ) -> DataFrame:
-    """One row per distinct value: own sums (``name``) and running sums (``cum_name``).
+    """One row per distinct value: own sums (``name``), running sums (``cum_name``) and
+    overall sums (``all_name``).
 
     Range limits come from one approximate quantile pass and are then fixed numbers, so the
     range of a value never changes between retries. Null and NaN values are left out.
@@ -114,9 +115,13 @@ def running_totals(
     offsets = totals.select(
         "_range",
         *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *[F.sum(f"_all_{n}").over(Window.partitionBy()).alias(f"all_{n}") for n in sums],
     )
     return local.join(F.broadcast(offsets), "_range").select(
-        value, *sums, *[(F.col(f"_run_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in sums]
+        value,
+        *sums,
+        *[(F.col(f"_run_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in sums],
+        *[f"all_{n}" for n in sums],
     )
 
 
@@ -139,19 +144,12 @@ def roc_curve(
         descending=True,
         ranges=ranges,
     )
-    totals = (
-        data.where(F.col(score).isNotNull())
-        .agg(F.struct(
-            F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("q")
-        ))
-        .scalar()
-    )
     points = curve.select(
         F.col(score).cast("double").alias("threshold"),
         F.col("cum_pos").alias("tp"),
         F.col("cum_neg").alias("fp"),
-        F.try_divide(F.col("cum_pos"), totals.getField("p")).alias("tpr"),
-        F.try_divide(F.col("cum_neg"), totals.getField("q")).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
+        F.try_divide(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
     )
     if with_origin:
         origin = df.sparkSession.range(1).select(
@@ -199,18 +197,10 @@ def ecdf(df: DataFrame, value: str, group: str, groups: tuple, ranges: int = 102
         },
         ranges=ranges,
     )
-    totals = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .agg(F.struct(
-            F.count_if(F.col(group) == first).alias("a"),
-            F.count_if(F.col(group) == second).alias("b"),
-        ))
-        .scalar()
-    )
     return curve.select(
         value,
-        F.try_divide(F.col("cum_a"), totals.getField("a")).alias("cdf_a"),
-        F.try_divide(F.col("cum_b"), totals.getField("b")).alias("cdf_b"),
+        F.try_divide(F.col("cum_a"), F.col("all_a")).alias("cdf_a"),
+        F.try_divide(F.col("cum_b"), F.col("all_b")).alias("cdf_b"),
         F.col("a").alias("n_a"),
         F.col("b").alias("n_b"),
     )

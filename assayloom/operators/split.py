@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.text import row_hash
+from assayloom.functions.text import let, row_hash
 from assayloom.operators.ordered import hash_thresholds, ks_two_sample, threshold_list
 from assayloom.settings import (
     RANDOM_SEED,
@@ -128,14 +128,9 @@ def kfold(df: DataFrame, key: str, k: int = 3, seed: int = RANDOM_SEED) -> DataF
     size, extra = F.floor(F.col("n") / k), F.col("n") % k
     cuts = [size * (i + 1) + F.least(F.lit(i + 1), extra) for i in range(k - 1)]
     limits = threshold_list(df.select(h.alias("_h")), "_h", cuts)
+    fold = let(h, lambda v: F.size(F.filter(F.col("_limits"), lambda t: t < v)))
     return (
-        df.withColumn("_h", h)
-        .withColumn("_limits", limits)
-        .withColumn(
-            "fold",
-            F.size(F.filter("_limits", lambda t: t < F.col("_h"))).cast("int"),
-        )
-        .drop("_h", "_limits")
+        df.withColumn("_limits", limits).withColumn("fold", fold.cast("int")).drop("_limits")
     )
 
 

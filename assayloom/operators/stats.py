@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import r2
+from assayloom.session import constant_table
 
 
 def dataset_summary(
@@ -164,9 +165,8 @@ def correlation_pairs(df: DataFrame, features: str) -> DataFrame:
     vectors = df.select(array_to_vector(F.col(features).cast("array<double>")).alias("v"))
     matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
     d = matrix.shape[0]
-    spark = df.sparkSession
-    rows = spark.createDataFrame(
-        [(i, matrix[i].tolist()) for i in range(d)], "i int, r array<double>"
+    rows = constant_table(
+        df.sparkSession, {"i": ("int", list(range(d))), "r": ("array<double>", matrix.tolist())}
     )
     r = F.col("r")
     return (

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -19,6 +20,7 @@ from assayloom.operators.report import top_k
 from assayloom.operators.scale import StandardScale
 from assayloom.operators.stats import best_trial, split_metrics
 from assayloom.plans.stages import PruneCorrelated, ScaleRobust, as_array
+from assayloom.session import constant_table
 from assayloom.settings import CORRELATION_THRESHOLD, RANDOM_SEED
 
 Y_SCALED, RAW_PREDICTION, PREDICTION = "_y_scaled", "_y_predicted", "predicted"
@@ -89,29 +91,31 @@ def train_regressor(
     Gradient-boosted trees stop early on the ``val`` rows if there are any.
     """
     settings = {**PRESETS[kind][preset], **(params or {})}
-    train = df.where(F.col(split_col) == "train").where(
-        F.col(features).isNotNull() & F.col(label).isNotNull()
-    )
-    y_scale = StandardScale.fit(train, label)
-    prepared = Pipeline(stages=feature_pipeline(features, names, threshold)).fit(train)
     regressor = make_regressor(kind, settings)
-    fit_rows = train
-    if kind == "gbt":
-        fit_rows = df.where(F.col(split_col).isin("train", "val")).where(
-            F.col(features).isNotNull() & F.col(label).isNotNull()
-        ).withColumn("_is_val", F.col(split_col) == "val")
-        if fit_rows.where("_is_val").isEmpty():
-            fit_rows = train
-        else:
-            regressor.setValidationIndicatorCol("_is_val")
-    fit_rows = prepared.transform(fit_rows).withColumn(Y_SCALED, y_scale.scaled(F.col(label)))
-    # The fit passes over the data several times; keep the prepared vectors, spilling to disk.
-    fit_rows = fit_rows.select("scaled", Y_SCALED, *(
-        ["_is_val"] if "_is_val" in fit_rows.columns else [])).persist()
+    # Every fit below passes over these rows: keep the three narrow columns (spilling to disk)
+    # instead of recomputing the features and the split for each pass.
+    rows = (
+        df.where(F.col(split_col).isin("train", "val"))
+        .where(F.col(label).isNotNull())
+        .select((F.col(split_col) == "val").alias("_is_val"), features, F.col(label).alias("_y"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
-        model = regressor.fit(fit_rows)
+        usable = rows.where(F.col(features).isNotNull())
+        train = usable.where(~F.col("_is_val"))
+        y_scale = StandardScale.fit(train, "_y")
+        prepared = Pipeline(stages=feature_pipeline(features, names, threshold)).fit(train)
+        fit_rows = train
+        if kind == "gbt" and not usable.where("_is_val").isEmpty():
+            regressor.setValidationIndicatorCol("_is_val")
+            fit_rows = usable
+        model = regressor.fit(
+            prepared.transform(fit_rows).select(
+                "scaled", "_is_val", y_scale.scaled(F.col("_y")).alias(Y_SCALED)
+            )
+        )
     finally:
-        fit_rows.unpersist()
+        rows.unpersist()
     pipeline = PipelineModel(stages=[*prepared.stages, model])
     full = list(names or [])
     removed = prepared.stages[0].getOrDefault("removed") if threshold is not None else []
@@ -149,8 +153,10 @@ def feature_importance(
         featuresCol="v", labelCol="y", numTrees=trees, maxDepth=max_depth, seed=seed
     ).fit(rows)
     weights = forest.featureImportances.toArray().tolist()
-    table = df.sparkSession.createDataFrame(
-        list(zip(names, weights, strict=True)), "name string, importance double"
+    if len(names) != len(weights):
+        raise ValueError(f"{len(names)} names for {len(weights)} features")
+    table = constant_table(
+        df.sparkSession, {"name": ("string", list(names)), "importance": ("double", weights)}
     )
     return top_k(table, "importance", "name", k)
 
@@ -291,9 +297,8 @@ def param_search(
             scores = list(pool.map(run, trials))
     finally:
         ready.unpersist()
-    table = spark.createDataFrame(
-        [(t["trial"], float(s)) for t, s in zip(trials, scores, strict=True)],
-        "trial long, score double",
+    table = constant_table(
+        spark, {"trial": ("bigint", [t["trial"] for t in trials]), "score": ("double", scores)}
     )
     best = best_trial(table, "trial", "score", maximise).first()
     params = {k: v for k, v in trials[best["best_params"]].items() if k != "trial"}

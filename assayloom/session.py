@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -49,6 +50,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def constant_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
+    """A small table given as name -> (Spark type, values).
+
+    Arrow data becomes a local relation inside the plan: no Python workers, known size.
+    """
+    types = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(),
+             "bigint": pa.int64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    return spark.createDataFrame(
+        pa.table({n: pa.array(v, types[t]) for n, (t, v) in columns.items()})
+    )
+
+
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
     """For heavy work per row over few input splits: hash the rows over all cores.
 
