@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from assayloom.functions.numeric import ks_p_value
 
 PREFIX_DIGITS = 4  # 65,536 histogram cells
+ROWS_PER_RANGE = 1_000_000
+MIN_RANGES, MAX_RANGES = 64, 100_000
 
 
 def hash_thresholds(
@@ -84,15 +86,18 @@ def running_totals(
     value: str,
     sums: dict[str, Column],
     descending: bool = False,
-    ranges: int = 1024,
+    ranges: int | None = None,
 ) -> DataFrame:
     """One row per distinct value: own sums (``name``), running sums (``cum_name``) and
     overall sums (``all_name``).
 
     Range limits come from one approximate quantile pass and are then fixed numbers, so the
-    range of a value never changes between retries. Null and NaN values are left out.
+    range of a value never changes between retries. The number of ranges grows with the rows,
+    about a million to a range. Null and NaN values are left out.
     """
     df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if ranges is None:
+        ranges = min(MAX_RANGES, max(MIN_RANGES, df.count() // ROWS_PER_RANGE))
     limits = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.5 / ranges)
     inner = sorted({float(x) for x in limits if abs(x) != float("inf")})
     splits = [float("-inf"), *inner, float("inf")]
@@ -126,7 +131,7 @@ def running_totals(
 
 
 def roc_curve(
-    df: DataFrame, score: str, truth: str, with_origin: bool = False, ranges: int = 1024
+    df: DataFrame, score: str, truth: str, with_origin: bool = False, ranges: int | None = None
 ) -> DataFrame:
     """Threshold, tp, fp, tpr, fpr by descending score; tied scores share one point.
 
@@ -163,7 +168,7 @@ def roc_curve(
     return points
 
 
-def auc(df: DataFrame, score: str, truth: str, ranges: int = 1024) -> DataFrame:
+def auc(df: DataFrame, score: str, truth: str, ranges: int | None = None) -> DataFrame:
     """Area under the ROC curve by the trapezoid rule, ties included; null for one class."""
     curve = running_totals(
         df.where(F.col(truth).isNotNull()),
@@ -185,7 +190,7 @@ def auc(df: DataFrame, score: str, truth: str, ranges: int = 1024) -> DataFrame:
     )
 
 
-def ecdf(df: DataFrame, value: str, group: str, groups: tuple, ranges: int = 1024) -> DataFrame:
+def ecdf(df: DataFrame, value: str, group: str, groups: tuple, ranges: int | None = None) -> DataFrame:
     """Empirical distribution functions of two groups at every distinct value of either."""
     first, second = groups
     curve = running_totals(
@@ -207,7 +212,7 @@ def ecdf(df: DataFrame, value: str, group: str, groups: tuple, ranges: int = 102
 
 
 def ks_two_sample(
-    df: DataFrame, value: str, group: str, groups: tuple, ranges: int = 1024
+    df: DataFrame, value: str, group: str, groups: tuple, ranges: int | None = None
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value; one row."""
     stats = ecdf(df, value, group, groups, ranges).agg(

@@ -176,6 +176,23 @@ def correlation_pairs(df: DataFrame, features: str) -> DataFrame:
     )
 
 
+def _cell(value: Column, edges: Column, brackets: int, cells: int) -> Column:
+    """Number of the cell a value falls in; grows with the value.
+
+    Each bracket [edges[2k], edges[2k + 1]] is cut into equal cells; the stretch below a bracket is
+    one cell, so is everything above the last. Without edges there is a single cell.
+    """
+    out = None
+    for k in range(brackets):
+        lo, hi = F.get(edges, F.lit(2 * k)), F.get(edges, F.lit(2 * k + 1))
+        inside = F.floor(F.coalesce(F.try_divide(value - lo, hi - lo), F.lit(0.0)) * (cells - 1))
+        base = F.lit(k * (cells + 1)).cast("bigint")
+        out = F.when(value < lo, base) if out is None else out.when(value < lo, base)
+        out = out.when(value <= hi, base + 1 + inside)
+    out = out.otherwise(F.lit(brackets * (cells + 1)).cast("bigint"))
+    return F.when(edges.isNull(), F.lit(0).cast("bigint")).otherwise(out)
+
+
 def quantile_fit(
     df: DataFrame,
     value: str,
@@ -183,67 +200,67 @@ def quantile_fit(
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     accuracy: int = 2000,
     exact_below: int = 20000,
+    cells: int = 4096,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (by..., n, quantiles array).
 
-    ``by`` has few distinct values (feature positions, splits). Exact percentiles of a large
-    group must not sit in one task's memory, so a sketch first brackets each quantile; then
-    values outside all brackets are counted under the nearest bracket edge and only the values
-    inside brackets stay apart. That leaves about 6 / accuracy of the group per quantile, and
-    equal values are merged on the map side. Groups of up to ``exact_below`` rows are not
-    bracketed. A bracket that misses its quantile raises an error.
+    ``by`` has few distinct values (feature positions, splits). An exact percentile would hold
+    a whole group in one task. Instead a sketch brackets each quantile, a histogram with many
+    cells inside the brackets tells which cell holds each wanted rank, and only the values of
+    those cells are ranked, equal values merged first. The sketch decides where cells are
+    narrow, never the result. Groups of up to ``exact_below`` rows are one cell.
     """
-    by = list(by)
-    probs = sorted(probs)
+    by, probs = list(by), sorted(probs)
     margin = 3.0 / accuracy
     edges = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, value)
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
+        *by, F.col(value).cast("double").alias("_v")
+    )
     sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx(value, edges, accuracy).alias("_edges"),
+        F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
+    ).withColumn("_e", F.when(F.col("_n") > exact_below, F.col("_e")))
+    # One sketch row per group: bounded by the number of positions or splits.
+    placed = rows.join(F.broadcast(sketch), by).select(
+        *by, "_n", "_v", _cell(F.col("_v"), F.col("_e"), len(probs), cells).alias("_cell")
     )
-    sketch = sketch.withColumn(
-        "_edges", F.when(F.col("_n") > exact_below, F.col("_edges"))
+    # At most a few thousand cells per group and quantile.
+    histogram = placed.groupBy(*by, "_n", "_cell").agg(F.count("*").alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_cell"))
+    wanted = [
+        F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), edge(F.lit(p) * (F.col("_n") - 1)).alias("rank"))
+        for k, p in enumerate(probs) for side, edge in (("lo", F.floor), ("hi", F.ceil))
+    ]
+    held = (
+        histogram.withColumn("_before", upto - F.col("_in"))
+        .select(*by, "_n", "_cell", "_before", "_in", F.inline(F.array(*wanted)))
+        .where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in")))
+        .groupBy(*by, "_n", "_cell")
+        .agg(F.collect_list(F.struct(
+            "k", "side", (F.col("rank") - F.col("_before")).alias("rank"))).alias("_wanted"))
     )
-    v = F.col(value)
-    clipped = None
-    for k in range(len(probs)):
-        lo, hi = F.get("_edges", F.lit(2 * k)), F.get("_edges", F.lit(2 * k + 1))
-        below = F.lit(None) if k == 0 else F.get("_edges", F.lit(2 * k - 1))
-        clipped = (
-            F.when(v < lo, below) if clipped is None else clipped.when(v < lo, below)
-        ).when(v <= hi, v)
-    clipped = clipped.otherwise(F.get("_edges", F.lit(len(edges) - 1)))
-    clipped = F.when(F.col("_edges").isNull(), v).otherwise(clipped)
-    # One sketch row per group: bounded by the number of positions or splits.
+    # At most two cells per group and quantile.
     merged = (
-        rows.join(F.broadcast(sketch), by)
-        .groupBy(*by, "_n", clipped.alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        placed.drop("_n").join(F.broadcast(held), [*by, "_cell"])
+        .groupBy(*by, "_n", "_cell", "_v")
+        .agg(F.count("*").alias("_c"), F.first("_wanted").alias("_wanted"))
+    )
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_v"))
+    picked = (
+        merged.withColumn("_upto", upto)
+        .select(*by, "_n", "_v", "_upto", "_c", F.inline("_wanted"))
+        .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c")))
+        .groupBy(*by, "_n")
+        .agg(*[
+            F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("_v"))).alias(f"_{side}{k}")
+            for k in range(len(probs)) for side in ("lo", "hi")
+        ])
     )
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()))
-    merged = merged.withColumn("_upto", upto)
     rank = [F.lit(p) * (F.col("_n") - 1) for p in probs]
-    picked = merged.groupBy(*by, "_n").agg(*[
-        F.min(F.when(F.col("_upto") > edge(r), F.struct(F.col("_upto"), F.col("_v")))).alias(
-            f"_{side}{k}"
-        )
-        for k, r in enumerate(rank)
-        for side, edge in (("lo", F.floor), ("hi", F.ceil))
-    ])
-
-    def value_at(side: str, k: int) -> Column:
-        found = F.col(f"_{side}{k}._v")
-        return F.when(found.isNull(), F.raise_error(F.lit("quantile outside its bracket"))).otherwise(
-            found
-        )
-
     return picked.select(
         *by,
         F.col("_n").alias("n"),
         F.array(*[
-            value_at("lo", k)
-            + (value_at("hi", k) - value_at("lo", k)) * (r - F.floor(r))
+            F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (r - F.floor(r))
             for k, r in enumerate(rank)
         ]).alias("quantiles"),
     )

@@ -111,17 +111,17 @@ def upsert_features(
     """Computes and appends what the store lacks for the texts of ``df``; returns the store.
 
     Stored keys are never recomputed. One writer at a time. Texts that are invalid have no
-    vector and are not stored. Files are sharded by the first hex digit of the key, and the
-    shuffle by shard and a second digit keeps file counts low without a hot task.
+    vector and are not stored. The new texts, not their longer vectors, are spread by a key
+    prefix; each task then writes at most one file per shard (first hex digit of the key).
     """
     spark = df.sparkSession
     features = features or FeatureSet()
     missing = uncached_keys(df, text, read_features(spark, path), version=features.version)
     # Checked on the text: a filter on the vector would compute every vector twice.
-    made = assemble_features(missing.where(not_blank(F.col(text))), text, features)
+    valid = missing.where(not_blank(F.col(text))).repartition(F.substring("key", 1, 4))
+    made = assemble_features(valid, text, features)
     (
         made.select("key", "features", F.substring("key", 1, 1).alias("shard"))
-        .repartition(F.col("shard"), F.substring("key", 2, 1))
         .write.mode("append")
         .partitionBy("shard")
         .parquet(path)
