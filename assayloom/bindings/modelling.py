@@ -8,6 +8,7 @@ from assayloom.bindings import query, table
 from assayloom.bindings.aggregates import _EMB_SQL, _FOLD_SQL, _folded_lines
 from assayloom.bindings.common import line_key
 from assayloom.functions.numeric import rounded
+from assayloom.operators.featurise import FeatureSet
 from assayloom.operators.report import score_status
 from assayloom.operators.scale import (
     CorrelationPrune,
@@ -19,6 +20,7 @@ from assayloom.operators.scale import (
 )
 from assayloom.operators.split import holdout_hash, kfold_hash, three_way_split
 from assayloom.operators.stats import correlation_pairs, grouped_linear_fit, linear_cross_validate
+from assayloom.plans.runs import train_target
 from assayloom.plans.scoring import batch_score, score_with_saved
 from assayloom.plans.training import (
     cross_validate,
@@ -27,7 +29,8 @@ from assayloom.plans.training import (
     run_report,
     train_regressor,
 )
-from assayloom.session import constant_table, fresh_path
+from assayloom.session import constant_table, fresh_path, spread_rows
+from assayloom.sources.activity import as_activities
 from assayloom.sources.models import save_model
 from assayloom.sources.output import save_json
 
@@ -219,7 +222,7 @@ def _line_vectors(spark, folder):
             "features"
         ),
     )
-    return three_way_split(rows, "k")
+    return three_way_split(spread_rows(rows, "k"), "k")
 
 
 _LINE_NAMES = ["quantity", "discount", "tax", "line"]
@@ -278,3 +281,15 @@ def _run_report(spark, folder):
     path = fresh_path(spark, "report")
     save_json(report, path)
     return spark.read.schema(report.schema).json(path)
+
+
+@query("train_target")
+def _train_target(spark, folder):
+    """documents as activities: target = language, key = text, value = number of characters."""
+    activities = as_activities(
+        table(spark, folder, "documents"), F.col("lang"), F.col("doc_id"), F.col("text"),
+        F.col("n_chars"),
+    )
+    features = FeatureSet(hash_bits=32, dictionary=(None, *"aeiou"), label="short")
+    _, report = train_target(spark, activities, "en", fresh_path(spark, "run"), features)
+    return report

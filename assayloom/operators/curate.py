@@ -81,7 +81,7 @@ def keep_valid(df: DataFrame, valid: Column | Callable[[Column], Column], key: s
 
 def not_blank(text: Column) -> Column:
     """Default validity of a key text: it holds something besides white space."""
-    return F.trim(text) != ""
+    return text.rlike(r"[^ \t\n\r\f]")
 
 
 def curate(

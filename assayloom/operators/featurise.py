@@ -126,6 +126,7 @@ class FeatureSet:
     patterns: tuple[Pattern, ...] = PATTERNS
     lower: bool = True
     label: str = "base"
+    udfs: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     @classmethod
     def wide(cls) -> FeatureSet:
@@ -140,6 +141,15 @@ class FeatureSet:
             raise ValueError(f"feature {name} is already registered")
         return replace(self, descriptors={**self.descriptors, name: descriptor})
 
+    def with_udf(self, name: str, function: Callable[[Column], Column]) -> FeatureSet:
+        """A set with one more number per text from a user's (pandas) UDF, after the descriptors.
+
+        Give the set a new ``label`` when the code behind a name changes.
+        """
+        if name in self.descriptors or name in self.udfs:
+            raise ValueError(f"feature {name} is already registered")
+        return replace(self, udfs={**self.udfs, name: function})
+
     def with_pattern(self, pattern: Pattern) -> FeatureSet:
         return replace(self, patterns=(*self.patterns, pattern))
 
@@ -147,6 +157,7 @@ class FeatureSet:
     def names(self) -> list[str]:
         return [
             *self.descriptors,
+            *self.udfs,
             *[f"ECFP4_{i}" for i in range(self.hash_bits)],
             *[f"MACCS_{i}" for i in range(len(self.dictionary))],
             *[p.name for p in self.patterns],
@@ -154,11 +165,11 @@ class FeatureSet:
 
     @property
     def width(self) -> int:
-        return len(self.descriptors) + self.hash_bits + len(self.dictionary) + len(self.patterns)
+        return len(self.names)
 
     @property
     def version(self) -> str:
-        parts = [self.label, *self.descriptors, self.hash_bits, self.radius, self.dictionary,
+        parts = [self.label, *self.descriptors, *self.udfs, self.hash_bits, self.radius, self.dictionary,
                  [(p.name, p.regex, p.count) for p in self.patterns], self.lower]
         return hashlib.md5(repr(parts).encode()).hexdigest()[:8]
 
@@ -174,7 +185,7 @@ def feature_names(spark: SparkSession, features: FeatureSet) -> DataFrame:
         )
 
     names = F.concat(
-        F.array(*[F.lit(n) for n in features.descriptors]).cast("array<string>"),
+        F.array(*[F.lit(n) for n in [*features.descriptors, *features.udfs]]).cast("array<string>"),
         numbered("ECFP4", features.hash_bits),
         numbered("MACCS", len(features.dictionary)),
         F.array(*[F.lit(p.name) for p in features.patterns]).cast("array<string>"),
@@ -238,6 +249,10 @@ def vector_column(text: Column, features: FeatureSet) -> Column:
     source = F.lower(text) if features.lower else text
     groups = [
         _descriptor_array(text, features.descriptors),
+        # Python UDFs cannot run inside a lambda, so they stand on their own.
+        F.array(*[
+            finite_or_zero(default_on_error(f(text).cast("double"))) for f in features.udfs.values()
+        ]),
         dense_bits(hashed_bits(tokens(source), features.radius, features.hash_bits),
                    features.hash_bits),
         dictionary_bits(source, features.dictionary),

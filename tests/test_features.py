@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from assayloom.functions.text import bits_from_string, dense_bits, select_indices
@@ -74,6 +75,17 @@ def test_registry_extension_changes_layout_and_version(spark):
     assert r.features[more.names.index("HasTwo")] == 1 and r.features[-1] == 0
 
 
+def test_pandas_udf_feature(spark):
+    @F.pandas_udf("double")
+    def half_length(s: pd.Series) -> pd.Series:
+        return s.str.len() / 2
+
+    fs = FeatureSet(hash_bits=8, dictionary=(None, "o"), patterns=()).with_udf("half", half_length)
+    assert fs.names[11] == "half" and fs.width == 22
+    got = {r.id: r.features for r in assemble_features(texts(spark), "t", fs).collect()}
+    assert got[6][11] == 1.5 and got[4] is None and len(got[2]) == 22
+
+
 def test_store_hit_equals_recompute(spark, folder):
     fs = FeatureSet(hash_bits=64, dictionary=(None, "o"))
     rows = texts(spark)

@@ -173,3 +173,34 @@ def test_shared_folder_is_kept(spark):
     folder = shared_folder(spark)
     assert folder == shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert cut_lineage(spark.range(5)).count() == 5
+
+
+def test_end_to_end_run(spark, folder):
+    """Activity rows to saved model, report and reference scores; a second run reuses stores."""
+    from assayloom.plans.runs import reference_scores, train_target
+    from assayloom.sources.activity import as_activities
+    from assayloom.sources.stores import read_features
+
+    base = spark.range(260).select(
+        "id", F.concat(F.repeat(F.lit("CO "), (F.col("id") % 12 + 1).cast("int")), F.lit("x"),
+                       F.col("id").cast("string")).alias("t"))
+    raw = as_activities(
+        base, F.lit("CHEMBL238"), F.col("id"), F.col("t"), F.pow(F.lit(10.0), F.col("id") % 12 % 5)
+    ).withColumn("family", (F.col("entity_id") % 7).cast("string"))
+    small = FeatureSet(hash_bits=16, dictionary=(None, "o"))
+    trained, report = train_target(spark, raw, "CHEMBL238", f"{folder}/run", small)
+    r = report.first()
+    assert r.target_name == "DAT" and set(r.metrics) == {"train", "val", "test"}
+    assert sum(m.n for m in r.metrics.values()) == 260 and r.metrics["test"].n == 52
+    assert r.n_features == len(r.feature_names) == trained.metadata["input_dim"]
+    assert read_features(spark, f"{folder}/run/features").count() == 260
+    saved = load_model(spark, f"{folder}/run/models/DAT_CHEMBL238")
+    assert saved.metadata["feature_set"] == small.version
+    ids = spark.createDataFrame([("CHEMBL238",)], "target_id string")
+    known = reference_scores(trained, ids, small).collect()
+    assert len(known) == 3 and all(k.status == "success" for k in known)
+    _, report = train_target(
+        spark, raw, "CHEMBL238", f"{folder}/grouped", small, split_method="group", group="family",
+        n_trials=2, resample=True,
+    )
+    assert report.first().searched and report.first().n_trials == 2
