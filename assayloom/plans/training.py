@@ -175,19 +175,25 @@ def cross_validate(
 
     r2 does not change when the label is shifted and scaled, so the label stays in its own units.
     """
-    folds = df.agg(F.max(fold_col)).first()[0] + 1
-    regressor = make_regressor(kind, params or PRESETS[kind]["base"]).setLabelCol(label)
-    validator = CrossValidator(
-        estimator=Pipeline(stages=[*feature_pipeline(features, threshold=threshold), regressor]),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=RegressionEvaluator(
-            labelCol=label, predictionCol=RAW_PREDICTION, metricName="r2"
-        ),
-        numFolds=folds,
-        foldCol=fold_col,
-        parallelism=parallelism,
-    )
-    return float(validator.fit(df).avgMetrics[0])
+    # Each fold fits scalers and a model, so the narrow rows are kept (spilling to disk).
+    rows = df.select(features, label, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        folds = rows.agg(F.max(fold_col)).first()[0] + 1
+        regressor = make_regressor(kind, params or PRESETS[kind]["base"]).setLabelCol(label)
+        stages = [*feature_pipeline(features, threshold=threshold), regressor]
+        validator = CrossValidator(
+            estimator=Pipeline(stages=stages),
+            estimatorParamMaps=ParamGridBuilder().build(),
+            evaluator=RegressionEvaluator(
+                labelCol=label, predictionCol=RAW_PREDICTION, metricName="r2"
+            ),
+            numFolds=folds,
+            foldCol=fold_col,
+            parallelism=parallelism,
+        )
+        return float(validator.fit(rows).avgMetrics[0])
+    finally:
+        rows.unpersist()
 
 
 # --- parameter search -------------------------------------------------------------
