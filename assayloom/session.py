@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# Application id -> folder, for local sessions without a shared folder of their own.
+_LOCAL_FOLDERS: dict[str, str] = {}
+# Paths handed out by fresh_path, per application id; clean_up removes them.
+_HANDED_OUT: dict[str, list[str]] = {}
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -40,14 +46,43 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses.
+
+    Results may still read it lazily, so it stays until ``clean_up`` or the end of the session.
+    """
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    handed = _HANDED_OUT.setdefault(spark.sparkContext.applicationId, [])
+    if not handed:
+        atexit.register(clean_up, spark)
+    handed.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Removes every path that ``fresh_path`` gave this application; the number removed."""
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return 0
+    handed = _HANDED_OUT.get(spark.sparkContext.applicationId, [])
+    conf, removed = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while handed:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(handed.pop())
+        removed += path.getFileSystem(conf).delete(path, True)
+    return removed
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back: cuts the lineage,
+    survives lost executors, and gives every later reader the same rows."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def constant_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) -> DataFrame:
