@@ -126,10 +126,10 @@ def suspects(narrow: DataFrame, n_rows: int) -> DataFrame:
     # An owner sees about a million fingerprints, and there are as many owners as that takes.
     owners = max(work_parts(narrow.sparkSession), -(-n_rows // (1 << 20)))
     messages = narrow.select("part", "fingerprint").groupBy("part").applyInArrow(
-        _sender(owners), "owner int, part bigint, n int, width int, unary binary, low binary"
+        _sender(owners), "owner bigint, part bigint, n bigint, width bigint, unary binary, low binary"
     )
     replies = messages.groupBy("owner").applyInArrow(
-        _answer, "part bigint, owner int, bits binary"
+        _answer, "part bigint, owner bigint, bits binary"
     )
     return narrow.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(
         _receiver(owners),
