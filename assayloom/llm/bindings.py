@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm import exact_dedup
+from assayloom.llm import exact_dedup, simhash
 from assayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,8 @@ def op7_exact_dedup(spark, folder):
     return exact_dedup.duplicate_groups(table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@query("op3_simhash")
+def op3_simhash(spark, folder):
+    return simhash.near_duplicate_classes(table(spark, folder, "documents"))
