@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Deleted, or cut at, by the text rules: code points 0x20 and 0x09 to 0x0D.
@@ -35,3 +35,20 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def work_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """At most ``per_label`` rows of each label, chosen by a hash of doc_id.
+
+    ``rows`` is narrow (ids and labels). Counts per label give a hash limit that leaves about
+    twice the rows wanted, so that the ranking works on a few rows whatever the table's size.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("_count"))
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = (
+        rows.withColumn("_order", order).join(counts, label)
+        .where(F.col("_order") < F.lit(2.0 * per_label + 50) / F.col("_count"))
+    )
+    first = Window.partitionBy(label).orderBy("_order", "doc_id")
+    ranked = few.withColumn("_rank", F.row_number().over(first))
+    return ranked.where(F.col("_rank") <= per_label).select(rows.columns)
