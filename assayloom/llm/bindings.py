@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm import exact_dedup, simhash
+from assayloom.llm import exact_dedup, language, quality, simhash
 from assayloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,16 @@ def op7_exact_dedup(spark, folder):
 @query("op3_simhash")
 def op3_simhash(spark, folder):
     return simhash.near_duplicate_classes(table(spark, folder, "documents"))
+
+
+@query("op8_language")
+def op8_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    return language.predict_language(docs, language.train_language_model(docs))
+
+
+@query("op9_quality")
+def op9_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = quality.train_rule_model(docs, table(spark, folder, "labels"))
+    return quality.score_quality(docs, model)
