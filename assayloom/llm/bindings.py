@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm import exact_dedup, language, quality, simhash
-from assayloom.llm.common import table
+from assayloom.llm import exact_dedup, language, packing, quality, simhash
+from assayloom.llm.common import table, word_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op9_quality(spark, folder):
     docs = table(spark, folder, "documents")
     model = quality.train_rule_model(docs, table(spark, folder, "labels"))
     return quality.score_quality(docs, model)
+
+
+@query("op4_packing")
+def op4_packing(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"), word_vocabulary())

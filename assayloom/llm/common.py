@@ -52,3 +52,10 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
     first = Window.partitionBy(label).orderBy("_order", "doc_id")
     ranked = few.withColumn("_rank", F.row_number().over(first))
     return ranked.where(F.col("_rank") <= per_label).select(rows.columns)
+
+
+def word_vocabulary() -> str:
+    """Path of the public word vocabulary, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
