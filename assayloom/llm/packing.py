@@ -35,9 +35,9 @@ from assayloom.session import stored
 CAPACITY = 4096
 END_ID = 1
 #: Lengths above this share of the capacity are large.
-LARGE_SHARE = 0.125
-#: Groups of the large lengths.
-GROUPS = 48
+LARGE_SHARE = 0.25
+#: Numbers of groups of the large lengths that are tried; the plan with fewest sequences counts.
+GROUPS = (48, 128, 256)
 #: Rows of a bucket in which one task ranks pieces.
 BUCKET_ROWS = 1 << 17
 
@@ -234,16 +234,23 @@ def best_fit(runs: list[Run], small: dict[int, int], capacity: int) -> list[Run]
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     """Runs of sequences that hold ``counts[length]`` pieces of each length."""
-    runs = [Run(((capacity, 1),), counts[capacity], 0)] if counts.get(capacity) else []
+    full = [Run(((capacity, 1),), counts[capacity], 0)] if counts.get(capacity) else []
     limit = max(1, int(capacity * LARGE_SHARE))
     large = {k: v for k, v in counts.items() if limit < k < capacity and v}
     small = {k: v for k, v in counts.items() if k <= limit and v}
-    if large:
-        groups = grouped_sizes(large, GROUPS)
-        sizes = [size for size, _ in groups]
+    if not large:
+        return best_fit(full, small, capacity)
+    least = -(-sum(k * v for k, v in counts.items()) // capacity)
+    plans = []
+    for n in GROUPS:
+        groups = grouped_sizes(large, n)
         demand = [sum(c for _, c in own) for _, own in groups]
-        runs += substituted(configurations(sizes, demand, capacity), groups, capacity)
-    return best_fit(runs, small, capacity)
+        chosen = configurations([size for size, _ in groups], demand, capacity)
+        runs = best_fit(full + substituted(chosen, groups, capacity), small, capacity)
+        plans.append((sum(run.times for run in runs), len(plans), runs))
+        if plans[-1][0] == least or len(groups) < n:  # no plan is better, or more groups the same
+            break
+    return min(plans)[2]
 
 
 def placements(runs: list[Run]) -> dict[int, np.ndarray]:
