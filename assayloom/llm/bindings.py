@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from assayloom.llm import exact_dedup, language, packing, quality, simhash
 from assayloom.llm.common import table, word_vocabulary
 
@@ -51,3 +52,8 @@ def op9_quality(spark, folder):
 @query("op4_packing")
 def op4_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), word_vocabulary())
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

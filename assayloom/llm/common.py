@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Deleted, or cut at, by the text rules: code points 0x20 and 0x09 to 0x0D.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -59,3 +60,17 @@ def word_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def with_rows(docs: DataFrame, function, added: str) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``) and what ``function`` adds from the text.
+
+    ``function`` maps Arrow batches and passes on every column but ``text``.
+    """
+    schema = T.StructType([
+        T.StructField("row", docs.select(F.struct("*").alias("row")).schema["row"].dataType),
+        *T.StructType.fromDDL(added).fields,
+    ])
+    return docs.select(
+        F.struct("*").alias("row"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(function, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import held_out, labelled_sample, slices
+from assayloom.llm.common import held_out, labelled_sample, slices, with_rows
 
 #: Hash cells of the n-gram counts.
 CELLS = 4096
@@ -25,6 +25,8 @@ CELLS = 4096
 TRAIN_PER_LANGUAGE = 400
 #: Steepness that turns margins into shares.
 SHARPNESS = 4.0
+#: Texts whose language is less certain than this are rejected where a language is required.
+LEAST_SCORE = 0.5
 # The family of each language code. Codes not listed are families of their own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -184,3 +186,14 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return rows.mapInArrow(
         _predictor(model), "doc_id bigint, held_out boolean, lang_pred string, score double"
     )
+
+
+def keep_known(
+    docs: DataFrame, model: LanguageModel | None, least: float = LEAST_SCORE
+) -> DataFrame:
+    """The rows of ``docs`` in one learned language, all columns as they are.
+
+    Texts without letters and texts whose best language scores below ``least`` go.
+    """
+    found = with_rows(docs, _predictor(model), "lang_pred string, score double")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

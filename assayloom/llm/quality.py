@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import as_bytes, held_out, labelled_sample, slices
+from assayloom.llm.common import as_bytes, held_out, labelled_sample, slices, with_rows
 
 #: Training rows of each label at most; chosen by a hash of doc_id over all labelled rows.
 TRAIN_PER_LABEL = 3000
@@ -80,13 +80,15 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+_MEASURED = ", ".join(f"{s} double" for s in STATISTICS)
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and the statistics of the whole text of every row."""
-    schema = "doc_id bigint, held_out boolean, " + ", ".join(f"{s} double" for s in STATISTICS)
     return docs.select(
         F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").cast("string"),
-    ).mapInArrow(_measure, schema)
+    ).mapInArrow(_measure, "doc_id bigint, held_out boolean, " + _MEASURED)
 
 
 #: A condition: statistic, True for "at most" and False for "above", limit.
@@ -220,3 +222,8 @@ def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOL
     return scored.select(
         "doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, all columns as they are."""
+    return with_rows(docs, _measure, _MEASURED).where(model.score() >= threshold).select("row.*")

@@ -244,3 +244,15 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     return rows.join(named, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component, all columns as they are.
+
+    Rows that share a doc_id (a null one too) are one document and stay or go together.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = near_duplicate_classes(docs).where(same).select(
+        F.col("doc_id").alias("_kept")
+    ).distinct()
+    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
