@@ -74,3 +74,10 @@ def with_rows(docs: DataFrame, function, added: str) -> DataFrame:
     return docs.select(
         F.struct("*").alias("row"), F.col("text").cast("string").alias("text")
     ).mapInArrow(function, schema)
+
+
+def byte_ranks() -> str:
+    """Path of the public rank file of byte-level tokens, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
