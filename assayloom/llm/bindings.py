@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from assayloom.llm import exact_dedup, language, packing, quality, simhash
-from assayloom.llm.common import table, word_vocabulary
+from assayloom.llm import byte_bpe, exact_dedup, language, packing, quality, simhash, urls
+from assayloom.llm.common import byte_ranks, table, word_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,13 @@ def op4_packing(spark, folder):
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, folder):
+    return byte_bpe.round_trip_digests(table(spark, folder, "documents"), byte_ranks())
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark, folder):
+    return urls.judge_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
