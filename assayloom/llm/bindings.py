@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from assayloom.llm import byte_bpe, exact_dedup, language, packing, quality, simhash, urls
+from assayloom.llm import (
+    byte_bpe,
+    exact_dedup,
+    language,
+    main_text,
+    packing,
+    quality,
+    simhash,
+    urls,
+)
 from assayloom.llm.common import byte_ranks, table, word_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +76,8 @@ def op6_byte_bpe(spark, folder):
 @query("op10_url_filter")
 def op10_url_filter(spark, folder):
     return urls.judge_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+@query("op2_main_text")
+def op2_main_text(spark, folder):
+    return main_text.extract_main_text(table(spark, folder, "pages"))

@@ -38,16 +38,22 @@ def work_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Different labels that a sample covers at most, the most frequent ones.
+MOST_LABELS = 1000
+
+
 def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each label, chosen by a hash of doc_id.
+    """At most ``per_label`` rows of each of MOST_LABELS labels, chosen by a hash of doc_id.
 
     ``rows`` is narrow (ids and labels). Counts per label give a hash limit that leaves about
     twice the rows wanted, so that the ranking works on a few rows whatever the table's size.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("_count"))
+    counts = rows.groupBy(label).agg(F.count("*").alias("_count")).orderBy(
+        F.desc("_count"), label
+    ).limit(MOST_LABELS)
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = (
-        rows.withColumn("_order", order).join(counts, label)
+        rows.withColumn("_order", order).join(F.broadcast(counts), label)
         .where(F.col("_order") < F.lit(2.0 * per_label + 50) / F.col("_count"))
     )
     first = Window.partitionBy(label).orderBy("_order", "doc_id")
