@@ -11,6 +11,7 @@ from assayloom.llm import (
     byte_bpe,
     exact_dedup,
     language,
+    licenses,
     main_text,
     packing,
     quality,
@@ -81,3 +82,8 @@ def op10_url_filter(spark, folder):
 @query("op2_main_text")
 def op2_main_text(spark, folder):
     return main_text.extract_main_text(table(spark, folder, "pages"))
+
+
+@query("op5_licenses", licenses.ORACLE_SQL)
+def op5_licenses(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents"))
