@@ -10,6 +10,7 @@ import corpus_pipeline
 from assayloom.llm import (
     byte_bpe,
     exact_dedup,
+    images,
     language,
     licenses,
     main_text,
@@ -87,3 +88,8 @@ def op2_main_text(spark, folder):
 @query("op5_licenses", licenses.ORACLE_SQL)
 def op5_licenses(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op1_image_copies")
+def op1_image_copies(spark, folder):
+    return images.image_classes(images.vector_pictures(table(spark, folder, "embeddings")))
