@@ -101,8 +101,7 @@ class ByteCodec:
         self._lengths = np.array([len(t) for t in self.table], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [_CUTS.findall(t) for t in texts]
-        return [[i for part in parts for i in part] for parts in self._pieces.ids(cut)]
+        return [ids.tolist() for ids in self._pieces.ids([_CUTS.findall(t) for t in texts])]
 
     def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last character of each id."""
@@ -120,6 +119,12 @@ class ByteCodec:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=4)
+def byte_codec(path: str) -> ByteCodec:
+    """The codec of a rank file, kept for the life of a worker."""
+    return ByteCodec(path)
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
@@ -127,7 +132,7 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, and starts and ends: the characters of the text that each id covers."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteCodec(path)
+        codec = byte_codec(path)
         for batch in slices(batches):
             texts = _texts(batch)
             ids = codec.encode(texts)
@@ -147,7 +152,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the text of ``ids``; null ids count as none."""
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteCodec(path)
+        codec = byte_codec(path)
         for batch in slices(batches):
             texts = [codec.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +167,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids and decoded bytes stay in the task."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteCodec(path)
+        codec = byte_codec(path)
         for batch in slices(batches):
             ids = codec.encode(_texts(batch))
             yield pa.RecordBatch.from_arrays([
