@@ -227,16 +227,17 @@ def keep_one_copy(docs: DataFrame) -> DataFrame:
         .where("_stay < rows").drop("rows"),
         "lossy",
     )
-    keys, text = ["_id", "_sha", "_n"], F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)),
-        "_sha": F.sha2(F.translate(text, SPACES.decode(), ""), 256),
-        "_n": F.char_length(text).cast("bigint"),
-    })
+    keys, text = ["_id", "_sha", "_n"], F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.select(
+        F.struct("*").alias("row"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_id"),
+        F.sha2(F.translate(text, SPACES.decode(), ""), 256).alias("_sha"),
+        F.char_length(text).cast("bigint").alias("_n"),
+    )
     whole = marked.join(lossy, keys, "left_anti")
     turn = Window.partitionBy(*keys).orderBy(*keys)
     some = (
         marked.join(lossy.where("_stay > 0"), keys)
         .withColumn("_turn", F.row_number().over(turn)).where("_turn <= _stay")
     )
-    return whole.select(docs.columns).unionByName(some.select(docs.columns))
+    return whole.select("row").unionByName(some.select("row")).select("row.*")

@@ -30,7 +30,7 @@ from assayloom.llm.dom import Page, parse
 
 #: Labelled pages that the potentials are fitted on, and steps of the fit.
 TRAIN_PAGES = 400
-STEPS = 150
+STEPS = 300
 # Element names and words in class, id or role that may tell article from rest.
 _TAGS = (
     "article main section header footer nav aside div p h1 h2 h3 h4 ul ol li dl table tr td "
@@ -92,6 +92,9 @@ def features(page: Page) -> np.ndarray:
     out[:, at + 8] = np.arange(n) / n
     out[:, at + 9] = 1
     out[0, at + 10] = 1
+    # An article or main element that nothing around it marks as something else.
+    rest = out[:, g + 1:g + _N_GROUPS].any(1) | out[:, g + _N_GROUPS + 1:at].any(1)
+    out[:, at + 11] = (out[:, _TAG_AT["article"]] + out[:, _TAG_AT["main"]] > 0) & ~rest
     return out
 
 
@@ -151,7 +154,7 @@ class TreeModel:
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50)))
 
 
-def train_tree_model(pages: list[Page], steps: int = STEPS, decay: float = 1e-3) -> TreeModel:
+def train_tree_model(pages: list[Page], steps: int = STEPS, decay: float = 1e-4) -> TreeModel:
     """Potentials that make the labels of the pages likely (gradient steps with momentum)."""
     forest = Forest.of(pages)
     x = np.concatenate([features(p) for p in pages]).astype(np.float64)
@@ -172,7 +175,7 @@ def train_tree_model(pages: list[Page], steps: int = STEPS, decay: float = 1e-3)
             ((seen - pairs.sum(0)) / len(x) - decay * pair).ravel(),
         ])
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope ** 2
-        move = 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
+        move = 0.2 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
         w, pair = w + move[:-4], pair + move[-4:].reshape(2, 2)
     return TreeModel(w, pair)
 
@@ -251,7 +254,7 @@ def labelled_page(seed: int) -> str:
     rng = random.Random(seed)
     body = [f"<h1>{_words(rng, rng.randint(1, 10))}</h1>"] if rng.random() < 0.85 else []
     long = rng.random() < 0.85
-    for _ in range(rng.randint(1, 12) if rng.random() < 0.9 else 0):
+    for _ in range(rng.randint(1, 12) if rng.random() < 0.75 else 1):
         pick, n = rng.random(), rng.randint(1, 90 if long else 12)
         if pick < 0.72:
             text = _words(rng, n)
@@ -280,7 +283,12 @@ def labelled_page(seed: int) -> str:
         ) + f"</{outer}>"
     before = [_rest(rng, k) for k in ("header", "nav", "notice", "ad", "form") if rng.random() < 0.45]
     after = [_rest(rng, k) for k in ("share", "side", "comments", "form", "ad", "footer") if rng.random() < 0.4]
-    return f"<html><head><title>t</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    if rng.random() < 0.15:
+        before = after = []
+    inner = "".join([*before, main, *after])
+    if rng.random() < 0.2:
+        return inner
+    return f"<html><head><title>t</title></head><body>{inner}</body></html>"
 
 
 @lru_cache(maxsize=2)

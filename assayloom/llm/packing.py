@@ -6,10 +6,10 @@ there are of each length: at most 4,096 counts, whatever the corpus.
 1. Large lengths are sorted and cut into groups of equal cardinality; each group is rounded up
    to its largest length.
 2. For these few sizes a linear program over configurations is solved by column generation
-   (a knapsack finds the next column) and its whole parts are taken; what is left over is filled
-   configuration by configuration.
+   (a knapsack finds the next column) and its whole parts are taken.
 3. Configurations are filled with the actual lengths, which gives back what rounding took.
-4. Small lengths, longest first, go where they fit best; the rest opens new sequences.
+4. Lengths left by the whole parts and small lengths, longest first, go where they fit best; the
+   rest opens new sequences.
 
 Sequences with the same content are kept as one run (content, how many), so the plan stays small.
 Spark then ranks the pieces of each length, and rank and plan give sequence and offset.
@@ -115,8 +115,8 @@ def best_configuration(sizes: list[int], values: np.ndarray, limits: list[int],
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400):
-    """[(counts per size, times)] that cover the demand: whole parts of the linear program's
-    solution, then one best filling after the other for what is left."""
+    """[(counts per size, times)]: the whole parts of the linear program's solution. They leave
+    less than one sequence for each size."""
     n = len(sizes)
     columns = [[capacity // s if i == j else 0 for i in range(n)] for j, s in enumerate(sizes)]
     for _ in range(rounds):
@@ -143,10 +143,6 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 
     for counts, times in zip(columns, use):
         take(counts, int(times + 1e-6))
-    while any(left):
-        filled = np.array(sizes, float) + 1e-6 * np.array(sizes, float) ** 2 / capacity
-        _, counts = best_configuration(sizes, filled, left, capacity)
-        take(counts, capacity * max(demand))
     return chosen
 
 
@@ -162,8 +158,9 @@ class Run:
         return Run((*self.content, (length, per)), times, self.room - length * per)
 
 
-def substituted(chosen, groups, capacity: int) -> list[Run]:
-    """Configurations filled with actual lengths, the longest of a group first."""
+def substituted(chosen, groups, capacity: int) -> tuple[list[Run], dict[int, int]]:
+    """Configurations filled with actual lengths, the longest of a group first, and the
+    lengths that are left."""
     supply = [list(own)[::-1] for _, own in groups]  # pop from the end: longest first
     out = []
     for counts, times in chosen:
@@ -191,16 +188,19 @@ def substituted(chosen, groups, capacity: int) -> list[Run]:
                 used[k] += span
                 if used[k] == lane[at[k]][1]:
                     at[k], used[k] = at[k] + 1, 0
-    return out
+    left: dict[int, int] = {}
+    for length, count in (pair for own in supply for pair in own):
+        left[length] = left.get(length, 0) + count
+    return out, left
 
 
-def best_fit(runs: list[Run], small: dict[int, int], capacity: int) -> list[Run]:
-    """Small lengths, longest first, each into the sequences with the least room that fits."""
+def best_fit(runs: list[Run], counts: dict[int, int], capacity: int) -> list[Run]:
+    """Lengths, longest first, each into the sequences with the least room that fits."""
     by_room: list[list[Run]] = [[] for _ in range(capacity + 1)]
     for run in runs:
         by_room[run.room].append(run)
-    for length in sorted(small, reverse=True):
-        left, room = small[length], length
+    for length in sorted(counts, reverse=True):
+        left, room = counts[length], length
         while left:
             while room < capacity and not by_room[room]:
                 room += 1
@@ -246,7 +246,8 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
         groups = grouped_sizes(large, n)
         demand = [sum(c for _, c in own) for _, own in groups]
         chosen = configurations([size for size, _ in groups], demand, capacity)
-        runs = best_fit(full + substituted(chosen, groups, capacity), small, capacity)
+        filled, left = substituted(chosen, groups, capacity)
+        runs = best_fit(full + filled, left | small, capacity)
         plans.append((sum(run.times for run in runs), len(plans), runs))
         # Enough: one sequence in 10,000 above the least possible, or more groups change nothing.
         if plans[-1][0] * 10_000 <= least * 10_001 or len(groups) < n:

@@ -255,4 +255,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     kept = near_duplicate_classes(docs).where(same).select(
         F.col("doc_id").alias("_kept")
     ).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_own"))
+    return rows.join(kept, F.col("_own").eqNullSafe(F.col("_kept")), "left_semi").select("row.*")
