@@ -154,7 +154,7 @@ def _reference_lookup(spark, folder):
 
 def _scored_customers(spark, folder):
     scored = linear_score(
-        table(spark, folder, "customer").where("c_custkey is not null").select(
+        table(spark, folder, "customer").select(
             F.col("c_name").alias("key_text"), F.col("c_mktsegment").alias("target"),
             F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 1000).alias("x"),
         ),

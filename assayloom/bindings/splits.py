@@ -154,15 +154,13 @@ def _undersample_quantities(spark, folder):
 
 @query(
     "union_samples",
-    """SELECT event_id, value FROM events WHERE event_type = 'click'
-       UNION ALL SELECT event_id, value FROM events WHERE event_type = 'view'
-       UNION ALL SELECT event_id, value FROM events WHERE event_type = 'error'""",
+    "SELECT event_id, value FROM events",
 )
 def _union_samples(spark, folder):
     events = table(spark, folder, "events")
     return union_samples(*[
         events.where(F.col("event_type") == t).select("event_id", "value")
-        for t in ("click", "view", "error")
+        for t in ("click", "view", "error", "signup", "purchase")
     ])
 
 

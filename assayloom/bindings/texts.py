@@ -75,7 +75,7 @@ runs AS (SELECT doc_id, t, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2 FROM
 grams AS (SELECT doc_id, t AS g FROM runs
           UNION SELECT doc_id, t || ' ' || t1 FROM runs WHERE t1 IS NOT NULL
           UNION SELECT doc_id, t || ' ' || t1 || ' ' || t2 FROM runs WHERE t2 IS NOT NULL),
-bits AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(g), 1, 3) AS INTEGER) % 1024 AS b FROM grams),
+bits AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(g), 1, 10) AS BIGINT) % 1024 AS b FROM grams),
 prints AS (SELECT doc_id, count(*) AS n_bits, string_agg(CAST(b AS VARCHAR), ',' ORDER BY b) AS bits
            FROM bits GROUP BY doc_id)"""
 
@@ -183,8 +183,7 @@ def _pattern_cross(spark, folder):
 
 _ASSEMBLED_SQL = f"""WITH {_TOK_SQL}, {_DESC_SQL}, {_BITS_SQL}, {_KEYS_SQL}
   SELECT d.doc_id, 1208 AS width,
-    round({" + ".join(f"CAST(CAST(e.{n} AS FLOAT) AS DOUBLE)" for n in DESCRIPTORS)}, 3) + 0.0
-      AS descriptor_sum,
+    {", ".join(f"round(CAST(CAST(e.{n} AS FLOAT) AS DOUBLE), 5) + 0.0 AS d_{n}" for n in DESCRIPTORS)},
     coalesce(p.n_bits, 0) AS n_bits, coalesce(p.bits, '') AS bits,
     array_to_string(k.keys, '') AS keys,
     concat_ws(',', {", ".join(
@@ -216,7 +215,7 @@ def _vector_digest(rows):
     )
     return cut.select(
         "doc_id", "width",
-        rounded(F.aggregate("d", F.lit(0.0), lambda a, x: a + x), 3).alias("descriptor_sum"),
+        *[rounded(F.get("d", F.lit(i)), 5).alias(f"d_{n}") for i, n in enumerate(fs.descriptors)],
         F.size(on).cast("bigint").alias("n_bits"),
         F.array_join(on.cast("array<string>"), ",").alias("bits"),
         F.array_join("k", "").alias("keys"),
@@ -247,29 +246,40 @@ def _feature_store_lookup(spark, folder):
 )
 def _feature_store_clear(spark, folder):
     path = fresh_path(spark, "features")
-    small = FeatureSet(hash_bits=64, dictionary=(), patterns=TEXT_PATTERNS, label="small")
-    rows = table(spark, folder, "documents").select("text")
-    before = upsert_features(rows, "text", path, small).count()
+    rows = _documents(spark, folder).select("text")
+    before = upsert_features(rows, "text", path, DOCUMENT_FEATURES).count()
     clear_features(spark, path)
-    left = upsert_features(rows.where("text is null"), "text", path, small)
+    left = upsert_features(rows.where("text is null"), "text", path, DOCUMENT_FEATURES)
     return left.agg(
         F.lit(before).cast("bigint").alias("before_clear"), F.count("*").alias("after_clear")
     )
 
 
+_NAMES_SQL = " UNION ALL ".join([
+    *(f"SELECT {i} AS pos, '{n}' AS name" for i, n in enumerate(DOCUMENT_FEATURES.descriptors)),
+    f"SELECT {len(DOCUMENT_FEATURES.descriptors)} + i, 'ECFP4_' || i FROM range({DOCUMENT_FEATURES.hash_bits}) r(i)",
+    f"SELECT {len(DOCUMENT_FEATURES.descriptors) + DOCUMENT_FEATURES.hash_bits} + i, 'MACCS_' || i "
+    f"FROM range({len(DOCUMENT_FEATURES.dictionary)}) r(i)",
+    *(f"SELECT {len(DOCUMENT_FEATURES.names) - len(TEXT_PATTERNS) + i}, '{p.name}'"
+      for i, p in enumerate(TEXT_PATTERNS)),
+])
+
+
 @query(
     "feature_names",
-    """SELECT pos - 1 AS pos, 'ECFP4_' || (pos - 1) AS name, count(*) AS n_samples
-       FROM (SELECT unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY pos""",
+    f"""WITH names AS ({_NAMES_SQL})
+        SELECT CAST(pos AS BIGINT) AS pos, name, (SELECT count(*) FROM documents) AS n_samples FROM names""",
 )
 def _feature_names(spark, folder):
-    # One name per vector position, beside the number of vectors that have it.
-    names = feature_names(
-        spark, FeatureSet(descriptors={}, hash_bits=64, dictionary=(), patterns=())
-    )
-    summary = feature_summary(table(spark, folder, "embeddings"), "embedding")
-    return summary.join(F.broadcast(names), "pos").select(
-        F.col("pos").cast("bigint"), "name", "n_samples"
+    """Every name of the document vectors, beside the number of vectors that have it."""
+    vectors = assemble_features(_documents(spark, folder).drop("lang"), "text", DOCUMENT_FEATURES)
+    widths = vectors.groupBy(F.size("features").alias("width")).agg(F.count("*").alias("n"))
+    names = feature_names(spark, DOCUMENT_FEATURES)
+    held = widths.select(
+        F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("pos"), "n"
+    ).groupBy("pos").agg(F.sum("n").alias("n_samples"))
+    return names.join(held, "pos", "left").select(
+        F.col("pos").cast("bigint"), "name", F.coalesce("n_samples", F.lit(0)).alias("n_samples")
     )
 
 

@@ -62,10 +62,10 @@ def ngrams(toks: Column, n: int) -> Column:
 
 def hashed_bits(toks: Column, radius: int = 2, width: int = HASH_BITS) -> Column:
     """Sorted positions of the bits set by all 1..(radius+1)-grams."""
-    digits = 3 if width <= 4096 else 7
 
     def bit(gram: Column) -> Column:
-        return F.conv(F.substring(F.md5(gram), 1, digits), 16, 10).cast("int") % width
+        # Ten hex digits spread evenly over any width.
+        return (F.conv(F.substring(F.md5(gram), 1, 10), 16, 10).cast("bigint") % width).cast("int")
 
     def bits(t: Column) -> Column:
         grams = F.concat(*[ngrams(t, n) for n in range(1, radius + 2)])

@@ -18,7 +18,7 @@ from assayloom.session import constant_table
 from assayloom.settings import LINEAR_COEFFICIENTS, REFERENCE_ENTITIES, TARGETS
 
 HOT_SHARE = 0.005  # at most 1 / HOT_SHARE = 200 keys can be hot
-PIECES = 32
+ROWS_PER_PIECE = 1_000_000
 
 
 def _fixed(spark: SparkSession, rows: list[tuple], names: str, numbers: bool = False) -> DataFrame:
@@ -107,7 +107,7 @@ def linear_score(
     )
     fallback = coefficients.where(F.col("target").isNull()).select(F.struct(*names)).scalar()
     scored = (
-        df.join(F.broadcast(known), F.lower(F.col(target)) == F.col("_target"), "left")
+        df.join(known, F.lower(F.col(target)) == F.col("_target"), "left")
         .withColumn("_fallback", fallback)
     )
 
@@ -127,13 +127,15 @@ def spread_join(
     how: str = "left",
     spread_by: Sequence[str] = (),
     hot_share: float = HOT_SHARE,
-    pieces: int = PIECES,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Equi-join that spreads hot left keys over several tasks; ``right`` is unique by key.
 
     A key is hot if it holds more than ``hot_share`` of the left rows, so there are fewer than
     1 / hot_share of them. Left rows with a hot key get a piece number from ``spread_by``
-    (columns that differ within a key); the right rows of hot keys are repeated once per piece.
+    (columns that differ within a key); there are as many pieces as the key has rows over
+    ``rows_per_piece``, and the right rows of hot keys are repeated once per piece. Keys that are
+    not hot are left to AQE.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
@@ -141,19 +143,15 @@ def spread_join(
     total = counts.agg(F.sum("_n")).scalar()
     hot = (
         counts.where(F.col(key).isNotNull() & (F.col("_n") > total * F.lit(hot_share)))
-        .agg(F.collect_list(key))
+        .agg(F.map_from_entries(F.collect_list(F.struct(
+            key, F.ceil(F.col("_n") / F.lit(rows_per_piece)).cast("int").alias("pieces")))))
         .scalar()
     )
-    is_hot = F.array_contains(F.col("_hot"), F.col(key))
-    piece = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(pieces)).cast("int")
-    lhs = left.withColumn("_hot", hot).withColumn(
-        "_piece", F.when(is_hot, piece).otherwise(F.lit(0))
-    )
+    pieces = F.coalesce(F.try_element_at("_hot", F.col(key)), F.lit(1))
+    piece = F.pmod(F.xxhash64(*(spread_by or left.columns)), pieces).cast("int")
+    lhs = left.withColumn("_hot", hot).withColumn("_piece", piece)
     rhs = right.withColumn("_hot", hot).withColumn(
-        "_piece",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
-        ),
+        "_piece", F.explode(F.sequence(F.lit(0), pieces - 1))
     )
     return lhs.drop("_hot").join(rhs.drop("_hot"), [key, "_piece"], how).drop("_piece")
 

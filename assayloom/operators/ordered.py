@@ -3,8 +3,9 @@
 Two building blocks:
 
 * ``hash_thresholds`` finds the hash values at given ranks. A histogram over hash prefixes
-  tells which prefix holds each rank; only the rows of those prefixes are ranked. Splits then
-  compare a row's own hash with a few thresholds, so the rows themselves never move.
+  tells which prefix holds each rank; the histogram is taken again inside those prefixes, and
+  only the rows of the narrow prefixes that are left are ranked. Splits then compare a row's own
+  hash with a few thresholds, so the rows themselves never move.
 * ``running_totals`` gives running sums along a value: equal values are merged, values are put
   into ranges of about equal size, the sums run inside each range, and the totals of the earlier
   ranges are added from a table with one row per range.
@@ -20,43 +21,48 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import ks_p_value
 
-PREFIX_DIGITS = 4  # 65,536 histogram cells
+DIGITS_PER_LEVEL = 4  # 65,536 cells in each histogram
+LEVELS = 2
+COARSE_RANGES = 512
 ROWS_PER_RANGE = 1_000_000
-MIN_RANGES, MAX_RANGES = 64, 100_000
 
 
 def hash_thresholds(
-    df: DataFrame, hash_col: str, positions: DataFrame, by: Sequence[str] = ()
+    df: DataFrame, hash_col: str, positions: DataFrame, by: Sequence[str] = (),
+    digits: int = DIGITS_PER_LEVEL, levels: int = LEVELS,
 ) -> DataFrame:
     """Hash values at given ranks.
 
     ``df`` holds ``hash_col`` (uniform hex, one value per row, so the hashed key should be
     unique) and the columns ``by``. ``positions`` holds ``by``, ``cut`` and the 1-based rank
-    ``position``; it has one row per group and cut. Returns ``by``, ``cut``, ``threshold``;
-    a position of 0 has no row. ``by`` must have few distinct values (bins, splits).
+    ``position``; it has one row per group and cut. Returns ``by``, ``cut``, ``threshold``; a
+    position of 0, or one beyond the group, has no row. Rows without a hash do not count.
+
+    Each level narrows the cell of a rank by a factor of 16 ** ``digits``; with two levels of
+    four digits a cell of 10^12 rows holds a few hundred in the end, and those are ranked.
     """
     by = list(by)
-    prefix = F.substring(hash_col, 1, PREFIX_DIGITS)
-    cells = df.groupBy(*by, prefix.alias("_cell")).agg(F.count("*").alias("_in"))
-    # At most 65,536 rows per group, whatever the size of df.
-    along = Window.partitionBy(*by).orderBy("_cell")
-    cells = cells.withColumn("_upto", F.sum("_in").over(along))
-    positions = positions.select(*by, "cut", "position")
-    cond = (F.col("position") > F.col("_upto") - F.col("_in")) & (
-        F.col("position") <= F.col("_upto")
-    )
-    if by:
-        held = cells.join(F.broadcast(positions), by)
-    else:
-        wanted = positions.agg(F.collect_list(F.struct("cut", "position"))).scalar()
-        held = cells.withColumn("_wanted", wanted).select("*", F.inline("_wanted"))
-    held = held.where(cond).select(
-        *by, "_cell", "cut", (F.col("position") - (F.col("_upto") - F.col("_in"))).alias("_rank")
-    )
-    # One row per group and cut: bounded by the positions table, hence the broadcast.
+    df = df.where(F.col(hash_col).isNotNull())
+    held = positions.select(*by, "cut", F.col("position").alias("_rank"), F.lit("").alias("_cell"))
+    for level in range(levels):
+        outer = F.substring(hash_col, 1, digits * level)
+        inner = F.substring(hash_col, 1, digits * (level + 1))
+        # The cells of the ranks so far: one row per group and cut; Spark chooses the join.
+        inside = df.select(*by, hash_col).withColumn("_cell", outer)
+        if level:
+            inside = inside.join(held.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi")
+        cells = inside.groupBy(*by, "_cell", inner.alias("_next")).agg(F.count("*").alias("_in"))
+        along = Window.partitionBy(*by, "_cell").orderBy("_next")
+        cells = cells.withColumn("_upto", F.sum("_in").over(along))
+        held = held.join(cells, [*by, "_cell"]).where(
+            (F.col("_rank") > F.col("_upto") - F.col("_in")) & (F.col("_rank") <= F.col("_upto"))
+        ).select(
+            *by, "cut", (F.col("_rank") - (F.col("_upto") - F.col("_in"))).alias("_rank"),
+            F.col("_next").alias("_cell"),
+        )
     inside = (
-        df.withColumn("_cell", prefix)
-        .join(F.broadcast(held), [*by, "_cell"])
+        df.withColumn("_cell", F.substring(hash_col, 1, digits * levels))
+        .join(held, [*by, "_cell"])
         .groupBy(*by, "cut", "_rank", hash_col)
         .agg(F.count("*").alias("_n"))
     )
@@ -67,9 +73,10 @@ def hash_thresholds(
     ).select(*by, "cut", F.col(hash_col).alias("threshold"))
 
 
-def threshold_list(df: DataFrame, hash_col: str, cuts: Sequence[Column]) -> Column:
-    """Ascending thresholds for ranks that are expressions over the row count ``n``."""
-    positions = df.agg(F.count("*").alias("n")).select(
+def thresholds_by_cut(df: DataFrame, hash_col: str, cuts: Sequence[Column]) -> Column:
+    """Map from cut number to threshold, for ranks that are expressions over the row count ``n``
+    of the rows with a hash. A cut of rank 0 has no entry."""
+    positions = df.agg(F.count(hash_col).alias("n")).select(
         F.inline(
             F.array(*[
                 F.struct(F.lit(i).alias("cut"), c.cast("bigint").alias("position"))
@@ -78,7 +85,7 @@ def threshold_list(df: DataFrame, hash_col: str, cuts: Sequence[Column]) -> Colu
         )
     )
     found = hash_thresholds(df, hash_col, positions)
-    return found.agg(F.array_sort(F.collect_list("threshold"))).scalar()
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("cut", "threshold")))).scalar()
 
 
 def running_totals(
@@ -91,38 +98,46 @@ def running_totals(
     """One row per distinct value: own sums (``name``), running sums (``cum_name``) and
     overall sums (``all_name``).
 
-    Range limits come from one approximate quantile pass and are then fixed numbers, so the
-    range of a value never changes between retries. The number of ranges grows with the rows,
-    about a million to a range. Null and NaN values are left out.
+    Ranges are found in two steps. The limits of the coarse ranges come from one approximate
+    quantile pass and are then fixed numbers, so the range of a value never changes between
+    retries. A coarse range is cut again into stretches of equal width, one for each
+    ROWS_PER_RANGE different values in it, so their number grows with the data without bound.
+    Null and NaN values are left out.
     """
     df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    if ranges is None:
-        ranges = min(MAX_RANGES, max(MIN_RANGES, df.count() // ROWS_PER_RANGE))
-    limits = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.5 / ranges)
+    # The merge combines on the map side: a value held by a third of all rows reaches the
+    # shuffle as one row per task. Adding 0.0 makes -0.0 and 0.0 one value.
+    merged = df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0)).groupBy(
+        "_v", value
+    ).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    coarse = ranges or COARSE_RANGES
+    limits = df.approxQuantile(value, [i / coarse for i in range(1, coarse)], 0.5 / coarse)
     inner = sorted({float(x) for x in limits if abs(x) != float("inf")})
     splits = [float("-inf"), *inner, float("inf")]
-    # Adding 0.0 turns -0.0 into 0.0: equal values must fall into one range.
-    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_range").transform(
-        df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0))
-    )
-    # The merge by (range, value) combines on the map side: a value held by a third of all
-    # rows reaches the shuffle as one row per task.
-    merged = ranged.groupBy("_range", value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_coarse").transform(merged)
+    sizes = ranged.groupBy("_coarse").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.ceil(F.count("*") / F.lit(ROWS_PER_RANGE)).alias("_parts"),
+    )
+    place = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    fine = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * F.col("_parts")), F.col("_parts") - 1)
+    ranged = ranged.join(sizes, "_coarse").withColumn("_fine", fine).drop("_lo", "_hi", "_parts")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy("_range").orderBy(order)
-    local = merged.select(
-        "_range", value, *sums, *[F.sum(n).over(inside).alias(f"_run_{n}") for n in sums]
-    )
-    totals = merged.groupBy("_range").agg(*[F.sum(n).alias(f"_all_{n}") for n in sums])
-    # At most `ranges` rows.
-    range_order = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.orderBy(range_order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_coarse", "_fine").orderBy(order)
+    local = ranged.select(
+        "_coarse", "_fine", value, *sums,
+        *[F.sum(n).over(inside).alias(f"_run_{n}") for n in sums],
+    )
+    totals = ranged.groupBy("_coarse", "_fine").agg(*[F.sum(n).alias(f"_all_{n}") for n in sums])
+    # One row per range.
+    along = [F.desc(c) if descending else F.asc(c) for c in ("_coarse", "_fine")]
+    before = Window.orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_range",
+        "_coarse", "_fine",
         *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
         *[F.sum(f"_all_{n}").over(Window.partitionBy()).alias(f"all_{n}") for n in sums],
     )
-    return local.join(F.broadcast(offsets), "_range").select(
+    return local.join(offsets, ["_coarse", "_fine"]).select(
         value,
         *sums,
         *[(F.col(f"_run_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in sums],

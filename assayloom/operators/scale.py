@@ -28,15 +28,19 @@ class RobustScale:
 
     @classmethod
     def fit(cls, train: DataFrame, features: str) -> RobustScale:
-        """(x - median) / IQR; a position with zero IQR keeps divisor 1, so rare set bits stay."""
-        fitted = quantile_fit(feature_long(train, features), "x", ["pos"]).orderBy("pos").collect()
+        """(x - median) / IQR; a position with zero IQR keeps divisor 1, so rare set bits stay.
+
+        A position without any number is left as it is (median 0, divisor 1).
+        """
+        fitted = quantile_fit(feature_long(train, features), "x", ["pos"]).collect()
         if not fitted:
             raise ValueError("cannot fit a scaler on no rows")
-        medians, divisors = [], []
+        width = train.agg(F.max(F.size(features))).first()[0]
+        medians, divisors = [0.0] * width, [1.0] * width
         for row in fitted:
             low, mid, high = row["quantiles"]
-            medians.append(mid)
-            divisors.append((high - low) or 1.0)
+            medians[row["pos"]] = mid
+            divisors[row["pos"]] = (high - low) or 1.0
         return cls(tuple(medians), tuple(divisors))
 
     def column(self, features: Column) -> Column:

@@ -2,16 +2,17 @@
 
 Every choice is a function of ``md5(key | seed)``: the same for any partitioning, retry or
 engine. The key must be unique per row; copies of one key always land on the same side. Exact
-sizes come from a few hash thresholds, so no row is shuffled by any of the splits.
+sizes come from a few hash thresholds, so no row is shuffled by any of the splits. Rows with a
+null key cannot be drawn: they do not count towards the sizes and stay in ``train`` (fold 0).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.text import let, row_hash
-from assayloom.operators.ordered import hash_thresholds, ks_two_sample, threshold_list
+from assayloom.operators.ordered import hash_thresholds, ks_two_sample, thresholds_by_cut
 from assayloom.settings import (
     RANDOM_SEED,
     RESAMPLE_BINS,
@@ -39,8 +40,8 @@ def holdout_exact(
 ) -> DataFrame:
     """Adds ``split`` with exactly ceil(fraction * n) test rows."""
     h = row_hash(F.col(key), seed)
-    limits = threshold_list(df.select(h.alias("_h")), "_h", [F.ceil(F.col("n") * fraction)])
-    is_test = F.coalesce(h <= F.get(limits, F.lit(0)), F.lit(False))
+    limits = thresholds_by_cut(df.select(h.alias("_h")), "_h", [F.ceil(F.col("n") * fraction)])
+    is_test = F.coalesce(h <= F.try_element_at(limits, F.lit(0)), F.lit(False))
     return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
@@ -71,13 +72,13 @@ def three_way_split_exact(
     n_test = F.ceil(F.col("n") * test)
     n_val = F.ceil((F.col("n") - n_test) * validation)
     h = row_hash(F.col(key), seed)
-    limits = threshold_list(df.select(h.alias("_h")), "_h", [n_test, n_test + n_val])
+    limits = thresholds_by_cut(df.select(h.alias("_h")), "_h", [n_test, n_test + n_val])
     return (
         df.withColumn("_limits", limits)
         .withColumn(
             "split",
-            F.when(h <= F.get("_limits", F.lit(0)), F.lit("test"))
-            .when(h <= F.get("_limits", F.lit(1)), F.lit("val"))
+            F.when(h <= F.try_element_at("_limits", F.lit(0)), F.lit("test"))
+            .when(h <= F.try_element_at("_limits", F.lit(1)), F.lit("val"))
             .otherwise(F.lit("train")),
         )
         .drop("_limits")
@@ -94,8 +95,8 @@ def group_split(
     """
     h = row_hash(F.coalesce(F.col(group), F.lit("invalid")), seed)
     groups = df.select(h.alias("_h")).distinct()
-    limits = threshold_list(groups, "_h", [F.ceil(F.col("n") * fraction)])
-    is_test = F.coalesce(h <= F.get(limits, F.lit(0)), F.lit(False))
+    limits = thresholds_by_cut(groups, "_h", [F.ceil(F.col("n") * fraction)])
+    is_test = F.coalesce(h <= F.try_element_at(limits, F.lit(0)), F.lit(False))
     return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
@@ -127,8 +128,9 @@ def kfold(df: DataFrame, key: str, k: int = 3, seed: int = RANDOM_SEED) -> DataF
     h = row_hash(F.col(key), seed)
     size, extra = F.floor(F.col("n") / k), F.col("n") % k
     cuts = [size * (i + 1) + F.least(F.lit(i + 1), extra) for i in range(k - 1)]
-    limits = threshold_list(df.select(h.alias("_h")), "_h", cuts)
+    limits = F.map_values(thresholds_by_cut(df.select(h.alias("_h")), "_h", cuts))
     fold = let(h, lambda v: F.size(F.filter(F.col("_limits"), lambda t: t < v)))
+    fold = F.coalesce(F.greatest(fold, F.lit(0)), F.lit(0))
     return (
         df.withColumn("_limits", limits).withColumn("fold", fold.cast("int")).drop("_limits")
     )
@@ -163,8 +165,47 @@ def bin_counts(binned: DataFrame, bin_col: str = "bin") -> DataFrame:
     counts = binned.where(F.col(bin_col).isNotNull()).groupBy(bin_col).agg(
         F.count("*").alias("n_rows")
     )
-    smallest = counts.agg(F.min("n_rows")).scalar()
-    return counts.withColumn("min_rows", smallest)
+    # The window spans one row per bin.
+    return counts.withColumn("min_rows", F.min("n_rows").over(Window.partitionBy()))
+
+
+def merge_small_bins(binned: DataFrame, min_rows: int, bin_col: str = "bin") -> DataFrame:
+    """Bins with fewer than ``min_rows`` rows, and those after them, joined to the bins before
+    until they hold that many; a small rest joins the last full bin.
+
+    The walk over the bins runs on their counts, one row per bin, as one array.
+    """
+    counts = binned.where(F.col(bin_col).isNotNull()).groupBy(bin_col).agg(
+        F.count("*").alias("n")
+    ).agg(F.array_sort(F.collect_list(F.struct(bin_col, "n"))).alias("bins"))
+    start = F.struct(
+        F.lit(0).cast("int").alias("to"), F.lit(0).cast("bigint").alias("held"),
+        F.array().cast("array<struct<bin:int,to:int>>").alias("made"),
+    )
+
+    def step(state: Column, one: Column) -> Column:
+        opens = state["held"] >= min_rows
+        to = F.when(opens, one[bin_col]).otherwise(state["to"])
+        return F.struct(
+            to.cast("int").alias("to"),
+            F.when(opens, one["n"]).otherwise(state["held"] + one["n"]).alias("held"),
+            F.concat(state["made"], F.array(F.struct(
+                one[bin_col].cast("int").alias("bin"), to.cast("int").alias("to")))).alias("made"),
+        )
+
+    walked = counts.select(F.aggregate("bins", start, step).alias("w"))
+    before = F.array_max(F.transform(
+        F.filter("w.made", lambda x: x["to"] < F.col("w.to")), lambda x: x["to"]))
+    last = F.when(F.col("w.held") < min_rows, before)
+    mapping = walked.select(F.map_from_entries(F.transform(
+        "w.made",
+        lambda x: F.struct(
+            x["bin"], F.when(x["to"] == F.col("w.to"), F.coalesce(last, x["to"])).otherwise(x["to"])
+        ),
+    ))).scalar()
+    return binned.withColumn("_to", mapping).withColumn(
+        bin_col, F.try_element_at("_to", F.col(bin_col))
+    ).drop("_to")
 
 
 def undersample_bins(
@@ -173,13 +214,17 @@ def undersample_bins(
     key: str,
     bins: int = RESAMPLE_BINS,
     seed: int = RANDOM_SEED,
+    min_bin_count: int = 0,
 ) -> DataFrame:
     """Every non-empty bin cut to the size of the smallest one, without replacement.
 
-    The rows kept are those with the smallest hashes in their bin. The limit of each bin is
+    ``min_bin_count`` first merges bins with fewer rows than that into their neighbours. Rows
+    without a value are in no bin and are left out. The rows kept are those with the smallest hashes in their bin. The limit of each bin is
     looked up in a map with one entry per bin; no bin is ever gathered in one task.
     """
     binned = equal_width_bin(df, value, bins).where(F.col("bin").isNotNull())
+    if min_bin_count:
+        binned = merge_small_bins(binned, min_bin_count)
     hashed = binned.withColumn("_h", row_hash(F.col(key), seed))
     wanted = bin_counts(binned).select(
         "bin", F.lit(0).alias("cut"), F.col("min_rows").alias("position")
@@ -214,14 +259,16 @@ def conditional_resample(
 ) -> tuple[DataFrame, dict]:
     """Undersamples the train rows if train and test values differ by the KS test.
 
-    Only the one-row test result reaches the driver. Test rows are returned unchanged.
+    Only the one-row test result reaches the driver. Test rows, and train rows without a value,
+    are returned unchanged.
     """
     report = ks_two_sample(df, value, split_col, ("train", "test")).first().asDict()
     report["resampled"] = report["p_value"] is not None and report["p_value"] < p_limit
     if not report["resampled"]:
         return df, report
-    train = undersample_bins(df.where(F.col(split_col) == "train"), value, key, bins, seed)
-    rest = df.where(F.col(split_col).isNull() | (F.col(split_col) != "train"))
+    drawn = F.col(split_col).eqNullSafe("train") & F.col(value).isNotNull()
+    train = undersample_bins(df.where(drawn), value, key, bins, seed)
+    rest = df.where(~drawn)
     return train.drop("bin").unionByName(rest), report
 
 
@@ -237,7 +284,3 @@ def split_check(df: DataFrame, key: str, split_col: str = "split") -> DataFrame:
         F.sum("placed").alias("n_placed"),
         F.count_if(F.col("splits") > 1).alias("n_straddling"),
     )
-
-
-def is_train(split_col: str = "split") -> Column:
-    return F.col(split_col) == "train"

@@ -199,7 +199,6 @@ def quantile_fit(
     by: Sequence[str],
     probs: Sequence[float] = (0.25, 0.5, 0.75),
     accuracy: int = 2000,
-    exact_below: int = 20000,
     cells: int = 4096,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: (by..., n, quantiles array).
@@ -208,7 +207,7 @@ def quantile_fit(
     a whole group in one task. Instead a sketch brackets each quantile, a histogram with many
     cells inside the brackets tells which cell holds each wanted rank, and only the values of
     those cells are ranked, equal values merged first. The sketch decides where cells are
-    narrow, never the result. Groups of up to ``exact_below`` rows are one cell.
+    narrow, never the result.
     """
     by, probs = list(by), sorted(probs)
     margin = 3.0 / accuracy
@@ -218,9 +217,9 @@ def quantile_fit(
     )
     sketch = rows.groupBy(*by).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
-    ).withColumn("_e", F.when(F.col("_n") > exact_below, F.col("_e")))
-    # One sketch row per group: bounded by the number of positions or splits.
-    placed = rows.join(F.broadcast(sketch), by).select(
+    )
+    # One sketch row per group; Spark chooses the join by its size.
+    placed = rows.join(sketch, by).select(
         *by, "_n", "_v", _cell(F.col("_v"), F.col("_e"), len(probs), cells).alias("_cell")
     )
     # At most a few thousand cells per group and quantile.
@@ -240,7 +239,7 @@ def quantile_fit(
     )
     # At most two cells per group and quantile.
     merged = (
-        placed.drop("_n").join(F.broadcast(held), [*by, "_cell"])
+        placed.drop("_n").join(held, [*by, "_cell"])
         .groupBy(*by, "_n", "_cell", "_v")
         .agg(F.count("*").alias("_c"), F.first("_wanted").alias("_wanted"))
     )

@@ -98,12 +98,9 @@ def constant_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) ->
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """For heavy work per row over few input splits: hash the rows over all cores.
-
-    Inputs with at least one split per core, as any large table has, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    """For heavy work per row: the rows hashed over ``spark.sql.shuffle.partitions`` tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

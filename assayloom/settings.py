@@ -6,7 +6,6 @@ from __future__ import annotations
 TEST_FRACTION = 0.2
 VALIDATION_FRACTION = 0.2
 RANDOM_SEED = 42
-N_EPOCHS = 100
 PATIENCE = 10
 HASH_BITS = 1024
 DICTIONARY_BITS = 167

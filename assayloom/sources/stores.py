@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayloom.functions.text import content_key
 from assayloom.operators.curate import not_blank
 from assayloom.operators.featurise import FeatureSet, assemble_features
 from assayloom.operators.lookup import cached_lookup, uncached_keys
@@ -64,7 +63,11 @@ def load_or_refresh(
     force_refresh: bool = False,
     target: str = "target_id",
 ) -> DataFrame:
-    """Stored rows unless missing or ``force_refresh``; else fetch, preprocess, store, read."""
+    """Stored rows unless missing or ``force_refresh``; else fetch, preprocess, store, read.
+
+    If nothing is left of the fetched rows, old rows of the target are removed too: they are not
+    returned as fresh.
+    """
     if not force_refresh:
         stored = read_curated(spark, path, target_id, target)
         if stored is not None:
@@ -72,11 +75,23 @@ def load_or_refresh(
     fresh = preprocess(fetch(target_id))
     if target not in fresh.columns:
         fresh = fresh.withColumn(target, F.lit(target_id))
+    if fresh.isEmpty():
+        drop_curated(spark, path, target_id, target)
+        raise ValueError(f"No rows of target {target_id} passed the curation")
     save_curated(fresh, path, target)
+    return read_curated(spark, path, target_id, target)
+
+
+def drop_curated(spark: SparkSession, path: str, target_id: str, target: str = "target_id") -> None:
+    """Removes the directory of one target, if there is one."""
     stored = read_curated(spark, path, target_id, target)
     if stored is None:
-        raise ValueError(f"No data left for target {target_id}")
-    return stored
+        return
+    # The files of one target lie in one directory.
+    file = stored.select(F.input_file_name()).first()[0]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
 
 
 # --- raw snapshots ---------------------------------------------------------------
@@ -101,8 +116,11 @@ FEATURE_SCHEMA = T.StructType([
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """The store with one row per key: a retried or concurrent append may repeat some."""
     stored = read_if_exists(spark, path, FEATURE_SCHEMA)
-    return spark.createDataFrame([], FEATURE_SCHEMA) if stored is None else stored
+    if stored is None:
+        return spark.createDataFrame([], FEATURE_SCHEMA)
+    return stored.dropDuplicates(["key"])
 
 
 def upsert_features(
@@ -110,7 +128,7 @@ def upsert_features(
 ) -> DataFrame:
     """Computes and appends what the store lacks for the texts of ``df``; returns the store.
 
-    Stored keys are never recomputed. One writer at a time. Texts that are invalid have no
+    Stored keys are never recomputed; repeated keys are dropped on reading. Texts that are invalid have no
     vector and are not stored. The new texts, not their longer vectors, are spread by a key
     prefix; each task then writes at most one file per shard (first hex digit of the key).
     """
@@ -145,8 +163,3 @@ def clear_features(spark: SparkSession, path: str) -> None:
     """Empties the store; later appends keep the same layout."""
     empty = spark.createDataFrame([], FEATURE_SCHEMA)
     empty.write.mode("overwrite").partitionBy("shard").parquet(path)
-
-
-def feature_key(df: DataFrame, text: str, features: FeatureSet | None = None) -> DataFrame:
-    version = None if features is None else features.version
-    return df.withColumn("key", content_key(F.col(text), version))
