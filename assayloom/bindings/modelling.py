@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from assayloom.bindings import query, table
 from assayloom.bindings.aggregates import _EMB_SQL, _FOLD_SQL, _folded_lines
 from assayloom.bindings.common import line_key
+from assayloom.bindings.texts import DOCUMENT_FEATURES
 from assayloom.functions.numeric import rounded
-from assayloom.operators.featurise import FeatureSet
 from assayloom.operators.report import score_status
 from assayloom.operators.scale import (
     CorrelationPrune,
@@ -23,7 +23,9 @@ from assayloom.operators.stats import correlation_pairs, grouped_linear_fit, lin
 from assayloom.plans.runs import train_target
 from assayloom.plans.scoring import batch_score, score_with_saved
 from assayloom.plans.training import (
+    SEARCH_SPACES,
     cross_validate,
+    draw_trials,
     feature_importance,
     param_search,
     run_report,
@@ -211,7 +213,39 @@ def _linear_batch_score(spark, folder):
     )
 
 
-# --- fitted models: rows only -------------------------------------------------------------
+# --- fitted models --------------------------------------------------------------------------
+#
+# Without a penalty the linear model is least squares, which SQL can follow feature by feature:
+# each feature is freed of the ones before it on the train rows, and the prediction is the mean
+# plus the sum of (coefficient * freed feature). Fits repeat per ``part`` (a fold, or just 0).
+
+_LINE_NAMES = ["quantity", "discount", "tax", "line"]
+_PLAIN = {"regParam": 0.0}
+_KEYED = """lines AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS k,
+    l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3,
+    CAST(l_linenumber AS DOUBLE) AS x4 FROM lineitem),
+  marked AS (SELECT *, CASE WHEN md5(k || '|42') < '33333333' THEN 'test'
+    WHEN md5(k || '|43') < '33333333' THEN 'val' ELSE 'train' END AS split FROM lines)"""
+
+
+def _least_squares(source: str) -> str:
+    """WITH items that end in ``fitted`` (k, part, y, p, fit, split); ``source`` has x1..x4, fit."""
+    steps = [f"""z0 AS (SELECT s.*, m.my, x1 - m1 AS r1, x2 - m2 AS c2, x3 - m3 AS c3, x4 - m4 AS c4
+      FROM ({source}) s JOIN (SELECT part, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3,
+        avg(x4) AS m4 FROM ({source}) WHERE fit GROUP BY part) m USING (part))"""]
+    for k in range(2, 5):
+        sums = ", ".join(f"sum(c{k} * r{j}) / sum(r{j} * r{j}) AS b{j}" for j in range(1, k))
+        freed = " - ".join([f"c{k}", *(f"b{j} * r{j}" for j in range(1, k))])
+        steps.append(f"""z{k - 1} AS (SELECT z.*, {freed} AS r{k} FROM z{k - 2} z JOIN
+          (SELECT part, {sums} FROM z{k - 2} WHERE fit GROUP BY part) USING (part))""")
+    sums = ", ".join(f"sum((y - my) * r{j}) / sum(r{j} * r{j}) AS a{j}" for j in range(1, 5))
+    total = " + ".join(["my", *(f"a{j} * r{j}" for j in range(1, 5))])
+    steps.append(f"""fitted AS (SELECT z.*, {total} AS p FROM z3 z JOIN
+      (SELECT part, {sums} FROM z3 WHERE fit GROUP BY part) USING (part))""")
+    return ", ".join(steps)
+
+
+_FITTED = f"""{_KEYED}, {_least_squares("SELECT *, 0 AS part, split = 'train' AS fit FROM marked")}"""
 
 
 def _line_vectors(spark, folder):
@@ -225,71 +259,168 @@ def _line_vectors(spark, folder):
     return three_way_split(spread_rows(rows, "k"), "k")
 
 
-_LINE_NAMES = ["quantity", "discount", "tax", "line"]
+def _line_model(rows):
+    return train_regressor(
+        rows, "features", "y", "linear", params=_PLAIN, names=_LINE_NAMES
+    )
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    f"""WITH {_EMB_SQL}, r AS (SELECT l.pos, abs(corr(l.x, e.embedding[8])) AS r FROM long l
+          JOIN embeddings e ON e.vec_id = l.vec_id
+          WHERE md5(l.vec_id || '|42') >= '33333333' GROUP BY l.pos)
+        SELECT 'dim_' || arg_max(pos, r) AS name, CAST(1 AS INTEGER) AS rank FROM r""",
+)
 def _feature_importance(spark, folder):
-    rows = table(spark, folder, "embeddings")
-    return feature_importance(rows, "embedding", "label", NAMES)
+    """The label is one of the positions, so the forest must rank that one first."""
+    rows = _split_vectors(spark, folder).withColumn("y", F.col("embedding")[7].cast("double"))
+    ranked = feature_importance(rows, "embedding", "y", NAMES, k=1, trees=20, split_col="split")
+    return ranked.select("name", F.col("rank").cast("int"))
 
 
-@query("train_regressor")
+@query(
+    "train_regressor",
+    f"WITH {_FITTED} SELECT k, split, y, round(p, 3) + 0.0 AS predicted FROM fitted",
+)
 def _train_regressor(spark, folder):
     rows = _line_vectors(spark, folder)
-    trained = train_regressor(rows, "features", "y", "linear", names=_LINE_NAMES)
-    return trained.score(rows).select("k", "split", "y", "predicted")
+    return _line_model(rows).score(rows).select(
+        "k", "split", "y", rounded(F.col("predicted"), 3).alias("predicted")
+    )
+
 
+_FOLD_FIT = f"""{_KEYED}, folded AS (SELECT *, CAST(CAST('0x' || substr(md5(k || '|42'), 1, 8) AS BIGINT) % 3
+    AS INTEGER) AS fold FROM lines),
+  {_least_squares("SELECT f.*, v.part, fold <> v.part AS fit FROM folded f CROSS JOIN (SELECT unnest(range(3)) AS part) v")},
+  scores AS (SELECT part, 1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)) AS r2 FROM fitted
+             WHERE NOT fit GROUP BY part)"""
 
-@query("cross_validate_pipeline")
+
+@query(
+    "cross_validate_pipeline",
+    f"""WITH {_FOLD_FIT} SELECT fold, count(*) AS n,
+          round((SELECT avg(r2) FROM scores), 6) + 0.0 AS mean_r2 FROM folded GROUP BY fold""",
+)
 def _cross_validate_pipeline(spark, folder):
     rows = kfold_hash(_line_vectors(spark, folder), "k", 3)
-    score = cross_validate(rows, "features", "y")
-    return rows.groupBy("fold").agg(F.count("*").alias("n")).withColumn("mean_r2", F.lit(score))
+    score = cross_validate(rows, "features", "y", params=_PLAIN)
+    return rows.groupBy("fold").agg(F.count("*").alias("n")).withColumn(
+        "mean_r2", F.round(F.lit(score), 6)
+    )
+
 
+def _draw_sql(name: str) -> str:
+    return f"CAST('0x' || substr(md5(trial || '|{name}|42'), 1, 12) AS BIGINT) / {float(16 ** 12)}::DOUBLE"
 
-@query("param_search")
+
+_TRIALS_SQL = f"""SELECT trial, round(ln(1e-6::DOUBLE) + {_draw_sql('regParam')} * ln(1e5::DOUBLE), 6) AS log_penalty,
+    round({_draw_sql('elasticNetParam')}, 9) + 0.0 AS elastic_net, true AS scored
+  FROM (SELECT unnest(range(20)) AS trial)"""
+
+
+def _trials(spark, folder, fold_col=None):
+    rows = _line_vectors(spark, folder)
+    if fold_col:
+        rows = kfold_hash(rows, "k", 3)
+    _, trials, best = param_search(
+        rows, "features", "y", "linear", names=_LINE_NAMES, fold_col=fold_col
+    )
+    drawn = draw_trials(spark, SEARCH_SPACES["linear"], 20)
+    assert set(best) == {"regParam", "elasticNetParam"}
+    return drawn.join(trials, "trial").select(
+        "trial", F.round(F.log("regParam"), 6).alias("log_penalty"),
+        rounded(F.col("elasticNetParam"), 9).alias("elastic_net"),
+        (F.abs("score") < F.lit(float("inf"))).alias("scored"),
+    )
+
+
+@query("param_search", _TRIALS_SQL)
 def _param_search(spark, folder):
-    _, trials, _ = param_search(_line_vectors(spark, folder), "features", "y", "linear", n_trials=6)
-    return trials
+    """Drawn parameters of all 20 trials; each gets a score on the val rows."""
+    return _trials(spark, folder)
+
+
+@query("param_search_folds", _TRIALS_SQL)
+def _param_search_folds(spark, folder):
+    """The same trials, scored by their mean held-out r2 over three folds of the train rows."""
+    return _trials(spark, folder, "fold")
 
 
-@query("batch_score")
+@query(
+    "batch_score",
+    f"""WITH {_FITTED} SELECT k, CASE WHEN x1 > 5 THEN round(p, 3) + 0.0 END AS predicted,
+          CASE WHEN x1 > 5 THEN 'success' ELSE 'failed' END AS status,
+          CASE WHEN x1 > 5 THEN round(p, 3) + 0.0 END AS mean FROM fitted""",
+)
 def _batch_score(spark, folder):
     rows = _line_vectors(spark, folder)
-    trained = train_regressor(rows, "features", "y", "linear", names=_LINE_NAMES)
     some_bad = rows.withColumn("features", F.when(F.col("features")[0] > 5, F.col("features")))
-    return batch_score(trained, some_bad, "features").select(
-        "k", "predicted", "status", "confidence.mean", "confidence.std"
+    return batch_score(_line_model(rows), some_bad, "features").select(
+        "k", rounded(F.col("predicted"), 3).alias("predicted"), "status",
+        rounded(F.col("confidence.mean"), 3).alias("mean"),
     )
 
 
-@query("model_save_load")
+@query(
+    "model_save_load",
+    f"WITH {_FITTED} SELECT k, round(p, 3) + 0.0 AS predicted, 'success' AS status FROM fitted",
+)
 def _model_save_load(spark, folder):
     rows = _line_vectors(spark, folder)
-    trained = train_regressor(rows, "features", "y", "linear", names=_LINE_NAMES)
-    path = fresh_path(spark, "model")
+    trained, path = _line_model(rows), fresh_path(spark, "model")
     save_model(spark, trained.pipeline, trained.metadata, path)
-    return score_with_saved(spark, path, rows, "features").select("k", "predicted", "status")
+    return score_with_saved(spark, path, rows, "features").select(
+        "k", rounded(F.col("predicted"), 3).alias("predicted"), "status"
+    )
 
 
-@query("run_report")
+@query(
+    "run_report",
+    f"""WITH {_FITTED} SELECT split, count(*) AS n, round(sqrt(avg((y - p) * (y - p))), 3) + 0.0 AS rmse,
+          round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 6) + 0.0 AS r2,
+          'linear' AS regressor, 4 AS n_features, 'quantity,discount,tax,line' AS names
+        FROM fitted GROUP BY split""",
+)
 def _run_report(spark, folder):
     rows = _line_vectors(spark, folder)
-    trained = train_regressor(rows, "features", "y", "linear", names=_LINE_NAMES)
+    trained = _line_model(rows)
     report = run_report(trained, trained.score(rows), "y", "lines", "Order lines")
     path = fresh_path(spark, "report")
     save_json(report, path)
-    return spark.read.schema(report.schema).json(path)
+    return spark.read.schema(report.schema).json(path).select(
+        F.explode("metrics").alias("split", "m"), "regressor", F.col("n_features").cast("int"),
+        F.array_join("feature_names", ",").alias("names"),
+    ).select(
+        "split", "m.n", rounded(F.col("m.rmse"), 3).alias("rmse"), rounded(F.col("m.r2")).alias("r2"),
+        "regressor", "n_features", "names",
+    )
+
+
+_TARGET_SQL = """en AS (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents
+    WHERE lang = 'en' AND n_chars > 0 AND n_chars < 1000000 AND trim(text) <> ''),
+  r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '|42')) AS r, count(*) OVER () AS n
+        FROM en WHERE rn = 1),
+  c AS (SELECT r, ceil(n * 0.2::DOUBLE) AS t, ceil((n - ceil(n * 0.2::DOUBLE)) * 0.2::DOUBLE) AS v FROM r),
+  s AS (SELECT CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS split FROM c)"""
 
 
-@query("train_target")
+@query(
+    "train_target",
+    f"WITH {_TARGET_SQL} SELECT 'en' AS target_id, split, count(*) AS n, true AS learned FROM s GROUP BY split",
+)
 def _train_target(spark, folder):
-    """documents as activities: target = language, key = text, value = number of characters."""
+    """documents as activities: target = language, key = text, value = number of characters.
+
+    The whole 1,208-wide feature set is pruned, scaled and fitted; the label follows from the
+    text length, one of the features, so the train rows must be explained well.
+    """
     activities = as_activities(
         table(spark, folder, "documents"), F.col("lang"), F.col("doc_id"), F.col("text"),
         F.col("n_chars"),
     )
-    features = FeatureSet(hash_bits=32, dictionary=(None, *"aeiou"), label="short")
-    _, report = train_target(spark, activities, "en", fresh_path(spark, "run"), features)
-    return report
+    _, report = train_target(spark, activities, "en", fresh_path(spark, "run"), DOCUMENT_FEATURES)
+    return report.select("target_id", F.explode("metrics").alias("split", "m")).select(
+        "target_id", "split", "m.n",
+        ((F.col("split") != "train") | (F.col("m.r2") > 0.5)).alias("learned"),
+    )

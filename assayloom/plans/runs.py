@@ -12,7 +12,8 @@ from assayloom.operators.lookup import reference_lookup
 from assayloom.operators.split import conditional_resample, group_split, three_way_split_exact
 from assayloom.plans.scoring import score_texts
 from assayloom.plans.training import Trained, param_search, run_report, train_regressor
-from assayloom.settings import RANDOM_SEED, TARGETS, VALIDATION_FRACTION
+from assayloom.session import stored
+from assayloom.settings import CORRELATION_THRESHOLD, RANDOM_SEED, TARGETS, VALIDATION_FRACTION
 from assayloom.sources.activity import activity_scan
 from assayloom.sources.models import save_model
 from assayloom.sources.output import save_json
@@ -61,13 +62,19 @@ def train_target(
         preprocess=lambda rows: curate(rows, extra=extra),
         force_refresh=force_refresh,
     )
-    rows = featurise_with_store(curated, "key_text", "entity_id", f"{folder}/features", features)
-    rows = split_rows(rows, split_method, "entity_id", group)
+    # Split and resampling pass over the narrow rows several times: features come after them.
+    rows = split_rows(curated, split_method, "entity_id", group)
     if resample:
         rows, _ = conditional_resample(rows, "p_value", "entity_id")
+    rows = stored(
+        featurise_with_store(rows, "key_text", "entity_id", f"{folder}/features", features),
+        "featurised",
+    )
     if n_trials:
-        trained, _, _ = param_search(rows, "features", "p_value", kind, n_trials)
-        trained.metadata.update(feature_names=features.names, full_feature_names=features.names)
+        trained, _, _ = param_search(
+            rows, "features", "p_value", kind, n_trials, threshold=CORRELATION_THRESHOLD,
+            names=features.names,
+        )
     else:
         trained = train_regressor(
             rows, "features", "p_value", kind, preset, names=features.names

@@ -8,11 +8,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,10 +142,17 @@ def feature_importance(
     names: Sequence[str],
     k: int = 20,
     trees: int = 100,
-    max_depth: int = 5,
+    max_depth: int = 30,
     seed: int = RANDOM_SEED,
+    split_col: str | None = None,
 ) -> DataFrame:
-    """The k most important features of a random forest: (name, importance, rank)."""
+    """The k most important features of a random forest: (name, importance, rank).
+
+    With ``split_col`` only train rows are used. ``max_depth`` is the deepest that pyspark.ml
+    allows; lower it for a cheaper, coarser ranking.
+    """
+    if split_col is not None:
+        df = df.where(F.col(split_col) == "train")
     rows = df.where(F.col(features).isNotNull() & F.col(label).isNotNull()).select(
         array_to_vector(as_array(df, features)).alias("v"), F.col(label).cast("double").alias("y")
     )
@@ -180,18 +187,18 @@ def cross_validate(
     try:
         folds = rows.agg(F.max(fold_col)).first()[0] + 1
         regressor = make_regressor(kind, params or PRESETS[kind]["base"]).setLabelCol(label)
-        stages = [*feature_pipeline(features, threshold=threshold), regressor]
-        validator = CrossValidator(
-            estimator=Pipeline(stages=stages),
-            estimatorParamMaps=ParamGridBuilder().build(),
-            evaluator=RegressionEvaluator(
-                labelCol=label, predictionCol=RAW_PREDICTION, metricName="r2"
-            ),
-            numFolds=folds,
-            foldCol=fold_col,
-            parallelism=parallelism,
+        estimator = Pipeline(stages=[*feature_pipeline(features, threshold=threshold), regressor])
+        evaluator = RegressionEvaluator(
+            labelCol=label, predictionCol=RAW_PREDICTION, metricName="r2"
         )
-        return float(validator.fit(rows).avgMetrics[0])
+
+        def held_out(fold: int) -> float:
+            model = estimator.fit(rows.where(F.col(fold_col) != fold))
+            return evaluator.evaluate(model.transform(rows.where(F.col(fold_col) == fold)))
+
+        # The k folds only: no last fit on all rows.
+        with ThreadPoolExecutor(parallelism) as pool:
+            return float(sum(pool.map(held_out, range(folds))) / folds)
     finally:
         rows.unpersist()
 
@@ -262,57 +269,73 @@ def param_search(
     split_col: str = "split",
     seed: int = RANDOM_SEED,
     parallelism: int = 4,
+    fold_col: str | None = None,
+    names: Sequence[str] | None = None,
 ) -> tuple[Trained, DataFrame, dict]:
     """Random search: (refitted best, trial table with scores, best parameters).
 
-    Features are prepared once on the train rows and shared by all trials; a trial that fails
-    gets the worst score. ``rmse`` is minimised on the ``val`` rows, ``r2`` maximised.
+    Features are prepared once on the train rows and shared by all trials. Parameters that a
+    regressor does not accept give the trial the worst score and its ``reason``; any other
+    failure ends the search, and so do trials that all fail. ``rmse`` is minimised on the
+    ``val`` rows, ``r2`` maximised; with ``fold_col`` the mean held-out r2 over those folds
+    is maximised instead.
     """
     spark = df.sparkSession
     trials = [
         r.asDict() for r in draw_trials(spark, space or SEARCH_SPACES[kind], n_trials, seed).collect()
     ]
-    rows = df.where(F.col(features).isNotNull() & F.col(label).isNotNull())
+    columns = [features, label, split_col, *([fold_col] if fold_col else [])]
+    rows = df.where(F.col(features).isNotNull() & F.col(label).isNotNull()).select(*columns)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     train = rows.where(F.col(split_col) == "train")
     y_scale = StandardScale.fit(train, label)
     prepared = Pipeline(stages=feature_pipeline(features, threshold=threshold)).fit(train)
     ready = (
         prepared.transform(rows.where(F.col(split_col).isin("train", "val")))
         .select(split_col, "scaled", y_scale.scaled(F.col(label)).alias(Y_SCALED))
-        .persist()
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     evaluator = RegressionEvaluator(
         labelCol=Y_SCALED, predictionCol=RAW_PREDICTION, metricName=metric
     )
-    maximise = metric == "r2"
+    maximise = metric == "r2" or fold_col is not None
     worst = float("-inf") if maximise else float("inf")
 
-    def run(trial: dict) -> float:
+    def run(trial: dict) -> tuple[float, str | None]:
         params = {k: v for k, v in trial.items() if k != "trial"}
         try:
+            if fold_col is not None:
+                return cross_validate(
+                    train, features, label, fold_col, kind, params, threshold, parallelism=1
+                ), None
             model = make_regressor(kind, params).fit(ready.where(F.col(split_col) == "train"))
             return float(evaluator.evaluate(
                 model.transform(ready.where(F.col(split_col) == "val"))
-            ))
-        except Exception as error:  # noqa: BLE001 - one bad trial must not end the search
-            print(f"trial {trial['trial']} failed: {error}")
-            return worst
+            )), None
+        except (IllegalArgumentException, TypeError, ValueError) as error:
+            return worst, str(error)
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(run, trials))
+            results = list(pool.map(run, trials))
     finally:
         ready.unpersist()
-    table = constant_table(
-        spark, {"trial": ("bigint", [t["trial"] for t in trials]), "score": ("double", scores)}
-    )
+        rows.unpersist()
+    if all(reason for _, reason in results):
+        raise ValueError(f"every trial failed, the first one with: {results[0][1]}")
+    table = constant_table(spark, {
+        "trial": ("bigint", [t["trial"] for t in trials]),
+        "score": ("double", [score for score, _ in results]),
+        "reason": ("string", [reason for _, reason in results]),
+    })
     best = best_trial(table, "trial", "score", maximise).first()
     params = {k: v for k, v in trials[best["best_params"]].items() if k != "trial"}
     # RMSE in label units.
     factor = 1.0 if maximise else y_scale.std
     table = table.withColumn("score", F.col("score") * F.lit(factor))
     fitted = train_regressor(
-        df, features, label, kind, params=params, threshold=threshold, split_col=split_col
+        df, features, label, kind, params=params, names=names, threshold=threshold,
+        split_col=split_col,
     )
     return fitted, table, params
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -27,17 +28,20 @@ class SavedModel:
 
 
 def save_model(spark: SparkSession, model: PipelineModel, metadata: dict, path: str) -> None:
-    """Writes the pipeline first and the metadata last.
+    """Writes the pipeline into a folder of its own first, and the metadata, which names that
+    folder, last.
 
-    The metadata is the commit mark: a directory without it is an unfinished save. (Renames are
-    not atomic on object stores.)
+    The metadata is the commit mark: until it is replaced, the earlier save stays readable, and
+    a directory without it is an unfinished save. (Renames are not atomic on object stores.)
+    Pipelines of earlier saves are left in place for readers that have just read their mark.
     """
+    folder = f"pipeline-{uuid.uuid4().hex}"
     stamp = spark.range(1).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     ).first()[0]
-    record = {"version": 1.0, "pipeline": "pipeline", "is_trained": True, "timestamp": stamp,
+    record = {"version": 1.0, "pipeline": folder, "is_trained": True, "timestamp": stamp,
               **metadata}
-    model.write().overwrite().save(f"{path}/pipeline")
+    model.write().save(f"{path}/{folder}")
     text = json.dumps(record, default=str)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/metadata"
@@ -54,4 +58,4 @@ def load_model(spark: SparkSession, path: str) -> SavedModel:
     missing = [k for k in REQUIRED_KEYS if k not in metadata]
     if missing:
         raise KeyError(f"model metadata lacks {missing}")
-    return SavedModel(PipelineModel.load(f"{path}/pipeline"), {**DEFAULTS, **metadata})
+    return SavedModel(PipelineModel.load(f"{path}/{metadata['pipeline']}"), {**DEFAULTS, **metadata})
