@@ -29,19 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.llm.common import slices
-from assayloom.llm.tokens import WHITE, PieceEncoder
+from assayloom.llm.tokens import WHITE, PieceEncoder, byte_characters, letters_first
 
 #: Cuts that no token crosses: white space before other text keeps its last character only.
 _CUTS = re.compile(f"[{WHITE}]?[^{WHITE}]+|[{WHITE}]+(?=[{WHITE}][^{WHITE}])|[{WHITE}]+")
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself if printable, else the next from U+0100."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         pairs = (line.split() for line in lines if line.strip())
@@ -95,9 +88,7 @@ class ByteCodec:
 
     def __init__(self, path: str):
         tokenizer, self.table = _vocabulary(path)
-        self._pieces = PieceEncoder(
-            lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts)]
-        )
+        self._pieces = PieceEncoder(letters_first(tokenizer))
         self._lengths = np.array([len(t) for t in self.table], np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:

@@ -79,6 +79,36 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: itself if printable, else the next from U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+def letters_first(tokenizer, unchanged=lambda piece: True):
+    """``encode_batch`` of a byte-level tokenizer that hands pieces of Latin letters, with one
+    space before them at most, to its model directly: such a piece is one match of the pattern
+    and, if ``unchanged``, no normalisation alters it."""
+    model, shown = tokenizer.model, dict(enumerate(byte_characters()))
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        out, rest = {}, []
+        for p in pieces:
+            word = p[1:] if p[0] == " " else p
+            if word.isalpha() and not _BEYOND_LATIN.search(word) and unchanged(p):
+                text = word if p.isascii() and word is p else (
+                    p.encode().decode("latin-1").translate(shown))
+                out[p] = [t.id for t in model.tokenize(text)]
+            else:
+                rest.append(p)
+        made = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((p, e.ids) for p, e in zip(rest, made))
+        return [out[p] for p in pieces]
+
+    return encode
+
+
 def word_pieces(text: str) -> list[str]:
     """Cut at spaces and line ends: this vocabulary drops white space and never merges over it.
 
@@ -99,8 +129,5 @@ def word_encoder(path: str):
     """
     tokenizer = load_tokenizer(path)
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    encoder = PieceEncoder(encode)
+    encoder = PieceEncoder(letters_first(tokenizer, lambda p: p == p.lower()))
     return lambda texts: encoder.ids([word_pieces(t) for t in texts])

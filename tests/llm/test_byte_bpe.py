@@ -8,12 +8,12 @@ import tiktoken
 
 from assayloom.llm.byte_bpe import (
     ByteCodec,
-    byte_characters,
     decode_documents,
     encode_documents,
     round_trip_digests,
 )
 from assayloom.llm.common import byte_ranks
+from assayloom.llm.tokens import byte_characters
 
 TEXTS = [
     (1, None), (2, ""), (3, "Hello  world,\n\n it's 12² "), (4, "漢字 😀 é ́ <|endoftext|>"),
