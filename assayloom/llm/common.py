@@ -87,3 +87,28 @@ def byte_ranks() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+#: Cells of a key filter; so many rows of one number is the most that is ever broadcast for it.
+FILTER_CELLS = 1 << 21
+
+
+def _celled(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_flag``: null if no key of ``keys`` hashes to the row's cell."""
+    cell = F.pmod(F.xxhash64(key), F.lit(FILTER_CELLS)).cast("int").alias("_cell")
+    flags = keys.select(cell).distinct().withColumn("_flag", F.lit(True))
+    return rows.select("*", cell).join(F.broadcast(flags), "_cell", "left").drop("_cell")
+
+
+def certainly_without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``rows`` that surely have none of the keys; they need not move to be told so.
+
+    A filter of hash cells with a fixed size decides. With far more keys than cells nearly all
+    rows are left to ``possibly_with``, which is slower and as right.
+    """
+    return _celled(rows, keys, key).where("_flag is null").drop("_flag")
+
+
+def possibly_with(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The other rows: all that have a key of ``keys``, and a few that only share a cell."""
+    return _celled(rows, keys, key).where("_flag is not null").drop("_flag")

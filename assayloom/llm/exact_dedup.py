@@ -24,7 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import SPACES, as_bytes, slices, work_parts
+from assayloom.llm.common import (
+    SPACES,
+    as_bytes,
+    certainly_without,
+    possibly_with,
+    slices,
+    work_parts,
+)
 from assayloom.llm.golomb import decode, encode
 from assayloom.session import stored
 
@@ -150,13 +157,14 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, suspect_rows: DataFrame) -> DataFrame:
     """text_sha256, n_bodies: the different texts behind each suspect digest (one, in truth).
 
-    Only texts of suspects take part; copies merge inside each task before they move.
+    Only texts of suspects move, but for a few that share a filter cell with one; copies merge
+    inside each task before they are compared.
     """
     ids = suspect_rows.select(F.coalesce("doc_id", F.lit(-1)).alias("_id")).distinct()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_id"),
+                       F.col("text").cast("string"))
     texts = (
-        docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_id"),
-                    F.col("text").cast("string"))
-        .join(ids, "_id", "left_semi").select("text")
+        possibly_with(rows, ids, "_id").join(ids, "_id", "left_semi").select("text")
         .mapInArrow(_normal, "text_sha256 string, body binary")
     )
     return texts.groupBy("text_sha256", "body").agg(F.lit(1).alias("n")).groupBy(
@@ -216,7 +224,7 @@ def keep_one_copy(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     Rows are found again by (doc_id, digest, length); of rows equal in all three as many stay as
-    the groups say.
+    the groups say. Texts whose doc_id loses no row stay where they are.
     """
     lossy = stored(
         duplicate_groups(docs)
@@ -227,17 +235,17 @@ def keep_one_copy(docs: DataFrame) -> DataFrame:
         .where("_stay < rows").drop("rows"),
         "lossy",
     )
-    keys, text = ["_id", "_sha", "_n"], F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select(
-        F.struct("*").alias("row"),
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_id"),
-        F.sha2(F.translate(text, SPACES.decode(), ""), 256).alias("_sha"),
+    rows = docs.select(
+        F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_id")
+    )
+    keys, text = ["_id", "_sha", "_n"], F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    marked = possibly_with(rows, lossy, "_id").select(
+        "row", "_id", F.sha2(F.translate(text, SPACES.decode(), ""), 256).alias("_sha"),
         F.char_length(text).cast("bigint").alias("_n"),
     )
-    whole = marked.join(lossy, keys, "left_anti")
-    turn = Window.partitionBy(*keys).orderBy(*keys)
-    some = (
-        marked.join(lossy.where("_stay > 0"), keys)
-        .withColumn("_turn", F.row_number().over(turn)).where("_turn <= _stay")
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    some = marked.join(lossy, keys, "left").withColumn("_turn", turn).where(
+        F.coalesce(F.col("_turn") <= F.col("_stay"), F.lit(True))
     )
+    whole = certainly_without(rows, lossy, "_id")
     return whole.select("row").unionByName(some.select("row")).select("row.*")

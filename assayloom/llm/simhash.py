@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import SPACES, as_bytes, slices
+from assayloom.llm.common import SPACES, as_bytes, certainly_without, possibly_with, slices
 from assayloom.llm.components import component_labels
 from assayloom.session import stored
 
@@ -251,9 +251,13 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id (a null one too) are one document and stay or go together.
     """
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = near_duplicate_classes(docs).where(same).select(
-        F.col("doc_id").alias("_kept")
-    ).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_own"))
-    return rows.join(kept, F.col("_own").eqNullSafe(F.col("_kept")), "left_semi").select("row.*")
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_own")
+    classes = near_duplicate_classes(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
+    gone = stored(
+        classes.groupBy(own).agg(F.max(stays).alias("stay")).where("stay = 0").select("_own"), "gone"
+    )
+    rows = docs.select(F.struct("*").alias("row"), own)
+    # Most documents stay, and are told so where they lie.
+    left = possibly_with(rows, gone, "_own").join(gone, "_own", "left_anti")
+    return certainly_without(rows, gone, "_own").unionByName(left).select("row.*")
