@@ -34,6 +34,7 @@ def load() -> None:
     """Imports all binding modules, which register themselves."""
     from assayloom.bindings import (  # noqa: F401
         aggregates,
+        flows,
         joins,
         modelling,
         projections,

@@ -26,7 +26,16 @@ def texts(spark):
 def expected_bits(text, radius=2, width=1024):
     toks = [t for t in re.split(r"[ \t\n\r\f]+", text.lower()) if t]
     grams = {" ".join(toks[i:i + n]) for n in range(1, radius + 2) for i in range(len(toks) - n + 1)}
-    return sorted({int(hashlib.md5(g.encode()).hexdigest()[:3], 16) % width for g in grams})
+    return sorted({int(hashlib.md5(g.encode()).hexdigest()[:10], 16) % width for g in grams})
+
+
+def test_bits_spread_evenly_over_any_width(spark):
+    from assayloom.functions.text import hashed_bits
+
+    words = F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: i.cast("string"))
+    bits = spark.range(1).select(hashed_bits(words, radius=0, width=3000).alias("b")).first().b
+    below = sum(b < 1096 for b in bits) / len(bits)
+    assert abs(below - 1096 / 3000) < 0.04
 
 
 def test_widths_and_names(spark):

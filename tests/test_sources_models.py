@@ -60,8 +60,12 @@ def test_load_or_refresh(spark, folder):
     assert read_curated(spark, path, "T2").count() == 1
     plan = read_curated(spark, path, "T2")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(target_id" in plan
-    with pytest.raises(ValueError, match="No data left"):
-        load_or_refresh(spark, path, "T3", lambda t: fetch(t).limit(0), curate)
+    for target in ("T3", "T1"):  # nothing left: an error, and no old rows that look fresh
+        with pytest.raises(ValueError, match="passed the curation"):
+            load_or_refresh(
+                spark, path, target, lambda t: fetch(t).limit(0), curate, force_refresh=True)
+        assert read_curated(spark, path, target) is None
+    assert read_curated(spark, path, "T2").count() == 1
 
 
 def test_raw_snapshots_append(spark, folder):
@@ -120,6 +124,39 @@ def test_noiseless_line_is_found_and_survives_saving(spark, folder):
     assert loaded[5].predicted == pytest.approx(loaded[5].y, abs=1e-6)
 
 
+def test_overwritten_model_is_whole(spark, folder):
+    rows = lines(spark, 100)
+    for scale in (1.0, 3.0):
+        made = rows.withColumn("y", F.col("y") * scale)
+        trained = train_regressor(made, "features", "y", params={"regParam": 0.0}, names=NAMES)
+        save_model(spark, trained.pipeline, trained.metadata, f"{folder}/twice")
+        got = score_with_saved(spark, f"{folder}/twice", made, "features").first()
+        assert got.predicted == pytest.approx(got.y, abs=1e-6)
+
+
+def test_repeated_keys_do_not_multiply_rows(spark, folder):
+    from assayloom.sources.stores import featurise_with_store, upsert_features
+
+    small = FeatureSet(hash_bits=16, dictionary=(None, "o"), patterns=())
+    rows = spark.createDataFrame([(1, "ab"), (2, "cd")], "id int, t string")
+    upsert_features(rows, "t", f"{folder}/store", small)
+    spark.read.parquet(f"{folder}/store").write.mode("append").partitionBy("shard").parquet(
+        f"{folder}/copy")
+    for _ in range(2):  # a retried append
+        spark.read.parquet(f"{folder}/copy").write.mode("append").partitionBy("shard").parquet(
+            f"{folder}/store")
+    assert featurise_with_store(rows, "t", "id", f"{folder}/store", small).count() == 2
+
+
+def test_paths_are_cleaned_up(spark):
+    from assayloom.session import clean_up, fresh_path, stored
+
+    path = fresh_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert stored(spark.range(4), "table").count() == 4
+    assert clean_up(spark) >= 2 and clean_up(spark) == 0
+
+
 def test_load_errors(spark, folder):
     with pytest.raises(FileNotFoundError):
         load_model(spark, f"{folder}/none")
@@ -136,9 +173,13 @@ def test_tree_presets_search_and_importance(spark):
     assert trials.count() == 4 and set(params) == set(SEARCH_SPACES["linear"])
     scores = [r.score for r in trials.orderBy("trial").collect()]
     assert all(s >= 0 for s in scores) and best.metadata["params"]["regParam"] == params["regParam"]
+    assert trials.where("reason is not null").count() == 0
     bad = {"regParam": lambda u: F.lit(-1.0)}
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError, match="every trial failed"):
         param_search(rows, "features", "y", "linear", n_trials=1, space=bad)
+    some = {"regParam": lambda u: F.when(F.col("trial") == 0, -1.0).otherwise(u)}
+    _, trials, _ = param_search(rows, "features", "y", "linear", n_trials=2, space=some)
+    assert [r.reason is None for r in trials.orderBy("trial").collect()] == [False, True]
     top = feature_importance(rows, "features", "y", ["a", "b"], trees=10).orderBy("rank").collect()
     assert top[0].name == "a" and sum(r.importance for r in top) == pytest.approx(1.0)
 
@@ -171,7 +212,7 @@ def test_texts_to_scores(spark):
 
 def test_shared_folder_is_kept(spark):
     folder = shared_folder(spark)
-    assert folder == shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert folder == shared_folder(spark)
     assert cut_lineage(spark.range(5)).count() == 5
 
 

@@ -111,3 +111,52 @@ def test_resample_only_when_distributions_differ(spark):
     assert report["resampled"] and report["p_value"] < 1e-6
     assert kept.where("split = 'test'").count() == 600
     assert kept.columns == same.columns
+
+
+def test_null_keys_do_not_disturb_the_sizes(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") >= 300, F.col("id")).alias("k"))
+    sizes = Counter((r.split, r.k is None) for r in holdout_exact(rows, "k").collect())
+    assert sizes == {("test", False): 140, ("train", False): 560, ("train", True): 300}
+    sizes = Counter((r.split, r.k is None) for r in three_way_split_exact(rows, "k").collect())
+    assert sizes == {("test", False): 140, ("val", False): 112, ("train", False): 448,
+                     ("train", True): 300}
+    folds = Counter(r.fold for r in kfold(rows, "k", 3).collect() if r.k is not None)
+    assert sorted(folds.values()) == [233, 233, 234]
+    assert all(r.fold == 0 for r in kfold(rows, "k", 3).collect() if r.k is None)
+
+
+def test_an_empty_test_part(spark):
+    sizes = Counter(r.split for r in three_way_split_exact(spark.range(1000), "id", test=0.0).collect())
+    assert sizes == {"val": 200, "train": 800}
+
+
+def test_narrow_cells_give_the_same_thresholds(spark):
+    from assayloom.functions.text import row_hash
+    from assayloom.operators.ordered import hash_thresholds
+
+    rows = spark.range(700).select(row_hash(F.col("id"), 42).alias("h"))
+    cuts = spark.createDataFrame([(0, 1), (1, 350), (2, 700), (3, 0), (4, 701)], "cut int, position int")
+    hashes = sorted(md5(i) for i in range(700))
+    want = {0: hashes[0], 1: hashes[349], 2: hashes[699]}
+    for digits, levels in ((1, 1), (1, 3), (4, 2)):
+        got = hash_thresholds(rows, "h", cuts, digits=digits, levels=levels).collect()
+        assert {r.cut: r.threshold for r in got} == want
+
+
+def test_train_rows_without_a_value_stay(spark):
+    rows = spark.range(600).select(
+        "id", F.when(F.col("id") % 6 > 0, F.col("id").cast("double")).alias("v"),
+        F.when(F.col("id") > 500, "test").otherwise("train").alias("split"))
+    kept, report = conditional_resample(rows, "v", "id")
+    assert report["resampled"]
+    assert kept.where("v is null").count() == rows.where("v is null").count()
+
+
+def test_small_bins_are_merged(spark):
+    counts = {0: 50, 1: 3, 2: 4, 3: 40, 4: 2, 5: 1}
+    rows = spark.createDataFrame([(b,) for b, n in counts.items() for _ in range(n)], "bin int")
+    from assayloom.operators.split import merge_small_bins
+
+    got = Counter(r.bin for r in merge_small_bins(rows, 30).collect())
+    assert got == {0: 50, 1: 50}
+    assert Counter(r.bin for r in merge_small_bins(rows, 1000).collect()) == {0: 100}

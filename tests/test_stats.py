@@ -159,3 +159,10 @@ def test_best_trial_and_weights(spark):
     preds = spark.createDataFrame([(None,), (None,)], "p double")
     got = prediction_summary(preds, "p").first()
     assert (got.successful, got.failed, got.min_predicted) == (0, 2, None)
+
+
+def test_positions_without_numbers_keep_their_place(spark):
+    rows = spark.createDataFrame(
+        [([float(i), None, 10.0 * i],) for i in range(5)], "v array<double>")
+    scaler = RobustScale.fit(rows, "v")
+    assert scaler.medians == (2.0, 0.0, 20.0) and scaler.divisors == (2.0, 1.0, 20.0)
