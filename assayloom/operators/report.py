@@ -112,9 +112,9 @@ def kde_grid(
     """Gaussian density of a value on its own grid for each group: (by, point, x, density).
 
     Bandwidth n^(-1/5) * sample deviation; the grid runs ``cut`` bandwidths beyond the data.
-    Equal values are merged into weights first. Each remaining row adds to all grid points in
-    its own task, and partial sums (groups x points) are all that is shuffled. ``by`` has few
-    distinct values.
+    Equal values are merged into weights first. Each remaining row adds, in its own task, to the
+    grid points within 39 bandwidths (beyond them the density is below the smallest double), and
+    partial sums (groups x points) are all that is shuffled. ``by`` has few distinct values.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     # One row per group.
@@ -127,17 +127,33 @@ def kde_grid(
     weights = rows.groupBy(by, value).agg(F.count("*").alias("_w"))
     low = F.col("_lo") - cut * F.col("_h")
     high = F.col("_hi") + cut * F.col("_h")
-    x = low + (high - low) * F.col("point") / F.lit(points - 1)
+    step = (high - low) / F.lit(points - 1)
+    x = low + step * F.col("point")
     z = (F.col("x") - F.col(value)) / F.col("_h")
+
+    def nearest(edge: Column) -> Column:
+        at = F.floor((edge - low) / step)
+        return F.least(F.greatest(at, F.lit(0)), F.lit(points - 1)).cast("int")
+
+    reach = F.sequence(
+        nearest(F.col(value) - 39 * F.col("_h")), nearest(F.col(value) + 39 * F.col("_h") + step)
+    )
+    # Every grid point has a row, also where no value reaches.
+    grid = shape.select(
+        by, *[F.lit(None if c == value else 0).cast(t).alias(c) for c, t in
+              ((value, "double"), ("_w", "bigint"))],
+        "_n", "_h", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
+    )
     return (
-        weights.join(F.broadcast(shape), by)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+        weights.withColumn(value, F.col(value).cast("double")).join(shape, by)
+        .select(*grid.columns[:-1], F.explode(reach).alias("point"))
+        .unionByName(grid)
         .withColumn("x", x)
         .groupBy(by, "point")
         .agg(
             F.min("x").alias("x"),
             (
-                F.sum(F.col("_w") * F.exp(-0.5 * z * z))
+                F.sum(F.coalesce(F.col("_w") * F.exp(-0.5 * z * z), F.lit(0.0)))
                 / (F.min("_n") * F.min("_h") * F.sqrt(F.lit(2.0) * F.pi()))
             ).alias("density"),
         )

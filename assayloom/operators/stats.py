@@ -45,7 +45,8 @@ def feature_summary(df: DataFrame, features: str) -> DataFrame:
         F.min("x").alias("min"),
         F.max("x").alias("max"),
     )
-    return per_pos.withColumn("n_features", per_pos.agg(F.count("*")).scalar())
+    # The window spans one row per position.
+    return per_pos.withColumn("n_features", F.count("*").over(Window.partitionBy()))
 
 
 def regression_metrics(
