@@ -21,7 +21,6 @@ from assayloom.operators.featurise import (
     text_descriptors,
 )
 from assayloom.operators.lookup import pattern_cross
-from assayloom.operators.stats import feature_summary
 from assayloom.session import fresh_path, spread_rows
 from assayloom.sources.stores import clear_features, featurise_with_store, upsert_features
 
