@@ -1,8 +1,6 @@
 import pyarrow as pa
 import pytest
 
-from assayloom.session import build_session  # noqa: F401  (the session itself is shared)
-
 #: Columns that clash with names the operators use inside.
 CLASHING = {
     "row": "string", "score": "string", "_id": "string", "_kept": "string", "held_out": "string",
