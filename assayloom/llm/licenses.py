@@ -1,7 +1,7 @@
 """Licence scan by canonical digests.
 
 A text is brought to a canonical form (letters A-Z in lower case, equivalent spellings made one,
-copyright lines removed, punctuation and white space as single spaces), its SHA-256 digest is
+copyright statements removed, punctuation and white space as single spaces), its SHA-256 digest is
 hash-joined to the digests of known licences and notices. Whole texts are looked up, and each
 of their paragraphs and lines as whole texts of their own, since notices stand in other texts.
 
@@ -12,6 +12,8 @@ not hashed); rows with equal doc_id are scanned each on its own; extra columns p
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,34 @@ SPELLINGS = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright [^\n]*|all rights reserved[^\n]*)"
 _REST = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+# Fixed value: words that follow "copyright" where a licence speaks of it, not where one is stated.
+_SPEAKS = ("notice", "holder", "owner", "statement", "law", "license", "permission", "interest",
+           "disclaimer", "treaty")
+
+
+def _speaking() -> str:
+    """Pattern of what follows "copyright" inside the known texts, so that no wrap loses a line."""
+    pairs = set()
+    for text in KNOWN.values():
+        words = re.findall("[a-z0-9]+", text.lower())
+        pairs.update(zip(*(words[i:] for i in range(3))))
+    own = {(b, c) for a, b, c in pairs if a == "copyright"
+           and not b.startswith(_SPEAKS) and b not in ("c", "year", "yyyy") and not b.isdigit()}
+    return "|".join([*(f"{w}(?:s|es)?\\b" for w in _SPEAKS),
+                     *(f"{b}[^a-z0-9]+{c}\\b" for b, c in sorted(own))])
+
+
+def _statement_line() -> str:
+    """As _COPYRIGHT_LINE, but lines of a licence's body that begin with "copyright" stay."""
+    return (r"(^|\n)[ \t#*/;-]*(copyright (?!" + _speaking()
+            + r")[^\n]*|all rights reserved[^\n]*)")
 
 
 def canonical(text: Column) -> Column:
     out = F.translate(text, _UPPER, _LOWER)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(out, _COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(out, _statement_line(), "\n")
     return F.trim(F.regexp_replace(out, _REST, " "))
 
 

@@ -1,3 +1,5 @@
+import textwrap
+
 import pyarrow as pa
 import pytest
 
@@ -83,3 +85,14 @@ def test_licenses(make_docs):
         (9, "", 0, False),
     }
     assert scan_licenses(make_docs([])).count() == 0
+
+
+def test_known_texts_at_several_widths(make_docs):
+    cases = [(n, w) for n in KNOWN for w in (20, 31, 47, 60, 72, 80, 99)]
+    rows = [(i, "Copyright (c) 2020 The Holders\nCopyright Someone\n"
+             + textwrap.fill(" ".join(KNOWN[n].split()), w)) for i, (n, w) in enumerate(cases)]
+    isc = textwrap.fill(" ".join(KNOWN["ISC"].split()), 60).replace(
+        "above copyright", "above\ncopyright")
+    rows.append((len(cases), isc))
+    got = {r.doc_id: r.licenses for r in scan_licenses(make_docs(rows)).collect()}
+    assert got == {**{i: n for i, (n, _) in enumerate(cases)}, len(cases): "ISC"}
