@@ -2,8 +2,12 @@
 
 A text is brought to a canonical form (letters A-Z in lower case, equivalent spellings made one,
 copyright statements removed, punctuation and white space as single spaces), its SHA-256 digest is
-hash-joined to the digests of known licences and notices. Whole texts are looked up, and each
-of their paragraphs and lines as whole texts of their own, since notices stand in other texts.
+hash-joined to the digests of known licences and notices. Whole texts are looked up (with and
+without a title line at their start), and each of their paragraphs and lines as whole texts of
+their own, since notices stand in other texts. Full licences run over several paragraphs and
+stand inside other texts too: their canonical body is searched as a run of words in the canonical
+form of the whole text, however it is wrapped or parted. Templates with a holder's name inside
+the body are known only in the spelling of KNOWN and license_texts.
 
 Defined cases: null and empty texts, and units that are empty in canonical form, match nothing;
 texts of any length are read whole (units longer than any known licence cannot match and are
@@ -13,6 +17,8 @@ not hashed); rows with equal doc_id are scanned each on its own; extra columns p
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +75,17 @@ notice may not be removed or altered from any source distribution.""",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
     ),
 }
+# Published files, and where the body begins and ends (the file's own, if empty).
+FULL_TEXTS = {
+    "Apache-2.0": ("TERMS AND CONDITIONS FOR USE", "END OF TERMS AND CONDITIONS"),
+    "BSD-2-Clause": ("", ""),
+    "BSD-3-Clause": ("", ""),
+    "GPL-2.0": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "GPL-3.0": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "LGPL-2.1": ("Preamble", "END OF TERMS AND CONDITIONS"),
+    "LGPL-3.0": ("This version of the GNU Lesser", ""),
+    "MPL-2.0": ("1. Definitions", ""),
+}
 # Spellings that count as one, in this order, on lower-case text.
 SPELLINGS = (
     ("licence", "license"), ("organisation", "organization"), ("authoris", "authoriz"),
@@ -79,20 +96,42 @@ SPELLINGS = (
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright [^\n]*|all rights reserved[^\n]*)"
 _REST = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+# Fixed value: titles at the start of a licence file, in canonical form.
+_TITLE = (
+    "^(the )?(mit|expat|isc|zlib|0bsd|bsd zero clause|(new |simplified |revised |modified )?bsd"
+    "( [23] clause)?|[23] clause bsd) license (mit |isc |zlib |0bsd )?"
+)
 # Fixed value: words that follow "copyright" where a licence speaks of it, not where one is stated.
-_SPEAKS = ("notice", "holder", "owner", "statement", "law", "license", "permission", "interest",
-           "disclaimer", "treaty")
+_SPEAKS = ("notice", "holder", "owner", "ownership", "statement", "law", "license", "permission",
+           "interest", "disclaimer", "treaty", "treatie")
+
+
+@lru_cache(maxsize=1)
+def full_texts() -> tuple[tuple[str, str, str], ...]:
+    """(name, whole file, body) of every full licence; lists of clauses with and without numbers."""
+    out = [(n, t, t) for n, t in KNOWN.items() if "notice" not in n]
+    for name, (first, last) in FULL_TEXTS.items():
+        text = (Path(__file__).parent / "license_texts" / f"{name}.txt").read_text("utf-8")
+        start = text.index(first)
+        out.append((name, text, text[start:text.index(last, start) if last else len(text)]))
+        if name.startswith("BSD"):
+            bare = re.sub(r"(?m)^ *\d\. ", "", text)
+            out.append((name, bare, bare))
+    return tuple(out)
 
 
 def _speaking() -> str:
     """Pattern of what follows "copyright" inside the known texts, so that no wrap loses a line."""
     pairs = set()
-    for text in KNOWN.values():
-        words = re.findall("[a-z0-9]+", text.lower())
+    for text in [*KNOWN.values(), *(body for _, _, body in full_texts())]:
+        text = text.lower()
+        for old, new in SPELLINGS:  # a list item (c) reads as copyright, too
+            text = text.replace(old, new)
+        words = re.findall("[a-z0-9]+", text)
         pairs.update(zip(*(words[i:] for i in range(3))))
     own = {(b, c) for a, b, c in pairs if a == "copyright"
-           and not b.startswith(_SPEAKS) and b not in ("c", "year", "yyyy") and not b.isdigit()}
-    return "|".join([*(f"{w}(?:s|es)?\\b" for w in _SPEAKS),
+           and b.removesuffix("s") not in _SPEAKS and b not in ("copyright", "year", "yyyy") and not b.isdigit()}
+    return "|".join([*(f"{w}s?\\b" for w in _SPEAKS),
                      *(f"{b}[^a-z0-9]+{c}\\b" for b, c in sorted(own))])
 
 
@@ -128,12 +167,24 @@ def units(text: Column) -> Column:
 
 def known_digests(spark) -> DataFrame:
     """``digest, license, size``: one row per known text."""
-    texts = constant_table(spark, {"license": ("string", list(KNOWN)),
-                                   "text": ("string", list(KNOWN.values()))})
+    full = full_texts()
+    texts = constant_table(spark, {
+        "license": ("string", [*KNOWN, *(n for n, _, _ in full), *(n for n, _, _ in full)]),
+        "text": ("string", [*KNOWN.values(), *(w for _, w, _ in full), *(b for _, _, b in full)]),
+    })
     form = canonical(F.col("text"))
     return texts.select(
         F.sha2(form, 256).alias("digest"), "license", F.length(form).alias("size")
-    )
+    ).distinct()
+
+
+def _bodies(spark) -> list[tuple[str, str]]:
+    """(name, canonical body) of every full licence: a fixed list of a few rows."""
+    full = full_texts()
+    rows = constant_table(spark, {"license": ("string", [n for n, _, _ in full]),
+                                  "text": ("string", [b for _, _, b in full])})
+    return sorted({(r.license, r.form) for r in
+                   rows.select("license", canonical(F.col("text")).alias("form")).collect()})
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -146,16 +197,27 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string"),
     ).select("row", "doc_id", F.posexplode(units(F.col("text"))).alias("at", "unit"))
     form = canonical(F.col("unit"))
+    padded = F.concat(F.lit(" "), F.col("form"), F.lit(" "))
+    inside = F.array_compact(F.array(*(
+        F.when((F.length("form") >= len(body)) & F.contains(padded, F.lit(f" {body} ")), name)
+        for name, body in _bodies(docs.sparkSession)
+    )))
+    untitled = F.when(F.col("at") == 0, F.regexp_replace("form", _TITLE, "")).otherwise(F.col("form"))
     # A canonical form is no longer than its text, but a copyright sign may grow to a word.
     looked_up = rows.select("row", "doc_id", "at", form.alias("form")).select(
-        "row", "doc_id", "at",
+        "row", "doc_id", "at", F.when(F.col("at") == 0, inside).alias("inside"),
+        untitled.alias("form"),
+    ).select(
+        "row", "doc_id", "at", "inside",
         F.when(F.length("form").between(limits[0], limits[1]), F.sha2("form", 256)).alias("digest"),
     )
     # The known digests are a constant list of a few rows.
     found = looked_up.join(F.broadcast(known.drop("size")), "digest", "left")
     return found.groupBy("row", "doc_id").agg(
-        F.array_sort(F.collect_set("license")).alias("names"),
+        F.collect_set("license").alias("units"), F.max("inside").alias("inside"),
         F.max((F.col("license").isNotNull() & (F.col("at") == 0))).alias("whole_text"),
+    ).select(
+        "doc_id", F.array_sort(F.array_union("units", "inside")).alias("names"), "whole_text",
     ).select(
         "doc_id", F.array_join("names", ",").alias("licenses"),
         F.size("names").alias("n_licenses"), "whole_text",

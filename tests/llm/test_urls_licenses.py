@@ -1,9 +1,11 @@
 import textwrap
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 
-from assayloom.llm.licenses import KNOWN, scan_licenses
+from assayloom.llm import licenses
+from assayloom.llm.licenses import FULL_TEXTS, KNOWN, full_texts, scan_licenses
 from assayloom.llm.urls import judge_urls
 
 
@@ -96,3 +98,38 @@ def test_known_texts_at_several_widths(make_docs):
     rows.append((len(cases), isc))
     got = {r.doc_id: r.licenses for r in scan_licenses(make_docs(rows)).collect()}
     assert got == {**{i: n for i, (n, _) in enumerate(cases)}, len(cases): "ISC"}
+
+
+def _file(title, name):
+    """A licence file as it is published: title, copyright lines, several paragraphs."""
+    text = KNOWN[name].replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    text = text.replace("conditions: The", "conditions:\n\nThe").replace(" 2. Alt", "\n\n2. Alt")
+    return f"{title}\n\nCopyright (c) 2015 A and the b contributors\n\n{text}\n"
+
+
+def test_published_files(make_docs):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    files = [(n, (folder / f"{n}.txt").read_text("utf-8")) for n in FULL_TEXTS]
+    files += [("MIT", _file("The MIT License (MIT)", "MIT")), ("MIT", _file("MIT License", "MIT")),
+              ("Zlib", _file("zlib License", "Zlib")), ("ISC", _file("ISC License", "ISC"))]
+    bsd = dict(files)["BSD-3-Clause"]
+    files.append(("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2008, X.\n"
+                  "All rights reserved.\n\n" + bsd.replace("1. ", "* ").replace("2. ", "* ")
+                  .replace("3. ", "* ")))
+    rows = [(i, t) for i, (_, t) in enumerate(files)]
+    rows += [(100 + i, "A document.\n\nIts licence:\n\n" + t + "\n\nThe end.")
+             for i, (_, t) in enumerate(files)]
+    rows += [(200 + i, "#!/bin/sh\n" + "".join(f"# {x}\n" for x in t.splitlines()) + "code()")
+             for i, (_, t) in enumerate(files)]
+    rows += [(300 + i, textwrap.fill(" ".join(b.split()), 45))
+             for i, (_, _, b) in enumerate(full_texts())]
+    rows.append((999, bsd.replace("endorse", "praise")))  # another text
+    got = {r.doc_id: (r.licenses, r.whole_text) for r in scan_licenses(make_docs(rows)).collect()}
+    for i, (name, _) in enumerate(files):
+        assert got[i] == (name, True), i
+        # A notice for the user at the end of a file is found beside it.
+        assert name in got[100 + i][0].split(",") and not got[100 + i][1], i
+        assert name in got[200 + i][0].split(",") and not got[200 + i][1], i
+    for i, (name, _, _) in enumerate(full_texts()):
+        assert got[300 + i] == (name, True), name
+    assert got[999] == ("", False)
