@@ -8,7 +8,10 @@ from html import unescape
 
 # Fixed values of HTML: elements by what their text and end tags mean.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg canvas object head title math".split())
+RAW = set("script style iframe title".split())  # read up to their own end tag, whatever is inside
+HIDDEN = set("noscript template svg canvas object math head".split())  # no text, but have elements
+_IN_HEAD = set("base link meta script style noscript template title head html".split())
+_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in RAW | HIDDEN}
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark picture q "
     "rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split()
@@ -47,46 +50,76 @@ class Page:
 
 
 def parse(html: str) -> Page:
-    """Whatever the markup, a page; unclosed and stray tags are mended as browsers do."""
+    """Whatever the markup, a page; unclosed and stray tags are mended as browsers do.
+
+    A raw element without end tag takes the rest of the page; a hidden one is read as any other
+    element then, but the head ends at the body or at the first element or text of a body.
+    """
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]
+    hidden: list[int] = []  # places in the stack
+    last: dict[str, int] = {}  # where the last end tag of a name begins, -1 if there is none
     block = links = at = 0
-    skip = None
+
+    def close(upto: int) -> None:
+        nonlocal links
+        links -= sum(tag == "a" for tag, _ in stack[upto:])
+        del stack[upto:]
+        while hidden and hidden[-1] >= upto:
+            hidden.pop()
+
+    def ends_after(name: str, start: int) -> bool:
+        if name not in last:
+            last[name] = max((m.start() for m in _END[name].finditer(html)), default=-1)
+        return last[name] >= start
+
+    def in_head() -> bool:
+        return bool(hidden) and stack[hidden[-1]][0] == "head"
 
     def text_upto(end: int) -> None:
-        if end > at and skip is None:
+        if end > at:
             text = unescape(html[at:end]) if "&" in html[at:end] else html[at:end]
-            page.texts.append((stack[-1][1], block, text, links > 0))
+            if in_head() and not text.isspace():
+                close(hidden[-1])
+            if not hidden:
+                page.texts.append((stack[-1][1], block, text, links > 0))
 
-    for m in _MARKUP.finditer(html):
-        if m.start() < at:
-            continue
+    while m := _MARKUP.search(html, at):
         name = (m[2] or "").lower()
-        if skip is not None and not (m[1] and name == skip):
-            continue
         text_upto(m.start())
         at = m.end()
         if not name:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not hidden:
                 page.texts.append((stack[-1][1], block, m[0][9:].removesuffix("]]>"), links > 0))
             continue
-        if skip is not None:
-            skip = None
-            continue
+        if not m[1] and in_head() and name not in _IN_HEAD:
+            close(hidden[-1])
         inline = name in INLINE
         if name == "br":
-            page.texts.append((stack[-1][1], block, "\n", False))
+            if not hidden:
+                page.texts.append((stack[-1][1], block, "\n", False))
             continue
         if m[1]:
-            opened = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            inner = hidden[-1] if hidden else 1
+            opened = next((i for i in range(len(stack) - 1, inner - 1, -1) if stack[i][0] == name), 0)
+            block += not inline and not hidden
             if opened:
-                links -= sum(tag == "a" for tag, _ in stack[opened:])
-                del stack[opened:]
-            block += not inline
+                close(opened)
             continue
         if name in RAW:
-            skip = None if m[0].endswith("/>") and name in ("svg", "math") else name
-            block += not inline
+            block += not hidden
+            at = _END[name].search(html, at).end() if ends_after(name, at) else len(html)
+            continue
+        if name in HIDDEN and (name == "head" or ends_after(name, at)):
+            block += not hidden
+            if not (m[0].endswith("/>") and name in ("svg", "math")):
+                hidden.append(len(stack))
+                stack.append((name, stack[-1][1]))
+            continue
+        if hidden:
+            if name not in VOID:
+                stack.append((name, stack[-1][1]))
+                links += name == "a"
             continue
         if not inline:
             block += 1
@@ -98,8 +131,7 @@ def parse(html: str) -> Page:
                 if stack[i][0] in fence:
                     break
                 if stack[i][0] in among or (name not in _CLOSES and stack[i][0] == "p"):
-                    links -= sum(tag == "a" for tag, _ in stack[i:])
-                    del stack[i:]
+                    close(i)
                     if name not in ("tr",):
                         break
         marks, label = "", page.label[stack[-1][1]]

@@ -228,3 +228,18 @@ def test_deep_and_long_pages():
     long = parse("<article>" + "<p>Some words in a sentence, and more.</p>" * 20_000 + "</article>")
     content = default_model().marginals([long]) > 0.5
     assert text_of(long, content).count("\n\n") == 19_999
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<body><script>for(i=0;i<n;i++)f(i)</script><p>Hello</p>", "Hello"),
+    ("<body><script>x = '<!--'; a<b && c</SCRIPT ><p>Hello</p><script>y</script>", "Hello"),
+    ("<html><head><title>t<b</title><meta charset=x><body><p>Hello</p></body>", "Hello"),
+    ("<html><head><title>t</title><p>Hello</p>", "Hello"),
+    ("<head><noscript><link></noscript><script>1<2</script>Hello", "Hello"),
+    ("<head><noscript><body>Hello", "Hello"),
+    ("<p>Hel<svg><g><title>a<b</title></g><p>x</svg>lo<template><svg></svg>y</div></template>",
+     "Hello"),
+    ("<svg><p>Hello", "Hello"), ("<style>a>b{}<p>gone", ""),
+])
+def test_raw_and_hidden_elements(html, text):
+    assert " ".join("".join(t for _, _, t, _ in parse(html).texts).split()) == text
