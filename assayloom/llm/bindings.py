@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from assayloom.llm import (
     byte_bpe,
+    conversations,
     exact_dedup,
     images,
     language,
@@ -93,3 +94,9 @@ def op5_licenses(spark, folder):
 @query("op1_image_copies")
 def op1_image_copies(spark, folder):
     return images.image_classes(images.vector_pictures(table(spark, folder, "embeddings")))
+
+
+@query("op11_conversation_repair", conversations.ORACLE_SQL)
+def op11_conversation_repair(spark, folder):
+    told = table(spark, folder, "conversations")
+    return conversations.repair_digests(conversations.damaged(told), told)
