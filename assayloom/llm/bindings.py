@@ -17,10 +17,12 @@ from assayloom.llm import (
     main_text,
     packing,
     quality,
+    resampling,
     simhash,
+    tiered_packing,
     urls,
 )
-from assayloom.llm.common import byte_ranks, table, word_vocabulary
+from assayloom.llm.common import byte_ranks, byte_vocabulary, table, word_vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +102,15 @@ def op1_image_copies(spark, folder):
 def op11_conversation_repair(spark, folder):
     told = table(spark, folder, "conversations")
     return conversations.repair_digests(conversations.damaged(told), told)
+
+
+@query("op12_resampling", resampling.ORACLE_SQL)
+def op12_resampling(spark, folder):
+    return resampling.resample(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), "item_id"
+    )
+
+
+@query("op13_tiered_packing")
+def op13_tiered_packing(spark, folder):
+    return tiered_packing.pack_tiers(table(spark, folder, "documents"), byte_vocabulary())

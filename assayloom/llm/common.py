@@ -82,6 +82,13 @@ def with_rows(docs: DataFrame, function, added: str) -> DataFrame:
     ).mapInArrow(function, schema)
 
 
+def byte_vocabulary() -> str:
+    """Path of the public byte-level vocabulary, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def byte_ranks() -> str:
     """Path of the public rank file of byte-level tokens, as installed on every machine."""
     import public_tokenizers
