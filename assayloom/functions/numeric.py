@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayloom.settings import ACTIVE_THRESHOLD, NANO
@@ -50,6 +50,41 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
+def _power_of_two(exponent: Column) -> Column:
+    return F.pow(F.lit(2.0), exponent.cast("double"))
+
+
+def with_double_image(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with a 64-bit number that grows with the double ``value``: its bits, mirrored for negative
+    ones, so -0.0 and 0.0 are both 0. NaN and null give null."""
+    x, e, size = F.col(value), F.col("_exponent"), F.abs(F.col(value))
+    # The logarithm may miss the exponent by one.
+    guess = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size)))
+    shifted = df.withColumn("_exponent", guess).withColumn(
+        "_exponent", e + F.when(size < _power_of_two(e), -1)
+        .when(size / _power_of_two(e) >= 2.0, 1).otherwise(0))
+    fraction = ((size / _power_of_two(e) - 1.0) * F.lit(2.0**52)).cast("bigint")
+    image = (
+        F.when(size == 0, F.lit(0).cast("bigint"))
+        .when(size == float("inf"), F.lit(2047 << 52))
+        .when(size < F.lit(2.0**-1022), (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint"))
+        .otherwise(F.shiftleft((e + 1023).cast("bigint"), 52) + fraction)
+    )
+    signed = F.when(~F.isnan(x), F.when(x < 0, -image).otherwise(image))
+    return shifted.withColumn(out, signed).drop("_exponent")
+
+
+def double_of_image(image: Column) -> Column:
+    """The double that ``with_double_image`` gave this number to."""
+    size = F.abs(image)
+    fraction = F.lit(1.0) + size.bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(2.0**52)
+    normal = fraction * _power_of_two(F.shiftright(size, 52) - 1023)
+    tiny = size.cast("double") * F.lit(2.0**-537) * F.lit(2.0**-537)
+    double = F.when(size < F.lit(1 << 52), tiny).when(
+        size == F.lit(2047 << 52), F.lit(float("inf"))).otherwise(normal)
+    return F.when(image < 0, -double).otherwise(double)
+
+
 def r2(sse: Column, sst: Column) -> Column:
     """1 - SSE/SST; a constant target scores 1.0 when fitted exactly, else 0.0."""
     return F.when(sst == 0, F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(

@@ -7,8 +7,8 @@ Two building blocks:
   only the rows of the narrow prefixes that are left are ranked. Splits then compare a row's own
   hash with a few thresholds, so the rows themselves never move.
 * ``running_totals`` gives running sums along a value: equal values are merged, values are put
-  into ranges of about equal size, the sums run inside each range, and the totals of the earlier
-  ranges are added from a table with one row per range.
+  into ranges of equally many values, whose limits radix selection finds, the sums run inside each
+  range, and the totals of the earlier ranges are added from a table with one row per range.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import ks_p_value
+from assayloom.operators.selection import values_at_ranks
+from assayloom.session import stored
 
 DIGITS_PER_LEVEL = 4  # 65,536 cells in each histogram
 LEVELS = 2
-COARSE_RANGES = 512
 ROWS_PER_RANGE = 1_000_000
 
 
@@ -88,6 +89,33 @@ def thresholds_by_cut(df: DataFrame, hash_col: str, cuts: Sequence[Column]) -> C
     return found.agg(F.map_from_entries(F.collect_list(F.struct("cut", "threshold")))).scalar()
 
 
+def _even_cuts(ranges: int):
+    """Cut i, from 1 to ``ranges`` - 1, has the rank i * n / ranges, rounded down."""
+    def wanted(before: Column, upto: Column, n: Column) -> Column:
+        def reached(rank: Column) -> Column:  # the first cut at or behind a rank
+            return F.call_function("div", rank * F.lit(ranges) + n - 1, n)
+
+        first, behind = F.greatest(reached(before), F.lit(1)), F.least(reached(upto), F.lit(ranges))
+        return F.when(first < behind, F.sequence(first, behind - 1)).otherwise(
+            F.array().cast("array<bigint>"))
+
+    return wanted
+
+
+def balanced_ranges(values: DataFrame, value: str, ranges: int, out: str = "_range") -> DataFrame:
+    """``values`` with the number of one of ``ranges`` ranges that hold equally many rows.
+
+    ``value`` holds doubles, each once. The limits are values at exact ranks, so the spread of the
+    values plays no part; one number per range comes to the driver.
+    """
+    limits = values_at_ranks(values, value, [], _even_cuts(ranges)).select("value").collect()
+    inner = sorted({r["value"] for r in limits if abs(r["value"]) != float("inf")})
+    if not inner:
+        return values.withColumn(out, F.lit(0.0))
+    splits = [float("-inf"), *inner, float("inf")]
+    return Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(values)
+
+
 def running_totals(
     df: DataFrame,
     value: str,
@@ -98,46 +126,36 @@ def running_totals(
     """One row per distinct value: own sums (``name``), running sums (``cum_name``) and
     overall sums (``all_name``).
 
-    Ranges are found in two steps. The limits of the coarse ranges come from one approximate
-    quantile pass and are then fixed numbers, so the range of a value never changes between
-    retries. A coarse range is cut again into stretches of equal width, one for each
-    ROWS_PER_RANGE different values in it, so their number grows with the data without bound.
-    Null and NaN values are left out.
+    Equal values are merged first, into a stored table that the later steps read. Its values are put
+    into ranges of equally many, at least ``ranges`` of them (the shuffle partitions if not given) and
+    one for each ROWS_PER_RANGE values. Null and NaN values are left out.
     """
     df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     # The merge combines on the map side: a value held by a third of all rows reaches the
     # shuffle as one row per task. Adding 0.0 makes -0.0 and 0.0 one value.
-    merged = df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0)).groupBy(
-        "_v", value
-    ).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    coarse = ranges or COARSE_RANGES
-    limits = df.approxQuantile(value, [i / coarse for i in range(1, coarse)], 0.5 / coarse)
-    inner = sorted({float(x) for x in limits if abs(x) != float("inf")})
-    splits = [float("-inf"), *inner, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_v", outputCol="_coarse").transform(merged)
-    sizes = ranged.groupBy("_coarse").agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.ceil(F.count("*") / F.lit(ROWS_PER_RANGE)).alias("_parts"),
+    merged = stored(
+        df.withColumn("_v", F.col(value).cast("double") + F.lit(0.0)).groupBy("_v").agg(
+            F.min(value).alias(value), *[F.sum(c).alias(n) for n, c in sums.items()]),
+        "merged",
     )
-    place = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    fine = F.least(F.floor(F.coalesce(place, F.lit(0.0)) * F.col("_parts")), F.col("_parts") - 1)
-    ranged = ranged.join(sizes, "_coarse").withColumn("_fine", fine).drop("_lo", "_hi", "_parts")
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy("_coarse", "_fine").orderBy(order)
+    least = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = balanced_ranges(merged, "_v", max(least, -(-merged.count() // ROWS_PER_RANGE)))
+    order = F.col("_v").desc() if descending else F.col("_v").asc()
+    inside = Window.partitionBy("_range").orderBy(order)
     local = ranged.select(
-        "_coarse", "_fine", value, *sums,
+        "_range", value, *sums,
         *[F.sum(n).over(inside).alias(f"_run_{n}") for n in sums],
     )
-    totals = ranged.groupBy("_coarse", "_fine").agg(*[F.sum(n).alias(f"_all_{n}") for n in sums])
+    totals = ranged.groupBy("_range").agg(*[F.sum(n).alias(f"_all_{n}") for n in sums])
     # One row per range.
-    along = [F.desc(c) if descending else F.asc(c) for c in ("_coarse", "_fine")]
-    before = Window.orderBy(*along).rowsBetween(Window.unboundedPreceding, -1)
+    along = F.desc("_range") if descending else F.asc("_range")
+    before = Window.orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_coarse", "_fine",
+        "_range",
         *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
         *[F.sum(f"_all_{n}").over(Window.partitionBy()).alias(f"all_{n}") for n in sums],
     )
-    return local.join(offsets, ["_coarse", "_fine"]).select(
+    return local.join(offsets, "_range").select(
         value,
         *sums,
         *[(F.col(f"_run_{n}") + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in sums],

@@ -12,9 +12,8 @@ from assayloom.functions.text import select_indices
 from assayloom.operators.stats import (
     correlation_columns,
     correlation_pairs,
-    feature_long,
     mean_std_fit,
-    quantile_fit,
+    vector_quantile_fit,
 )
 from assayloom.settings import CORRELATION_THRESHOLD
 
@@ -32,7 +31,7 @@ class RobustScale:
 
         A position without any number is left as it is (median 0, divisor 1).
         """
-        fitted = quantile_fit(feature_long(train, features), "x", ["pos"]).collect()
+        fitted = vector_quantile_fit(train, features).collect()
         if not fitted:
             raise ValueError("cannot fit a scaler on no rows")
         width = train.agg(F.max(F.size(features))).first()[0]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.numeric import r2
+from assayloom.operators.selection import values_at_ranks, vector_values_at_ranks
 from assayloom.session import constant_table
 
 
@@ -177,95 +178,56 @@ def correlation_pairs(df: DataFrame, features: str) -> DataFrame:
     )
 
 
-def _cell(value: Column, edges: Column, brackets: int, cells: int) -> Column:
-    """Number of the cell a value falls in; grows with the value.
+def _quantile_cuts(probs: Sequence[float]):
+    """Cut 2k is the rank below quantile k, cut 2k + 1 the one above."""
+    def wanted(before: Column, upto: Column, n: Column) -> Column:
+        ranks = F.array(*[
+            F.struct(F.lit(2 * k + side).alias("cut"), edge(F.lit(p) * (n - 1)).alias("rank"))
+            for k, p in enumerate(probs) for side, edge in enumerate((F.floor, F.ceil))
+        ])
+        inside = F.filter(ranks, lambda w: (w["rank"] >= before) & (w["rank"] < upto))
+        return F.transform(inside, lambda w: w["cut"])
 
-    Each bracket [edges[2k], edges[2k + 1]] is cut into equal cells; the stretch below a bracket is
-    one cell, so is everything above the last. Without edges there is a single cell.
-    """
-    out = None
-    for k in range(brackets):
-        lo, hi = F.get(edges, F.lit(2 * k)), F.get(edges, F.lit(2 * k + 1))
-        inside = F.floor(F.coalesce(F.try_divide(value - lo, hi - lo), F.lit(0.0)) * (cells - 1))
-        base = F.lit(k * (cells + 1)).cast("bigint")
-        out = F.when(value < lo, base) if out is None else out.when(value < lo, base)
-        out = out.when(value <= hi, base + 1 + inside)
-    out = out.otherwise(F.lit(brackets * (cells + 1)).cast("bigint"))
-    return F.when(edges.isNull(), F.lit(0).cast("bigint")).otherwise(out)
+    return wanted
 
 
-def quantile_fit(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str],
-    probs: Sequence[float] = (0.25, 0.5, 0.75),
-    accuracy: int = 2000,
-    cells: int = 4096,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation: (by..., n, quantiles array).
-
-    ``by`` has few distinct values (feature positions, splits). An exact percentile would hold
-    a whole group in one task. Instead a sketch brackets each quantile, a histogram with many
-    cells inside the brackets tells which cell holds each wanted rank, and only the values of
-    those cells are ranked, equal values merged first. The sketch decides where cells are
-    narrow, never the result.
-    """
-    by, probs = list(by), sorted(probs)
-    margin = 3.0 / accuracy
-    edges = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(
-        *by, F.col(value).cast("double").alias("_v")
-    )
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e")
-    )
-    # One sketch row per group; Spark chooses the join by its size.
-    placed = rows.join(sketch, by).select(
-        *by, "_n", "_v", _cell(F.col("_v"), F.col("_e"), len(probs), cells).alias("_cell")
-    )
-    # At most a few thousand cells per group and quantile.
-    histogram = placed.groupBy(*by, "_n", "_cell").agg(F.count("*").alias("_in"))
-    upto = F.sum("_in").over(Window.partitionBy(*by).orderBy("_cell"))
-    wanted = [
-        F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), edge(F.lit(p) * (F.col("_n") - 1)).alias("rank"))
-        for k, p in enumerate(probs) for side, edge in (("lo", F.floor), ("hi", F.ceil))
-    ]
-    held = (
-        histogram.withColumn("_before", upto - F.col("_in"))
-        .select(*by, "_n", "_cell", "_before", "_in", F.inline(F.array(*wanted)))
-        .where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in")))
-        .groupBy(*by, "_n", "_cell")
-        .agg(F.collect_list(F.struct(
-            "k", "side", (F.col("rank") - F.col("_before")).alias("rank"))).alias("_wanted"))
-    )
-    # At most two cells per group and quantile.
-    merged = (
-        placed.drop("_n").join(held, [*by, "_cell"])
-        .groupBy(*by, "_n", "_cell", "_v")
-        .agg(F.count("*").alias("_c"), F.first("_wanted").alias("_wanted"))
-    )
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_cell").orderBy("_v"))
-    picked = (
-        merged.withColumn("_upto", upto)
-        .select(*by, "_n", "_v", "_upto", "_c", F.inline("_wanted"))
-        .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_c")))
-        .groupBy(*by, "_n")
-        .agg(*[
-            F.max(F.when((F.col("k") == k) & (F.col("side") == side), F.col("_v"))).alias(f"_{side}{k}")
-            for k in range(len(probs)) for side in ("lo", "hi")
-        ])
-    )
+def _interpolated(found: DataFrame, by: list[str], probs: Sequence[float]) -> DataFrame:
+    edges = found.groupBy(*by, "_n").agg(*[
+        F.max(F.when(F.col("cut") == c, F.col("value"))).alias(f"_v{c}") for c in range(2 * len(probs))
+    ])
     rank = [F.lit(p) * (F.col("_n") - 1) for p in probs]
-    return picked.select(
+    return edges.select(
         *by,
         F.col("_n").alias("n"),
         F.array(*[
-            F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (r - F.floor(r))
+            F.col(f"_v{2 * k}")
+            + (F.col(f"_v{2 * k + 1}") - F.col(f"_v{2 * k}")) * (r - F.floor(r))
             for k, r in enumerate(rank)
         ]).alias("quantiles"),
     )
 
 
+def quantile_fit(
+    df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """Exact quantiles with linear interpolation: (by..., n, quantiles array).
+
+    Radix selection finds the values at the ranks around each quantile, for groups of any size and
+    values of any spread. ``by`` may be empty, or columns such as splits or positions.
+    """
+    by, probs = list(by), sorted(probs)
+    return _interpolated(values_at_ranks(df, value, by, _quantile_cuts(probs)), by, probs)
+
+
+def vector_quantile_fit(
+    df: DataFrame, features: str, probs: Sequence[float] = (0.25, 0.5, 0.75)
+) -> DataFrame:
+    """(pos, n, quantiles) of every position of a vector column, without a row per number."""
+    probs = sorted(probs)
+    found = vector_values_at_ranks(df, features, _quantile_cuts(probs))
+    return _interpolated(found, ["pos"], probs)
+
+
 def mean_std_fit(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean and population deviation."""
     return df.groupBy(*by).agg(

@@ -47,7 +47,7 @@ def test_quantiles_are_exact(spark):
     rows = spark.createDataFrame(
         [(g, float(x)) for g, xs in groups.items() for x in xs], "g string, x double"
     )
-    fitted = quantile_fit(rows, "x", ["g"], accuracy=500)
+    fitted = quantile_fit(rows, "x", ["g"])
     for r in fitted.collect():
         assert r.n == len(groups[r.g])
         assert r.quantiles == pytest.approx(list(np.percentile(groups[r.g], [25, 50, 75])), abs=1e-12)
