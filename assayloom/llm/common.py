@@ -71,15 +71,19 @@ def word_vocabulary() -> str:
 def with_rows(docs: DataFrame, function, added: str) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``) and what ``function`` adds from the text.
 
-    ``function`` maps Arrow batches and passes on every column but ``text``.
+    ``function`` maps Arrow batches of ``text`` to batches of the fields ``added``. Only the text
+    goes to Python, once, and only what is added comes back; the row waits in the JVM.
     """
-    schema = T.StructType([
-        T.StructField("row", docs.select(F.struct("*").alias("row")).schema["row"].dataType),
-        *T.StructType.fromDDL(added).fields,
-    ])
+    def find(texts: pa.Array) -> pa.Array:
+        own = [pa.RecordBatch.from_arrays([texts], ["text"])]
+        found = [batch.to_struct_array() for batch in function(iter(own))]
+        return pa.concat_arrays(found)
+
+    # Marked so that Spark runs it once for each row, however often its fields are used.
+    found = F.arrow_udf(find, T.StructType.fromDDL(added)).asNondeterministic()
     return docs.select(
-        F.struct("*").alias("row"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(function, schema)
+        F.struct("*").alias("row"), found(F.col("text").cast("string")).alias("found")
+    ).select("row", "found.*")
 
 
 def byte_vocabulary() -> str:

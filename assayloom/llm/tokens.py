@@ -15,8 +15,9 @@ import numpy as np
 
 #: Code points with the Unicode property White_Space, as a class of a pattern.
 WHITE = "\t-\r \x85\xa0  -     　"
-#: Different pieces a task remembers; beyond it starts anew, which changes no result.
-REMEMBERED = 600_000
+#: Bytes that the pieces a task remembers may take, about; beyond it starts anew, which changes no
+#: result. A piece takes its text, its ids and what Python adds to two objects and their places.
+REMEMBERED_BYTES, PIECE_BYTES = 64 << 20, 170
 #: Longer pieces are encoded each time, so that what is remembered stays small.
 LONGEST = 64
 _LATIN = "\u0250"
@@ -39,7 +40,7 @@ class PieceEncoder:
     """
 
     def __init__(self, encode_batch):
-        self._encode, self._known = encode_batch, {}
+        self._encode, self._known, self._bytes = encode_batch, {}, 0
 
     def _learn(self, pieces: set[str]) -> None:
         stems = {p: s for p in pieces if (s := _stem(p)) is not None}
@@ -49,14 +50,17 @@ class PieceEncoder:
         for at in range(0, len(new), 10_000):
             some = new[at:at + 10_000]
             for p, ids in zip(some, self._encode(some)):
-                self._known[p] = array("I", ids).tobytes()
+                self._known[p] = own = array("I", ids).tobytes()
+                self._bytes += PIECE_BYTES + len(p) + len(own)
         for p, s in stems.items():
-            self._known[p] = self._known[s] + self._known[p[len(s):]]
+            self._known[p] = own = self._known[s] + self._known[p[len(s):]]
+            self._bytes += PIECE_BYTES + len(p) + len(own)
 
     def ids(self, pieces_of: list[list[str]]) -> list[np.ndarray]:
         """For each text, given as its pieces, the ids."""
-        if len(self._known) > REMEMBERED:
+        if self._bytes > REMEMBERED_BYTES:
             self._known.clear()
+            self._bytes = 0
         get, out, long = self._known.__getitem__, [], []
         for pieces in pieces_of:
             new = set(pieces).difference(self._known)
