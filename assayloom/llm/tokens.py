@@ -15,62 +15,62 @@ import numpy as np
 
 #: Code points with the Unicode property White_Space, as a class of a pattern.
 WHITE = "\t-\r \x85\xa0  -     　"
-#: Bytes that the pieces a task remembers may take, about; beyond it starts anew, which changes no
-#: result. A piece takes its text, its ids and what Python adds to two objects and their places.
-REMEMBERED_BYTES, PIECE_BYTES = 64 << 20, 170
+#: Bytes that the pieces a task remembers may take, about. A piece takes its text, its ids and what
+#: Python adds to two objects and their places.
+REMEMBERED_BYTES, PIECE_BYTES = 96 << 20, 170
 #: Longer pieces are encoded each time, so that what is remembered stays small.
 LONGEST = 64
 _LATIN = "\u0250"
+WHITE_SPACE = {chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1c <= c <= 0x1f}
+_APART = WHITE_SPACE - {" "}
 _BEYOND_LATIN, _GAPS = re.compile("[^\x00-\u024f]"), re.compile("[ \t\n\r]+")
 
 
-def _stem(piece: str) -> str | None:
-    """What stands before closing full stops and commas, if that ends in a Latin letter: both
-    vocabularies begin a new match after it. (U+0130 ends in a combining mark in lower case.)"""
+def _cut(piece: str) -> int:
+    """Where a piece falls into two that both vocabularies match apart; 0 if nowhere sure.
+
+    White space other than a space is a match of its own before other text. Closing full stops and
+    commas begin a match behind a Latin letter. (U+0130 ends in a combining mark in lower case.)
+    """
+    if piece[0] in _APART and len(piece) > 1 and piece[1] not in WHITE_SPACE:
+        return 1
     stem = piece.rstrip(".,")
     last = stem[-1:]
-    closed = stem != piece and last.isalpha() and last < _LATIN and last != "\u0130"
-    return stem if closed else None
+    if len(stem) < len(piece) and last.isalpha() and last < _LATIN and last != "\u0130":
+        return len(stem)
+    return 0
 
 
-class PieceEncoder:
-    """Ids of pieces, remembered as bytes of unsigned 32-bit numbers.
+class PieceEncoder(dict):
+    """Ids of pieces, as bytes of unsigned 32-bit numbers; a piece not met yet is encoded on the way.
 
-    ``encode_batch`` maps strings to id lists.
+    ``encode`` maps a string to its ids. Once half the room is taken, the pieces known are set
+    aside; those that are met again come back, and the others are forgotten at the next turn. So
+    frequent pieces stay, whatever the number of rare ones; results never depend on it.
     """
 
-    def __init__(self, encode_batch):
-        self._encode, self._known, self._bytes = encode_batch, {}, 0
-
-    def _learn(self, pieces: set[str]) -> None:
-        stems = {p: s for p in pieces if (s := _stem(p)) is not None}
-        parts = set(stems.values()) | {p[len(s):] for p, s in stems.items()}
-        parts |= pieces - stems.keys()
-        new = [p for p in parts if p not in self._known]
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            for p, ids in zip(some, self._encode(some)):
-                self._known[p] = own = array("I", ids).tobytes()
-                self._bytes += PIECE_BYTES + len(p) + len(own)
-        for p, s in stems.items():
-            self._known[p] = own = self._known[s] + self._known[p[len(s):]]
-            self._bytes += PIECE_BYTES + len(p) + len(own)
+    def __init__(self, encode):
+        super().__init__()
+        self._encode, self._aside, self._bytes = encode, {}, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._aside.get(piece)
+        if ids is None:
+            cut = _cut(piece)
+            ids = (self[piece[:cut]] + self[piece[cut:]] if cut else
+                   array("I", self._encode(piece)).tobytes())
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+            self._bytes += PIECE_BYTES + len(piece) + len(ids)
+        return ids
 
     def ids(self, pieces_of: list[list[str]]) -> list[np.ndarray]:
         """For each text, given as its pieces, the ids."""
-        if self._bytes > REMEMBERED_BYTES:
-            self._known.clear()
-            self._bytes = 0
-        get, out, long = self._known.__getitem__, [], []
-        for pieces in pieces_of:
-            new = set(pieces).difference(self._known)
-            if new:
-                self._learn(new)
-                long += [p for p in new if len(p) > LONGEST]
-            out.append(np.frombuffer(b"".join(map(get, pieces)), np.uint32))
-        for p in long:
-            self._known.pop(p, None)
-        return out
+        if self._bytes > REMEMBERED_BYTES // 2:
+            self._aside, self._bytes = dict(self), 0
+            self.clear()
+        get = self.__getitem__
+        return [np.frombuffer(b"".join(map(get, pieces)), np.uint32) for pieces in pieces_of]
 
 
 def load_tokenizer(path: str):
@@ -91,24 +91,18 @@ def byte_characters() -> list[str]:
 
 
 def letters_first(tokenizer, unchanged=lambda piece: True):
-    """``encode_batch`` of a byte-level tokenizer that hands pieces of Latin letters, with one
-    space before them at most, to its model directly: such a piece is one match of the pattern
-    and, if ``unchanged``, no normalisation alters it."""
+    """Encoder of a byte-level tokenizer that hands pieces of Latin letters, with one space before
+    them at most, to its model directly: such a piece is one match of the pattern and, if
+    ``unchanged``, no normalisation alters it."""
     model, shown = tokenizer.model, dict(enumerate(byte_characters()))
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        out, rest = {}, []
-        for p in pieces:
-            word = p[1:] if p[0] == " " else p
-            if word.isalpha() and not _BEYOND_LATIN.search(word) and unchanged(p):
-                text = word if p.isascii() and word is p else (
-                    p.encode().decode("latin-1").translate(shown))
-                out[p] = [t.id for t in model.tokenize(text)]
-            else:
-                rest.append(p)
-        made = tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        out.update((p, e.ids) for p, e in zip(rest, made))
-        return [out[p] for p in pieces]
+    def encode(piece: str) -> list[int]:
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isalpha() and not _BEYOND_LATIN.search(word) and unchanged(piece):
+            text = word if piece.isascii() and word is piece else (
+                piece.encode().decode("latin-1").translate(shown))
+            return [t.id for t in model.tokenize(text)]
+        return tokenizer.encode(piece, add_special_tokens=False).ids
 
     return encode
 
