@@ -303,6 +303,36 @@ def _ks_two_sample(spark, folder):
     })
 
 
+@query(
+    "ks_exact",
+    f"""WITH RECURSIVE v AS (SELECT s_acctbal AS x, s_nationkey < 9 AS g FROM supplier),
+        c AS (SELECT x, sum(sum(g::INT)) OVER (ORDER BY x) AS a, sum(sum((NOT g)::INT)) OVER (ORDER BY x) AS b
+              FROM v GROUP BY x),
+        s AS (SELECT max(a)::BIGINT AS n_a, max(b)::BIGINT AS n_b,
+                     (SELECT max(abs(a / (SELECT max(a) FROM c) - b / (SELECT max(b) FROM c))) FROM c) AS d FROM c),
+        -- Row i of the lattice: share of the paths to (i, j) that stay inside the band, for every j.
+        p AS (SELECT 0 AS i, (SELECT list(CASE WHEN j * n_a < round(d * n_a * n_b) THEN 1.0::DOUBLE ELSE 0 END
+                                          ORDER BY j) FROM s, range(n_b + 1) r(j)) AS q
+              UNION ALL
+              SELECT i + 1, list_reduce(list_prepend([]::DOUBLE[], list_transform(range(n_b + 1), lambda j: [j::DOUBLE])),
+                lambda made, cell: list_append(made, CASE WHEN abs((i + 1) * n_b - cell[1] * n_a) < round(d * n_a * n_b)
+                  THEN (i + 1) / (i + 1 + cell[1]) * q[cell[1]::BIGINT + 1]
+                       + CASE WHEN cell[1] > 0 THEN cell[1] / (i + 1 + cell[1]) * made[cell[1]::BIGINT] ELSE 0 END
+                  ELSE 0 END))
+              FROM p, s WHERE i < n_a)
+        SELECT n_a, n_b, round(d, 9) + 0.0 AS statistic, round(1 - q[n_b + 1], 6) + 0.0 AS p_value
+        FROM p, s WHERE i = n_a""",
+)
+def _ks_exact(spark, folder):
+    """Account balances of suppliers of nine nations against the others: samples small enough
+    for the exact p-value."""
+    rows = table(spark, folder, "supplier").withColumn("g", F.col("s_nationkey") < 9)
+    found = ks_two_sample(rows, "s_acctbal", "g", (True, False))
+    return found.withColumns({
+        "statistic": rounded(F.col("statistic"), 9), "p_value": rounded(F.col("p_value")),
+    })
+
+
 _ROC_SQL = """scored AS (SELECT d.n_chars AS s, l.quality AS y FROM documents d
                          JOIN labels l ON l.doc_id = d.doc_id),
   g AS (SELECT s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y <> 1) AS neg

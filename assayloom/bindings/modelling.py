@@ -24,6 +24,7 @@ from assayloom.plans.runs import train_target
 from assayloom.plans.scoring import batch_score, score_with_saved
 from assayloom.plans.training import (
     SEARCH_SPACES,
+    choice,
     cross_validate,
     draw_trials,
     feature_importance,
@@ -266,19 +267,28 @@ def _line_model(rows):
 
 
 @query(
-    "feature_importance",
+    "feature_importance_top",
     f"""WITH {_EMB_SQL}, r AS (SELECT l.pos, abs(corr(l.x, e.embedding[8])) AS r FROM long l
           JOIN embeddings e ON e.vec_id = l.vec_id
           WHERE md5(l.vec_id || '|42') >= '33333333' GROUP BY l.pos)
         SELECT 'dim_' || arg_max(pos, r) AS name, CAST(1 AS INTEGER) AS rank FROM r""",
 )
-def _feature_importance(spark, folder):
+def _feature_importance_top(spark, folder):
     """The label is one of the positions, so the forest must rank that one first."""
     rows = _split_vectors(spark, folder).withColumn("y", F.col("embedding")[7].cast("double"))
     ranked = feature_importance(rows, "embedding", "y", NAMES, k=1, trees=20, split_col="split")
     return ranked.select("name", F.col("rank").cast("int"))
 
 
+@query("feature_importance")
+def _feature_importance(spark, folder):
+    """The 20 most important of 64 positions for the label, from 100 trees."""
+    ranked = feature_importance(
+        _split_vectors(spark, folder), "embedding", "label", NAMES, split_col="split"
+    )
+    return ranked.select("name", "importance", F.col("rank").cast("int"))
+
+
 @query(
     "train_regressor",
     f"WITH {_FITTED} SELECT k, split, y, round(p, 3) + 0.0 AS predicted FROM fitted",
@@ -347,6 +357,29 @@ def _param_search_folds(spark, folder):
     return _trials(spark, folder, "fold")
 
 
+@query(
+    "param_search_scores",
+    f"""WITH {_FITTED}, t AS (SELECT trial, floor({_draw_sql('regParam')} * 3) AS pick
+          FROM (SELECT unnest(range(8)) AS trial)),
+        e AS (SELECT sqrt(avg((y - p) * (y - p))) AS rmse FROM fitted WHERE split = 'val')
+        SELECT trial, CASE pick WHEN 0 THEN 0.0 WHEN 1 THEN 0.1 ELSE 10.0 END::DOUBLE AS penalty,
+          CASE WHEN pick = 0 THEN round((SELECT rmse FROM e), 3) + 0.0 END AS score FROM t""",
+)
+def _param_search_scores(spark, folder):
+    """Scores of the trials without a penalty are those of plain least squares on the val rows."""
+    rows = _line_vectors(spark, folder)
+    space = {"regParam": choice(0.0, 0.1, 10.0)}
+    _, trials, best = param_search(
+        rows, "features", "y", "linear", n_trials=8, space=space, names=_LINE_NAMES, threshold=None
+    )
+    drawn = draw_trials(spark, space, 8).join(trials, "trial")
+    assert best["regParam"] == drawn.agg(F.min_by("regParam", F.struct("score", "trial"))).first()[0]
+    return drawn.select(
+        "trial", F.col("regParam").alias("penalty"),
+        F.when(F.col("regParam") == 0.0, rounded(F.col("score"), 3)).alias("score"),
+    )
+
+
 @query(
     "batch_score",
     f"""WITH {_FITTED} SELECT k, CASE WHEN x1 > 5 THEN round(p, 3) + 0.0 END AS predicted,

@@ -109,3 +109,36 @@ def ks_p_value(statistic: Column, n1: Column, n2: Column, terms: int = 100) -> C
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms_sum))
     )
+
+
+def ks_exact_p_value(statistic: Column, n1: Column, n2: Column) -> Column:
+    """Exact two-sample p-value: the share of paths on a lattice of n1 x n2 steps that somewhere leave
+    the band in which both shares of steps differ by less than the statistic.
+
+    A fold over the diagonals carries, for each point, that share among the paths to it; a point outside
+    has 1. The array runs along the smaller sample, so the work is (n1 + n2) * min(n1, n2) steps.
+    """
+    short, long = F.least(n1, n2).cast("bigint"), F.greatest(n1, n2).cast("bigint")
+    made = F.struct(short.alias("m"), long.alias("n"),
+                    F.round(statistic * short * long).cast("bigint").alias("band"))
+
+    def share(size: Column) -> Column:
+        m, n, band = size["m"], size["n"], size["band"]
+        along = F.sequence(F.lit(0).cast("bigint"), m)
+
+        def step(before: Column, diagonal: Column) -> Column:
+            def point(i: Column) -> Column:
+                j = diagonal - i
+                outside = F.abs(i * n - j * m) >= band
+                left = F.coalesce(F.get(before, (i - 1).cast("int")), F.lit(0.0))
+                mixed = (i * left + j * F.get(before, i.cast("int"))) / diagonal
+                return F.when((j < 0) | (j > n), F.lit(0.0)).when(outside, F.lit(1.0)).otherwise(mixed)
+
+            return F.transform(along, point)
+
+        first = F.transform(along, lambda i: F.when((band <= 0) & (i == 0), F.lit(1.0)).otherwise(F.lit(0.0)))
+        last = F.aggregate(F.sequence(F.lit(1).cast("bigint"), m + n), first, step)
+        return F.get(last, m.cast("int"))
+
+    bound = F.get(F.transform(F.array(made), share), F.lit(0))
+    return F.when((short > 0) & statistic.isNotNull(), F.least(bound, F.lit(1.0)))

@@ -19,13 +19,15 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.numeric import ks_p_value
+from assayloom.functions.numeric import ks_exact_p_value, ks_p_value
 from assayloom.operators.selection import values_at_ranks
 from assayloom.session import stored
 
 DIGITS_PER_LEVEL = 4  # 65,536 cells in each histogram
 LEVELS = 2
 ROWS_PER_RANGE = 1_000_000
+#: Lattice points up to which a KS p-value is exact; a second of work for one task.
+KS_EXACT_STEPS = 2_000_000
 
 
 def hash_thresholds(
@@ -245,15 +247,23 @@ def ecdf(df: DataFrame, value: str, group: str, groups: tuple, ranges: int | Non
 
 
 def ks_two_sample(
-    df: DataFrame, value: str, group: str, groups: tuple, ranges: int | None = None
+    df: DataFrame, value: str, group: str, groups: tuple, ranges: int | None = None,
+    exact_steps: int = KS_EXACT_STEPS,
 ) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value; one row."""
+    """Two-sample Kolmogorov-Smirnov statistic and p-value; one row.
+
+    The p-value is exact while (n_a + n_b) * min(n_a, n_b) is at most ``exact_steps``, else the
+    asymptotic one.
+    """
     stats = ecdf(df, value, group, groups, ranges).agg(
         F.sum("n_a").alias("n_a"),
         F.sum("n_b").alias("n_b"),
         F.max(F.abs(F.col("cdf_a") - F.col("cdf_b"))).alias("statistic"),
     )
+    few = (F.col("n_a") + F.col("n_b")) * F.least("n_a", "n_b") <= F.lit(exact_steps)
+    sizes = (F.col("n_a").cast("double"), F.col("n_b").cast("double"))
     return stats.withColumn(
         "p_value",
-        ks_p_value(F.col("statistic"), F.col("n_a").cast("double"), F.col("n_b").cast("double")),
+        F.when(few, ks_exact_p_value(F.col("statistic"), F.col("n_a"), F.col("n_b"))).otherwise(
+            ks_p_value(F.col("statistic"), *sizes)),
     )

@@ -22,16 +22,20 @@ from assayloom.settings import (
 )
 
 
-def _hash_limit(fraction: float) -> str:
-    """First 8 hex digits of the hash below which about ``fraction`` of all rows fall."""
-    return f"{round(fraction * 16**8):08x}"
+def hash_limit(fraction: float) -> str:
+    """First 8 hex digits of the hash below which about ``fraction`` of all rows fall; for 1 a
+    limit above every hash."""
+    if not 0.0 <= fraction <= 1.0:
+        raise ValueError(f"a fraction lies between 0 and 1, not {fraction}")
+    cells = round(fraction * 16**8)
+    return "g" if cells == 16**8 else f"{cells:08x}"
 
 
 def holdout_hash(
     df: DataFrame, key: str, fraction: float = TEST_FRACTION, seed: int = RANDOM_SEED
 ) -> DataFrame:
     """Adds ``split``; sizes are approximate, the cost is one projection."""
-    is_test = row_hash(F.col(key), seed) < F.lit(_hash_limit(fraction))
+    is_test = row_hash(F.col(key), seed) < F.lit(hash_limit(fraction))
     return df.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
 
 
@@ -53,8 +57,8 @@ def three_way_split(
     seed: int = RANDOM_SEED,
 ) -> DataFrame:
     """Adds ``split``: a test part, then a validation part of what is left, then train."""
-    held_out = row_hash(F.col(key), seed) < F.lit(_hash_limit(test))
-    validates = row_hash(F.col(key), seed + 1) < F.lit(_hash_limit(validation))
+    held_out = row_hash(F.col(key), seed) < F.lit(hash_limit(test))
+    validates = row_hash(F.col(key), seed + 1) < F.lit(hash_limit(validation))
     return df.withColumn(
         "split",
         F.when(held_out, F.lit("test")).when(validates, F.lit("val")).otherwise(F.lit("train")),
@@ -267,9 +271,11 @@ def conditional_resample(
     if not report["resampled"]:
         return df, report
     drawn = F.col(split_col).eqNullSafe("train") & F.col(value).isNotNull()
-    train = undersample_bins(df.where(drawn), value, key, bins, seed)
-    rest = df.where(~drawn)
-    return train.drop("bin").unionByName(rest), report
+    # The caller's columns travel as one, so a column named like one of the sampler's survives.
+    whole = df.where(drawn).select(
+        F.col(value).alias("_value"), F.col(key).alias("_key"), F.struct("*").alias("_row"))
+    train = undersample_bins(whole, "_value", "_key", bins, seed).select("_row.*")
+    return train.unionByName(df.where(~drawn)), report
 
 
 def split_check(df: DataFrame, key: str, split_col: str = "split") -> DataFrame:

@@ -9,7 +9,12 @@ from assayloom.functions.text import row_hash
 from assayloom.operators.curate import curate
 from assayloom.operators.featurise import FeatureSet
 from assayloom.operators.lookup import reference_lookup
-from assayloom.operators.split import conditional_resample, group_split, three_way_split_exact
+from assayloom.operators.split import (
+    conditional_resample,
+    group_split,
+    hash_limit,
+    three_way_split_exact,
+)
 from assayloom.plans.scoring import score_texts
 from assayloom.plans.training import Trained, param_search, run_report, train_regressor
 from assayloom.session import stored
@@ -28,8 +33,7 @@ def split_rows(
         return three_way_split_exact(rows, key, seed=seed)
     if method != "group" or group is None:
         raise ValueError(f"Unknown split method: {method}")
-    limit = f"{round(VALIDATION_FRACTION * 16**8):08x}"
-    validates = row_hash(F.col(key), seed + 1) < F.lit(limit)
+    validates = row_hash(F.col(key), seed + 1) < F.lit(hash_limit(VALIDATION_FRACTION))
     return group_split(rows, group, seed=seed).withColumn(
         "split", F.when((F.col("split") == "train") & validates, F.lit("val")).otherwise(F.col("split"))
     )

@@ -83,3 +83,35 @@ def test_ks_p_value(spark):
     assert one.select(ks_p_value(F.lit(0.0), F.lit(50.0), F.lit(50.0))).first()[0] == 1.0
     far = one.select(ks_p_value(F.lit(1.0), F.lit(500.0), F.lit(500.0))).first()[0]
     assert 0.0 <= far < 1e-12 and not math.isnan(far)
+
+
+def exact_ks_p(n1, n2, band):
+    """Share of lattice paths that leave the band, by counting the paths inside with whole numbers."""
+    inside = [[0] * (n2 + 1) for _ in range(n1 + 1)]
+    for i in range(n1 + 1):
+        for j in range(n2 + 1):
+            if abs(i * n2 - j * n1) < band:
+                inside[i][j] = 1 if i == j == 0 else (
+                    (inside[i - 1][j] if i else 0) + (inside[i][j - 1] if j else 0))
+    return 1 - inside[n1][n2] / math.comb(n1 + n2, n1)
+
+
+def test_exact_ks_p_value_equals_counted_paths(spark):
+    from assayloom.functions.numeric import ks_exact_p_value
+
+    cases = [(n1, n2, band) for n1, n2 in ((1, 1), (2, 3), (5, 5), (4, 9), (30, 17)) for band in
+             {0, 1, n1 * n2 // 3, n1 * n2 // 2, n1 * n2}]
+    frame = spark.createDataFrame([(a, b, k / (a * b)) for a, b, k in cases], "a bigint, b bigint, d double")
+    got = frame.select("a", "b", "d", ks_exact_p_value(F.col("d"), F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(exact_ks_p(r.a, r.b, round(r.d * r.a * r.b)), abs=1e-12)
+    assert spark.range(1).select(ks_exact_p_value(F.lit(0.5), F.lit(0), F.lit(3))).first()[0] is None
+
+
+def test_small_samples_get_exact_p_values(spark):
+    rows = spark.createDataFrame([(0.1 * i, i % 3 == 0) for i in range(25)] + [(9.0, True)] * 4, "s double, g boolean")
+    got = ks_two_sample(rows, "s", "g", (True, False)).first()
+    assert got.p_value == pytest.approx(
+        exact_ks_p(got.n_a, got.n_b, round(got.statistic * got.n_a * got.n_b)), abs=1e-12)
+    far = ks_two_sample(rows, "s", "g", (True, False), exact_steps=0).first()
+    assert far.statistic == got.statistic and abs(far.p_value - got.p_value) > 1e-4

@@ -160,3 +160,23 @@ def test_small_bins_are_merged(spark):
     got = Counter(r.bin for r in merge_small_bins(rows, 30).collect())
     assert got == {0: 50, 1: 50}
     assert Counter(r.bin for r in merge_small_bins(rows, 1000).collect()) == {0: 100}
+
+
+def test_whole_and_empty_fractions(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "k")
+    assert holdout_hash(rows, "k", 1.0).where("split = 'test'").count() == 2000
+    assert holdout_hash(rows, "k", 0.0).where("split = 'test'").count() == 0
+    assert holdout_exact(rows, "k", 1.0).where("split = 'test'").count() == 2000
+    parts = three_way_split(rows, "k", 0.0, 1.0).groupBy("split").count().collect()
+    assert [(r["split"], r["count"]) for r in parts] == [("val", 2000)]
+    with pytest.raises(ValueError):
+        holdout_hash(rows, "k", 1.2)
+
+
+def test_resampling_keeps_a_column_named_bin(spark):
+    rows = spark.range(400).select(
+        F.col("id").alias("k"), (F.col("id") % 50 + F.when(F.col("id") < 200, 0).otherwise(400)).cast("double").alias("v"),
+        F.when(F.col("id") < 200, "train").otherwise("test").alias("split"), (F.col("id") * 3).alias("bin"))
+    out, report = conditional_resample(rows, "v", "k")
+    assert report["resampled"] and out.columns == rows.columns
+    assert out.where("bin <> k * 3").count() == 0 and out.where("split = 'test'").count() == 200
