@@ -9,6 +9,7 @@ from assayloom.functions.numeric import rounded
 from assayloom.functions.text import content_key
 from assayloom.operators.featurise import (
     DESCRIPTORS,
+    SCAFFOLDS,
     FeatureSet,
     Pattern,
     assemble_features,
@@ -228,6 +229,43 @@ def _assemble_features(spark, folder):
     return _vector_digest(assemble_features(rows, "text", DOCUMENT_FEATURES))
 
 
+_WIDE_SQL = f"""WITH {_TOK_SQL}, {_BITS_SQL}, {_KEYS_SQL}
+  SELECT d.doc_id, 1222 AS width, len(regexp_extract_all(t.text, '[.!?]'))::DOUBLE AS n_sentences,
+    len(regexp_extract_all(t.text, ','))::DOUBLE AS n_commas,
+    len(regexp_extract_all(t.text, '[\\[\\](){{}}]'))::DOUBLE AS n_brackets,
+    round(CASE WHEN length(t.text) > 0 THEN len(regexp_extract_all(t.text, '[aeiouAEIOU]'))::FLOAT / length(t.text)
+          ELSE 0.0 END::DOUBLE, 5) + 0.0 AS vowel_share,
+    round(CASE WHEN length(t.text) > 0 THEN len(regexp_extract_all(t.text, '[a-z]'))::FLOAT / length(t.text)
+          ELSE 0.0 END::DOUBLE, 5) + 0.0 AS lower_share,
+    coalesce(list_min(list_transform(toks, lambda t: length(t))), 0)::DOUBLE AS min_token_length,
+    len(list_filter(toks, lambda t: length(t) >= 8))::DOUBLE AS n_long_tokens,
+    coalesce(p.n_bits, 0) AS n_bits, list_sum(k.keys)::BIGINT AS n_keys, {" + ".join(
+        f"CASE WHEN regexp_matches(t.text, '{p.regex}') THEN 1 ELSE 0 END" for p in SCAFFOLDS)} AS n_scaffolds
+  FROM documents d JOIN tok t ON t.doc_id = d.doc_id JOIN dict k ON k.doc_id = d.doc_id
+  LEFT JOIN prints p ON p.doc_id = d.doc_id WHERE trim(d.text) <> ''"""
+
+
+@query("wide_features", _WIDE_SQL)
+def _wide_features(spark, folder):
+    """The 1,222-wide variant: its own descriptors, and how many bits, keys and scaffolds are set."""
+    fs = FeatureSet.wide()
+    rows = assemble_features(_documents(spark, folder).drop("lang"), "text", fs).where("features is not null")
+    more = [n for n in fs.descriptors if n not in DESCRIPTORS]
+    at = len(DESCRIPTORS)
+    ends = [len(fs.descriptors), fs.hash_bits, len(fs.dictionary)]
+
+    def total(start, size):
+        return F.aggregate(F.slice("features", start + 1, size), F.lit(0).cast("bigint"),
+                           lambda n, x: n + x.cast("bigint"))
+
+    return rows.select(
+        "doc_id", F.size("features").alias("width"),
+        *[rounded(F.get("features", F.lit(at + i)).cast("double"), 5).alias(n) for i, n in enumerate(more)],
+        total(ends[0], ends[1]).alias("n_bits"), total(ends[0] + ends[1], ends[2]).alias("n_keys"),
+        total(fs.width - len(SCAFFOLDS), len(SCAFFOLDS)).cast("int").alias("n_scaffolds"),
+    )
+
+
 @query("feature_store_lookup", _ASSEMBLED_SQL)
 def _feature_store_lookup(spark, folder):
     """Half of the store is filled first, so the run sees hits and misses."""

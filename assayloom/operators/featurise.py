@@ -1,8 +1,9 @@
 """Feature vectors over text keys, from ordered registries.
 
 A vector is named descriptors + hashed n-gram bits + dictionary bits + pattern columns. All of
-it is projection: no shuffle and no Python per row. Bits stay sparse (sorted positions) until
-a dense vector is asked for.
+it is projection, without a shuffle. Registered descriptors, bits and dictionary come from one Arrow
+kernel; patterns, and descriptors given as columns, are Spark expressions. Bits stay sparse (sorted
+positions) until a dense vector is asked for.
 """
 
 from __future__ import annotations
@@ -15,57 +16,25 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.functions.kernels import text_bits, text_keys, text_statistics, text_vector
 from assayloom.functions.numeric import default_on_error, finite_or_zero
-from assayloom.functions.text import (
-    dense_bits,
-    dictionary_bits,
-    hashed_bits,
-    let,
-    pattern_count,
-    pattern_flag,
-    tokens,
-)
+from assayloom.functions.text import let, pattern_count, pattern_flag, tokens
 from assayloom.operators.curate import not_blank
 from assayloom.settings import DICTIONARY_BITS, HASH_BITS, HASH_RADIUS
 
-Descriptor = Callable[[Column, Column], Column]  # (text, tokens) -> number
-
-
-def _share(pattern: str) -> Descriptor:
-    return lambda text, toks: F.try_divide(
-        F.regexp_count(text, F.lit(pattern)).cast("double"), F.length(text)
-    )
-
+#: A statistic of the kernel by its name, or a function of the columns (text, tokens) to a number.
+Descriptor = str | Callable[[Column, Column], Column]
 
-DESCRIPTORS: dict[str, Descriptor] = {
-    "n_chars": lambda text, toks: F.length(text),
-    "n_tokens": lambda text, toks: F.size(toks),
-    "n_distinct_tokens": lambda text, toks: F.size(F.array_distinct(toks)),
-    "distinct_share": lambda text, toks: F.try_divide(
-        F.size(F.array_distinct(toks)).cast("double"), F.size(toks)
-    ),
-    "mean_token_length": lambda text, toks: F.try_divide(
-        F.aggregate(toks, F.lit(0), lambda a, t: a + F.length(t)).cast("double"), F.size(toks)
-    ),
-    "max_token_length": lambda text, toks: F.array_max(F.transform(toks, F.length)),
-    "n_lines": lambda text, toks: F.regexp_count(text, F.lit("\n")) + 1,
-    "digit_share": _share("[0-9]"),
-    "upper_share": _share("[A-Z]"),
-    "space_share": _share("[ \t\n\r\f]"),
-    "punctuation_share": _share("[!-/:-@]"),
-}
+DESCRIPTORS: dict[str, Descriptor] = {name: name for name in (
+    "n_chars", "n_tokens", "n_distinct_tokens", "distinct_share", "mean_token_length",
+    "max_token_length", "n_lines", "digit_share", "upper_share", "space_share", "punctuation_share",
+)}
 
 # Seven more, for the wider variant of the vector.
-WIDE_DESCRIPTORS: dict[str, Descriptor] = {
-    **DESCRIPTORS,
-    "n_sentences": lambda text, toks: F.regexp_count(text, F.lit("[.!?]")),
-    "n_commas": lambda text, toks: F.regexp_count(text, F.lit(",")),
-    "n_brackets": lambda text, toks: F.regexp_count(text, F.lit("[\\[\\](){}]")),
-    "vowel_share": _share("[aeiouAEIOU]"),
-    "lower_share": _share("[a-z]"),
-    "min_token_length": lambda text, toks: F.array_min(F.transform(toks, F.length)),
-    "n_long_tokens": lambda text, toks: F.size(F.filter(toks, lambda t: F.length(t) >= 8)),
-}
+WIDE_DESCRIPTORS: dict[str, Descriptor] = DESCRIPTORS | {name: name for name in (
+    "n_sentences", "n_commas", "n_brackets", "vowel_share", "lower_share", "min_token_length",
+    "n_long_tokens",
+)}
 
 
 def default_dictionary(size: int = DICTIONARY_BITS) -> list[str | None]:
@@ -193,15 +162,30 @@ def feature_names(spark: SparkSession, features: FeatureSet) -> DataFrame:
     return spark.range(1).select(F.posexplode(names).alias("pos", "name"))
 
 
-def _descriptor_array(text: Column, descriptors: dict[str, Descriptor]) -> Column:
-    """All descriptors as one double array over a single tokenisation."""
-    return let(
-        tokens(text),
-        lambda toks: F.array(*[
-            finite_or_zero(default_on_error(f(text, toks).cast("double")))
-            for f in descriptors.values()
-        ]).cast("array<double>"),
-    )
+def _statistics(descriptors: dict[str, Descriptor]) -> list[str]:
+    return [d for d in descriptors.values() if isinstance(d, str)]
+
+
+def _descriptor_array(
+    text: Column, descriptors: dict[str, Descriptor], found: Column | None = None
+) -> Column:
+    """All descriptors as one double array; ``found`` are those of the kernel, if known already."""
+    names = _statistics(descriptors)
+    if found is None and names:
+        found = text_statistics(text, names)
+    if len(names) == len(descriptors) and names:
+        return found
+    own = [d for d in descriptors.values() if not isinstance(d, str)]
+    # Bound once; the kernel cannot run inside a lambda, so its numbers are put between outside.
+    made = let(tokens(text), lambda toks: F.array(*[
+        finite_or_zero(default_on_error(f(text, toks).cast("double"))) for f in own
+    ]).cast("array<double>"))
+    places, numbers = {}, {True: 0, False: 0}
+    for name, d in descriptors.items():
+        kind = isinstance(d, str)
+        places[name] = F.get(found if kind else made, F.lit(numbers[kind]))
+        numbers[kind] += 1
+    return F.array(*places.values()).cast("array<double>")
 
 
 def text_descriptors(
@@ -219,14 +203,14 @@ def hashed_fingerprint(
     df: DataFrame, text: str, radius: int = HASH_RADIUS, width: int = HASH_BITS, out: str = "bits"
 ) -> DataFrame:
     """Adds the sorted set positions of the hashed 1..(radius+1)-grams."""
-    return df.withColumn(out, hashed_bits(tokens(F.lower(F.col(text))), radius, width))
+    return df.withColumn(out, text_bits(F.lower(F.col(text)), radius, width))
 
 
 def dictionary_keys(
     df: DataFrame, text: str, keys: Sequence[str | None] | None = None, out: str = "keys"
 ) -> DataFrame:
     """Adds 0/1 per dictionary entry, looked up in the lower-cased text."""
-    return df.withColumn(out, dictionary_bits(F.lower(F.col(text)), keys or default_dictionary()))
+    return df.withColumn(out, text_keys(F.lower(F.col(text)), keys or default_dictionary()))
 
 
 def pattern_columns(df: DataFrame, text: str, patterns: Sequence[Pattern]) -> DataFrame:
@@ -238,24 +222,22 @@ def sparse_features(df: DataFrame, text: str, features: FeatureSet) -> DataFrame
     source = F.lower(F.col(text)) if features.lower else F.col(text)
     return df.withColumns({
         "descriptors": _descriptor_array(F.col(text), features.descriptors),
-        "bits": hashed_bits(tokens(source), features.radius, features.hash_bits),
-        "keys": dictionary_bits(source, features.dictionary),
+        "bits": text_bits(source, features.radius, features.hash_bits),
+        "keys": text_keys(source, features.dictionary),
         "patterns": F.array(*[p.column(F.col(text)) for p in features.patterns]).cast("array<int>"),
     })
 
 
 def vector_column(text: Column, features: FeatureSet) -> Column:
     """The dense float vector in registry order."""
-    source = F.lower(text) if features.lower else text
+    made = text_vector(text, _statistics(features.descriptors), features.radius, features.hash_bits,
+                       features.dictionary, features.lower)
     groups = [
-        _descriptor_array(text, features.descriptors),
-        # Python UDFs cannot run inside a lambda, so they stand on their own.
+        _descriptor_array(text, features.descriptors, made["statistics"]),
         F.array(*[
             finite_or_zero(default_on_error(f(text).cast("double"))) for f in features.udfs.values()
         ]),
-        dense_bits(hashed_bits(tokens(source), features.radius, features.hash_bits),
-                   features.hash_bits),
-        dictionary_bits(source, features.dictionary),
+        made["dense"],
         F.array(*[p.column(text) for p in features.patterns]),
     ]
     return F.concat(*[g.cast("array<float>") for g in groups])
