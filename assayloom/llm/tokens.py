@@ -17,7 +17,7 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Bytes that the pieces a task remembers may take, about. A piece takes its text, its ids and what
 #: Python adds to two objects and their places.
-REMEMBERED_BYTES, PIECE_BYTES = 96 << 20, 170
+REMEMBERED_BYTES, PIECE_BYTES = 160 << 20, 170
 #: Longer pieces are encoded each time, so that what is remembered stays small.
 LONGEST = 64
 _LATIN = "\u0250"
