@@ -77,6 +77,15 @@ def clean_up(spark: SparkSession) -> int:
     return removed
 
 
+def remove_others(spark: SparkSession, path: str, prefix: str, current: str) -> int:
+    """Deletes the folders of ``path`` whose names begin with ``prefix``, but ``current``; how many."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in system.listStatus(root)
+           if f.getPath().getName().startswith(prefix) and f.getPath().getName() != current]
+    return sum(system.delete(p, True) for p in old)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: cuts the lineage,
     survives lost executors, and gives every later reader the same rows."""

@@ -11,6 +11,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.session import remove_others
+
 REQUIRED_KEYS = (
     "version", "pipeline", "x_scaler", "y_scaler", "is_trained", "input_dim", "regressor",
     "model_type", "timestamp",
@@ -33,7 +35,8 @@ def save_model(spark: SparkSession, model: PipelineModel, metadata: dict, path:
 
     The metadata is the commit mark: until it is replaced, the earlier save stays readable, and
     a directory without it is an unfinished save. (Renames are not atomic on object stores.)
-    Pipelines of earlier saves are left in place for readers that have just read their mark.
+    Pipelines of earlier saves are left in place for readers that have just read their mark;
+    ``vacuum_model`` removes them.
     """
     folder = f"pipeline-{uuid.uuid4().hex}"
     stamp = spark.range(1).select(
@@ -59,3 +62,9 @@ def load_model(spark: SparkSession, path: str) -> SavedModel:
     if missing:
         raise KeyError(f"model metadata lacks {missing}")
     return SavedModel(PipelineModel.load(f"{path}/{metadata['pipeline']}"), {**DEFAULTS, **metadata})
+
+
+def vacuum_model(spark: SparkSession, path: str) -> int:
+    """Removes pipelines that the metadata does not name; the number removed."""
+    current = load_model(spark, path).metadata["pipeline"]
+    return remove_others(spark, path, "pipeline-", current)

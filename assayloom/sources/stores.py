@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayloom.functions.text import content_key
 from assayloom.operators.curate import not_blank
 from assayloom.operators.featurise import FeatureSet, assemble_features
 from assayloom.operators.lookup import cached_lookup, uncached_keys
+from assayloom.session import remove_others
 
 
 def read_if_exists(
@@ -107,43 +112,109 @@ def read_raw(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 # --- feature store -----------------------------------------------------------------
+#
+# Vectors lie in bucketed files by key: the plan of a lookup moves the wanted keys to the buckets, not
+# the store. A mark, written last, names the folder of the current generation; compaction and clearing
+# start a new one.
 
 FEATURE_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("features", T.ArrayType(T.FloatType())),
-    T.StructField("shard", T.StringType()),
 ])
+#: So many wanted keys are named in the filter, which reads their buckets only; more are joined.
+NAMED_KEYS = 200
+
+
+def _mark(spark: SparkSession, path: str) -> dict | None:
+    try:
+        row = spark.read.option("wholetext", True).text(f"{path}/mark").first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return json.loads(row[0]) if row else None
+
+
+def _registered(spark: SparkSession, path: str, mark: dict) -> str:
+    """The name under which this session knows the generation that ``mark`` describes."""
+    folder = f"{path}/{mark['folder']}"
+    name = f"feature_store_{hashlib.md5(folder.encode()).hexdigest()}"
+    location = folder.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (key STRING, features ARRAY<FLOAT>) USING parquet "
+        f"CLUSTERED BY (key) SORTED BY (key) INTO {mark['buckets']} BUCKETS LOCATION '{location}'"
+    )
+    spark.catalog.refreshTable(name)  # another session may have appended
+    return name
+
+
+def _new_generation(spark: SparkSession, buckets: int) -> dict:
+    return {"folder": f"vectors-{uuid.uuid4().hex}", "buckets": buckets}
+
+
+def _set_mark(spark: SparkSession, path: str, mark: dict) -> None:
+    spark.createDataFrame([(json.dumps(mark),)], "value string").coalesce(1).write.mode(
+        "overwrite").text(f"{path}/mark")
+
+
+def _store(spark: SparkSession, path: str, buckets: int | None = None) -> tuple[str, dict]:
+    """Table name and mark of the store; a new store gets ``buckets`` (the shuffle partitions)."""
+    mark = _mark(spark, path)
+    if mark is None:
+        mark = _new_generation(
+            spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _set_mark(spark, path, mark)
+    return _registered(spark, path, mark), mark
+
+
+def _append(spark: SparkSession, name: str, rows: DataFrame) -> None:
+    rows.select("key", "features").write.insertInto(name)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """The store with one row per key: a retried or concurrent append may repeat some."""
-    stored = read_if_exists(spark, path, FEATURE_SCHEMA)
-    if stored is None:
+    """The store with one row per key: a retried or concurrent append may repeat some. Copies of a
+    key share a bucket, so nothing moves."""
+    mark = _mark(spark, path)
+    if mark is None:
+        return spark.createDataFrame([], FEATURE_SCHEMA)
+    return spark.table(_registered(spark, path, mark)).dropDuplicates(["key"])
+
+
+def lookup_features(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(key, features) of those ``keys`` that the store holds, each once.
+
+    Only wanted rows are de-duplicated. A few keys are named in the filter, so Spark reads their
+    buckets and skips row groups by the sorted keys; many are shuffled to the buckets.
+    """
+    mark = _mark(spark, path)
+    if mark is None:
         return spark.createDataFrame([], FEATURE_SCHEMA)
-    return stored.dropDuplicates(["key"])
+    held, wanted = spark.table(_registered(spark, path, mark)), keys.select("key").distinct()
+    few = wanted.limit(NAMED_KEYS + 1).collect()
+    if len(few) <= NAMED_KEYS:
+        held = held.where(F.col("key").isin([r["key"] for r in few]))
+    else:
+        held = held.join(wanted.repartition(mark["buckets"], "key"), "key", "left_semi")
+    return held.dropDuplicates(["key"])
 
 
 def upsert_features(
-    df: DataFrame, text: str, path: str, features: FeatureSet | None = None
+    df: DataFrame, text: str, path: str, features: FeatureSet | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Computes and appends what the store lacks for the texts of ``df``; returns the store.
 
-    Stored keys are never recomputed; repeated keys are dropped on reading. Texts that are invalid have no
-    vector and are not stored. The new texts, not their longer vectors, are spread by a key
-    prefix; each task then writes at most one file per shard (first hex digit of the key).
+    Stored keys are never recomputed, and of the store only keys are read to find what is missing. Texts
+    that are invalid have no vector and are not stored. The new texts, not their longer vectors, are
+    dealt to the buckets; each task then writes one file.
     """
     spark = df.sparkSession
     features = features or FeatureSet()
-    missing = uncached_keys(df, text, read_features(spark, path), version=features.version)
+    name, mark = _store(spark, path, buckets)
+    missing = uncached_keys(df, text, spark.table(name), version=features.version)
     # Checked on the text: a filter on the vector would compute every vector twice.
-    valid = missing.where(not_blank(F.col(text))).repartition(F.substring("key", 1, 4))
-    made = assemble_features(valid, text, features)
-    (
-        made.select("key", "features", F.substring("key", 1, 1).alias("shard"))
-        .write.mode("append")
-        .partitionBy("shard")
-        .parquet(path)
-    )
+    valid = missing.where(not_blank(F.col(text))).repartition(mark["buckets"], "key")
+    _append(spark, name, assemble_features(valid, text, features))
     return read_features(spark, path)
 
 
@@ -152,14 +223,40 @@ def featurise_with_store(
 ) -> DataFrame:
     """Rows with ``features`` from the store, computing misses once; null if invalid."""
     features = features or FeatureSet()
-    store = upsert_features(df, text, path, features)
-    found = cached_lookup(
-        df, text, store.select("key", "features"), spread_by=[row_id], version=features.version
-    )
+    upsert_features(df, text, path, features)
+    keys = df.where(F.col(text).isNotNull()).select(content_key(F.col(text), features.version).alias("key"))
+    wanted = lookup_features(df.sparkSession, path, keys)
+    found = cached_lookup(df, text, wanted, spread_by=[row_id], version=features.version)
     return found.drop("key")
 
 
+def compact_features(spark: SparkSession, path: str, buckets: int | None = None) -> int:
+    """Rewrites the store with each key once and one file per bucket; the number of rows dropped.
+
+    With ``buckets`` the store is dealt anew. Readers keep the generation they have; appends made
+    while this runs go to the old one and are computed again when wanted.
+    """
+    mark = _mark(spark, path)
+    if mark is None:
+        return 0
+    old = _registered(spark, path, mark)
+    fresh = _new_generation(spark, buckets or mark["buckets"])
+    name = _registered(spark, path, fresh)
+    rows = spark.table(old).dropDuplicates(["key"])
+    _append(spark, name, rows.repartition(fresh["buckets"], "key") if buckets else rows)
+    dropped = spark.table(old).count() - spark.table(name).count()
+    _set_mark(spark, path, fresh)
+    return dropped
+
+
 def clear_features(spark: SparkSession, path: str) -> None:
-    """Empties the store; later appends keep the same layout."""
-    empty = spark.createDataFrame([], FEATURE_SCHEMA)
-    empty.write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Empties the store by a new generation of as many buckets."""
+    mark = _mark(spark, path)
+    if mark is not None:
+        _set_mark(spark, path, _new_generation(spark, mark["buckets"]))
+
+
+def vacuum_features(spark: SparkSession, path: str) -> int:
+    """Removes generations that the mark does not name; the number removed."""
+    mark = _mark(spark, path)
+    return 0 if mark is None else remove_others(spark, path, "vectors-", mark["folder"])

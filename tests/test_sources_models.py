@@ -15,7 +15,7 @@ from assayloom.session import cut_lineage, shared_folder
 from assayloom.sources.activity import (
     ACTIVITY_SCHEMA, activity_scan, list_explode, read_activities, text_line_scan, text_lines,
 )
-from assayloom.sources.models import load_model, save_model
+from assayloom.sources.models import load_model, save_model, vacuum_model
 from assayloom.sources.output import as_json, read_predictions, save_json, save_predictions
 from assayloom.sources.stores import load_or_refresh, read_curated, read_raw, save_raw
 
@@ -132,19 +132,20 @@ def test_overwritten_model_is_whole(spark, folder):
         save_model(spark, trained.pipeline, trained.metadata, f"{folder}/twice")
         got = score_with_saved(spark, f"{folder}/twice", made, "features").first()
         assert got.predicted == pytest.approx(got.y, abs=1e-6)
+    assert vacuum_model(spark, f"{folder}/twice") == 1
+    assert score_with_saved(spark, f"{folder}/twice", made, "features").first() == got
 
 
 def test_repeated_keys_do_not_multiply_rows(spark, folder):
-    from assayloom.sources.stores import featurise_with_store, upsert_features
+    from assayloom.sources.stores import _append, _store, featurise_with_store, upsert_features
 
     small = FeatureSet(hash_bits=16, dictionary=(None, "o"), patterns=())
     rows = spark.createDataFrame([(1, "ab"), (2, "cd")], "id int, t string")
     upsert_features(rows, "t", f"{folder}/store", small)
-    spark.read.parquet(f"{folder}/store").write.mode("append").partitionBy("shard").parquet(
-        f"{folder}/copy")
+    name, _ = _store(spark, f"{folder}/store")
     for _ in range(2):  # a retried append
-        spark.read.parquet(f"{folder}/copy").write.mode("append").partitionBy("shard").parquet(
-            f"{folder}/store")
+        _append(spark, name, spark.table(name))
+    assert spark.table(name).count() > 2
     assert featurise_with_store(rows, "t", "id", f"{folder}/store", small).count() == 2
 
 
@@ -245,3 +246,35 @@ def test_end_to_end_run(spark, folder):
         n_trials=2, resample=True,
     )
     assert report.first().searched and report.first().n_trials == 2
+
+
+def test_store_moves_wanted_keys_not_vectors(spark, folder):
+    from assayloom.operators.featurise import FeatureSet
+    from assayloom.sources import stores
+
+    path, fs = f"{folder}/store", FeatureSet(hash_bits=8, dictionary=(None, "o"), patterns=())
+    rows = spark.range(900).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"), "id")
+    assert stores.upsert_features(rows, "t", path, fs, buckets=6).count() == 900
+    plans = []
+    for n in (3, 500):
+        keys = rows.where(F.col("id") < n).select(stores.content_key(F.col("t"), fs.version).alias("key"))
+        found = stores.lookup_features(spark, path, keys)
+        assert found.count() == n
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    few, many = plans
+    assert "Exchange" not in few and "out of 6" in few  # buckets that may hold a key
+    # Many keys: what is exchanged holds no vectors.
+    assert all("features" not in line for line in many.splitlines() if "Exchange" in line)
+    # A repeated append counts once, and compaction drops it.
+    name, _ = stores._store(spark, path)
+    stores._append(spark, name, spark.table(name).where("substring(key, 1, 1) = 'a'"))
+    assert stores.read_features(spark, path).count() == 900 < spark.table(name).count()
+    before = {r.key: r.features for r in stores.read_features(spark, path).collect()}
+    assert stores.compact_features(spark, path) > 0
+    assert {r.key: r.features for r in stores.read_features(spark, path).collect()} == before
+    assert stores.compact_features(spark, path, buckets=3) == 0
+    assert {r.key: r.features for r in stores.read_features(spark, path).collect()} == before
+    assert stores.vacuum_features(spark, path) == 2
+    assert stores.read_features(spark, path).count() == 900
+    stores.clear_features(spark, path)
+    assert stores.read_features(spark, path).count() == 0
