@@ -1,6 +1,7 @@
-"""Arrow kernels over texts: token statistics, hashed n-gram bits and dictionary bits in one pass.
+"""Arrow kernels: token statistics, hashed n-gram bits and dictionary bits of texts in one pass, and
+scaling of whole vectors.
 
-A text goes to Python once and only numbers come back. Null texts give null.
+A text goes to Python once and only numbers come back. Null texts and vectors give null.
 """
 
 from __future__ import annotations
@@ -215,3 +216,21 @@ def text_vector(
 
     made = T.StructType.fromDDL("statistics array<double>, dense array<float>")
     return F.arrow_udf(run, made)(text)
+
+
+def scaled_vector(vector: Column, centres: Sequence[float], divisors: Sequence[float]) -> Column:
+    """(x - centre) / divisor for each position; an entry that is null stays null. A vector of another
+    width is an error."""
+    centre, divisor = np.array(centres, float), np.array(divisors, float)
+
+    def run(vectors: pa.Array) -> pa.Array:
+        kept = vectors.drop_null()
+        flat = kept.flatten().cast(pa.float64())
+        values = flat.to_numpy(zero_copy_only=False).reshape(len(kept), len(centre))
+        missing = flat.is_null().to_numpy(zero_copy_only=False)
+        made = pa.array(((values - centre) / divisor).ravel(), mask=missing if missing.any() else None)
+        sizes = np.where(vectors.is_valid().to_numpy(zero_copy_only=False), len(centre), 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, made, mask=vectors.is_null())
+
+    return F.arrow_udf(run, T.ArrayType(T.DoubleType()))(vector)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -13,7 +14,6 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.text import select_indices
 from assayloom.operators.scale import CorrelationPrune, RobustScale
 from assayloom.settings import CORRELATION_THRESHOLD
 
@@ -24,20 +24,27 @@ def as_array(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("array<double>")
 
 
+def as_vector(df: DataFrame, column: str) -> Column:
+    if isinstance(df.schema[column].dataType, VectorUDT):
+        return F.col(column)
+    return array_to_vector(F.col(column).cast("array<double>"))
+
+
 class _InOut(HasInputCol, HasOutputCol):
     pass
 
 
 class PruneModel(Model, _InOut, DefaultParamsReadable, DefaultParamsWritable):
-    """Keeps the vector positions in ``kept``."""
+    """Keeps the vector positions in ``kept``; the output is an ML vector."""
 
     kept = Param(Params._dummy(), "kept", "positions kept", TypeConverters.toListInt)
     removed = Param(Params._dummy(), "removed", "names removed", TypeConverters.toListString)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        source, out = self.getInputCol(), self.getOutputCol()
-        made = df.withColumn("_a", as_array(df, source))
-        return made.withColumn(out, select_indices(F.col("_a"), self.getOrDefault("kept"))).drop("_a")
+        made = df.withColumn("_v", as_vector(df, self.getInputCol()))
+        slicer = VectorSlicer(
+            inputCol="_v", outputCol=self.getOutputCol(), indices=self.getOrDefault("kept"))
+        return slicer.transform(made).drop("_v")
 
 
 class PruneCorrelated(Estimator, _InOut, DefaultParamsReadable, DefaultParamsWritable):
