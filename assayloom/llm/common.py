@@ -42,25 +42,41 @@ def work_parts(spark: SparkSession) -> int:
 MOST_LABELS = 1000
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` rows of each of MOST_LABELS labels, chosen by a hash of doc_id.
+def labelled_sample(
+    rows: DataFrame, label: str, per_label: int, key: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """At most ``per_label`` rows of each of MOST_LABELS labels, chosen by a hash of ``key``.
 
-    ``rows`` is narrow (ids and labels). Counts per label give a hash limit that leaves about
+    ``rows`` is narrow (keys and labels). Counts per label give a hash limit that leaves about
     twice the rows wanted, so that the ranking works on a few rows whatever the table's size.
     """
     counts = rows.groupBy(label).agg(F.count("*").alias("_count")).orderBy(
         F.desc("_count"), label
     ).limit(MOST_LABELS)
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    order = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = (
         rows.withColumn("_order", order).join(F.broadcast(counts), label)
         .where(F.col("_order") < F.lit(2.0 * per_label + 50) / F.col("_count"))
     )
-    first = Window.partitionBy(label).orderBy("_order", "doc_id")
+    first = Window.partitionBy(label).orderBy("_order", *key)
     ranked = few.withColumn("_rank", F.row_number().over(first))
     return ranked.where(F.col("_rank") <= per_label).select(rows.columns)
 
 
+def labelled_texts(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """(label, text) of at most ``per_label`` different rows of each of MOST_LABELS labels.
+
+    ``rows`` has doc_id, text and label. A row is known by its doc_id and a hash of its text, so many rows
+    of one doc_id are as many rows to draw from, and equal ones count once.
+    """
+    keyed = rows.select("doc_id", label, "text", F.xxhash64("text").alias("_text"))
+    key = ("doc_id", "_text")
+    chosen = labelled_sample(keyed.select(*key, label).distinct(), label, per_label, key)
+    # At most MOST_LABELS * per_label keys; copies of a row merge before they move.
+    return keyed.join(F.broadcast(chosen), [*key, label]).groupBy(*key, label).agg(
+        F.first("text").alias("text")).select(label, "text")
+
+
 def word_vocabulary() -> str:
     """Path of the public word vocabulary, as installed on every machine."""
     import public_tokenizers

@@ -26,7 +26,8 @@ _CLOSES = {
 }
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    # A tag ends at its >; a < outside quotes before that makes it text.
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
 )
 _MARKING = re.compile(
     r"(?<![\w-])(class|id|role|hidden|style|data-main|aria-[\w-]+)\s*"
@@ -53,21 +54,35 @@ def parse(html: str) -> Page:
     """Whatever the markup, a page; unclosed and stray tags are mended as browsers do.
 
     A raw element without end tag takes the rest of the page; a hidden one is read as any other
-    element then, but the head ends at the body or at the first element or text of a body.
+    element then, but the head ends at the body or at the first element or text of a body. The time
+    is in proportion to the page, however deep it is and whatever is left open.
     """
     page = Page()
     stack: list[tuple[str, int]] = [("#root", 0)]
+    places: dict[str, list[int]] = {}  # of the open elements of a name in the stack
     hidden: list[int] = []  # places in the stack
     last: dict[str, int] = {}  # where the last end tag of a name begins, -1 if there is none
     block = links = at = 0
 
     def close(upto: int) -> None:
         nonlocal links
-        links -= sum(tag == "a" for tag, _ in stack[upto:])
+        for tag, _ in stack[upto:]:
+            links -= tag == "a"
+            places[tag].pop()
         del stack[upto:]
         while hidden and hidden[-1] >= upto:
             hidden.pop()
 
+    def push(name: str, node: int) -> None:
+        nonlocal links
+        links += name == "a"
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
+
+    def innermost(names: set[str]) -> int:
+        """The last place in the stack of one of these names; 0 if none is open."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def ends_after(name: str, start: int) -> bool:
         if name not in last:
             last[name] = max((m.start() for m in _END[name].finditer(html)), default=-1)
@@ -101,9 +116,9 @@ def parse(html: str) -> Page:
             continue
         if m[1]:
             inner = hidden[-1] if hidden else 1
-            opened = next((i for i in range(len(stack) - 1, inner - 1, -1) if stack[i][0] == name), 0)
+            opened = innermost({name})
             block += not inline and not hidden
-            if opened:
+            if opened >= inner:
                 close(opened)
             continue
         if name in RAW:
@@ -114,26 +129,19 @@ def parse(html: str) -> Page:
             block += not hidden
             if not (m[0].endswith("/>") and name in ("svg", "math")):
                 hidden.append(len(stack))
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
             continue
         if hidden:
             if name not in VOID:
-                stack.append((name, stack[-1][1]))
-                links += name == "a"
+                push(name, stack[-1][1])
             continue
         if not inline:
             block += 1
-            if name in _CLOSES:
-                among, fence = _CLOSES[name]
-            else:
-                among, fence = {"p"}, set()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in fence:
+            among, fence = _CLOSES.get(name, ({"p"}, set()))
+            while (inner := innermost(among)) > innermost(fence):
+                close(inner)
+                if name != "tr":
                     break
-                if stack[i][0] in among or (name not in _CLOSES and stack[i][0] == "p"):
-                    close(i)
-                    if name not in ("tr",):
-                        break
         marks, label = "", page.label[stack[-1][1]]
         for k, *values in _MARKING.findall(m[3]) if len(m[3]) > 3 else ():
             value = next(filter(None, values), "")
@@ -153,7 +161,6 @@ def parse(html: str) -> Page:
             page.label.append(label)
             node = len(page.parent) - 1
         if name not in VOID:
-            stack.append((name, node))
-            links += name == "a"
+            push(name, node)
     text_upto(len(html))
     return page

@@ -1,10 +1,14 @@
 """Language identification in two steps: the family, then the language inside it.
 
-Both steps are one-versus-rest linear support vector machines (squared hinge) over hashed byte
-n-grams of the lower-cased whole text; square roots of shares keep texts of all lengths alike.
+The family comes from one-versus-rest linear support vector machines (squared hinge) over hashed byte
+n-grams of the lower-cased whole text; square roots of shares keep texts of all lengths alike. Inside a
+family every two languages have a machine of their own, trained on these two alone; the language
+with most votes wins, and equal votes go to the larger sum of shares.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null doc_id is
-held out; no usable training row makes every text ``und``; extra columns play no part.
+held out; no usable training row makes every text ``und``; texts of any length are read whole, in
+pieces; equal votes and shares go to the first language by name; equal training rows count once, and
+rows with equal doc_id are predicted each on its own; no rows give no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import held_out, labelled_sample, slices, with_rows
+from assayloom.llm.common import held_out, labelled_texts, slices, with_rows
 
 #: Hash cells of the n-gram counts.
 CELLS = 4096
@@ -101,13 +105,45 @@ def _shares(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+@dataclass(frozen=True)
+class Pairs:
+    """A machine for every two languages of a family: (first, second, weights), positive for first."""
+
+    names: list[str]
+    machines: list[tuple[int, int, np.ndarray]]
+
+    @staticmethod
+    def fit(x: np.ndarray, labels: list[str]) -> Pairs:
+        names, own = sorted(set(labels)), np.array(labels)
+        machines = []
+        for i, first in enumerate(names):
+            for j in range(i + 1, len(names)):
+                two = (own == first) | (own == names[j])
+                machines.append((i, j, linear_svm(x[two], np.where(own[two] == first, 1.0, -1.0))))
+        return Pairs(names, machines)
+
+    def vote(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The language with most votes, and the mean of its shares against each other one."""
+        n = len(self.names)
+        votes, shares = np.zeros((len(x), n)), np.zeros((len(x), n))
+        for i, j, weights in self.machines:
+            share = 1 / (1 + np.exp(-2 * SHARPNESS * (x @ weights[:-1] + weights[-1])))
+            votes[:, i] += share >= 0.5
+            votes[:, j] += share < 0.5
+            shares[:, i] += share
+            shares[:, j] += 1 - share
+        best = (votes * (n + 1) + shares).argmax(1)
+        mean = shares[np.arange(len(x)), best] / (n - 1) if n > 1 else np.ones(len(x))
+        return best, mean
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """Machines for the families, and for the languages of each family."""
+    """Machines for the families, and for every two languages of each family."""
 
     families: list[str]
     family_weights: np.ndarray
-    languages: dict[str, tuple[list[str], np.ndarray]]
+    languages: dict[str, Pairs]
 
     @staticmethod
     def fit(x: np.ndarray, languages: list[str]) -> LanguageModel:
@@ -116,7 +152,7 @@ class LanguageModel:
         inner = {}
         for name in names:
             own = [i for i, f in enumerate(family) if f == name]
-            inner[name] = _one_versus_rest(x[own], [languages[i] for i in own])
+            inner[name] = Pairs.fit(x[own], [languages[i] for i in own])
         return LanguageModel(names, weights, inner)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -125,10 +161,10 @@ class LanguageModel:
         names, score = np.empty(len(x), object), np.zeros(len(x))
         for i in np.unique(best):
             own = np.flatnonzero(best == i)
-            codes, weights = self.languages[self.families[i]]
-            shares = _shares(x[own], weights)
-            names[own] = np.array(codes, object)[shares.argmax(1)]
-            score[own] = outer[own, i] * shares.max(1)
+            pairs = self.languages[self.families[i]]
+            language, share = pairs.vote(x[own])
+            names[own] = np.array(pairs.names, object)[language]
+            score[own] = outer[own, i] * share
         return list(names), score
 
 
@@ -146,13 +182,9 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_language_model(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE):
     """A model from rows that are not held out and have a language; None without such rows."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    chosen = labelled_sample(usable.select("doc_id", "lang"), "lang", per_language)
-    # Bounded: per_language ids of each language, then one vector of CELLS half floats each.
-    rows = (
-        usable.select("doc_id", "lang", "text")
-        .join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-        .select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect()
-    )
+    # At most per_language vectors of CELLS half floats for each language.
+    rows = labelled_texts(usable, "lang", per_language).mapInArrow(
+        _vectors, "lang string, vector binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["vector"])))  # the order of arrival plays no part

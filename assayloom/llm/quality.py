@@ -5,7 +5,9 @@ fit keeps a few of them with weights; the kept rules become one Spark column exp
 
 Defined cases: null and empty texts have all statistics zero and a score like any other;
 labels that are null or held out teach nothing; without both labels in the training rows every
-score is their share (0.5 without rows); repeated labels of a document all count.
+score is their share (0.5 without rows); equal labels of equal rows count once, different ones each;
+a null doc_id is held out; texts of any length are read whole; of equally good cuts the first statistic
+counts; no documents give no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.llm.common import as_bytes, held_out, labelled_sample, slices, with_rows
+from assayloom.llm.common import as_bytes, held_out, labelled_texts, slices, with_rows
 
 #: Training rows of each label at most; chosen by a hash of doc_id over all labelled rows.
 TRAIN_PER_LABEL = 3000
@@ -206,14 +208,10 @@ def train_rule_model(
     ids = docs.select("doc_id").distinct()
     usable = usable.join(ids, "doc_id", "left_semi")
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    chosen = labelled_sample(usable, "quality", per_label)
-    # Bounded: 2 * per_label ids, then their statistics.
-    picked = docs.select("doc_id", "text").join(
-        F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"
-    )
-    rows = measured(picked).join(F.broadcast(chosen), "doc_id").select(
-        "quality", *STATISTICS
-    ).collect()
+    labelled = docs.select("doc_id", "text").join(usable.distinct(), "doc_id")
+    # At most per_label rows of statistics for each label.
+    rows = labelled_texts(labelled, "quality", per_label).mapInArrow(
+        _measure, "quality int, " + _MEASURED).collect()
     data = np.array(sorted(tuple(r) for r in rows)).reshape(-1, 1 + len(STATISTICS))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit_rules(data[:, 1:], data[:, 0], share)

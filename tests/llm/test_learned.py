@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayloom.llm import language, quality
-from assayloom.llm.common import held_out, labelled_sample, table
+from assayloom.llm.common import held_out, labelled_sample, labelled_texts, table
 from assayloom.llm.dom import parse
 from assayloom.llm.main_text import (
     Forest,
@@ -243,3 +244,72 @@ def test_deep_and_long_pages():
 ])
 def test_raw_and_hidden_elements(html, text):
     assert " ".join("".join(t for _, _, t, _ in parse(html).texts).split()) == text
+
+
+HOSTILE = ["<a ", "<a '", '<a "', "<div>", "<p><b>", "</p>", "<!--", "<li><ul>", "<table><tr><td>", "<script>",
+           "<svg>", "<a href=\"x'>", "<![CDATA[", "&amp", "<x", "<td>", "<<", "</script ", "class=", "<i class="]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_hostile_pages_take_linear_time(piece):
+    start = time.process_time()
+    parse(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 6  # about a second on an idle machine
+
+
+def test_unclosed_tags_are_text_and_later_ones_count():
+    texts = [t for _, _, t, _ in parse("<p>a <b <i>c</i></p><p title='x<y'>d").texts]
+    assert " ".join("".join(texts).split()) == "a <b cd"
+
+
+def many_languages(rng, n):
+    """Three Germanic and two Romance ones."""
+    words = {"en": "the of and house", "de": "der und das haus", "nl": "het en van huis",
+             "fr": "le et la maison", "es": "el y la casa"}
+    return [(i, " ".join(rng.choices(words[c].split(), k=rng.randint(8, 30))), c)
+            for i, c in enumerate(rng.choices(list(words), k=n))]
+
+
+def test_pairs_of_a_family_are_trained_and_vote(make_docs):
+    docs = many_languages(random.Random(3), 400)
+    model = language.train_language_model(make_docs(docs))
+    assert {f: len(p.machines) for f, p in model.languages.items()} == {"germanic": 3, "romance": 1}
+    vectors = np.stack([language.ngram_shares(t) for _, t, _ in docs])
+    names, scores = model.predict(vectors)
+    assert np.mean([a == b for a, (_, _, b) in zip(names, docs)]) > 0.97
+    # A plain scorer: one vector at a time, one machine at a time.
+    for x, name, score in list(zip(vectors, names, scores))[:60]:
+        margins = [language.SHARPNESS * (w[:-1] @ x + w[-1]) for w in model.family_weights]
+        outer = np.exp(margins) / np.sum(np.exp(margins))
+        pairs = model.languages[model.families[int(np.argmax(outer))]]
+        votes, shares = [0] * len(pairs.names), [0.0] * len(pairs.names)
+        for i, j, w in pairs.machines:
+            p = 1 / (1 + np.exp(-2 * language.SHARPNESS * (w[:-1] @ x + w[-1])))
+            votes[i if p >= 0.5 else j] += 1
+            shares[i], shares[j] = shares[i] + p, shares[j] + 1 - p
+        best = max(range(len(votes)), key=lambda k: (votes[k], shares[k]))
+        assert pairs.names[best] == name
+        assert score == pytest.approx(max(outer) * shares[best] / (len(votes) - 1), rel=1e-4)
+
+
+def test_rows_of_one_id_do_not_flood_the_driver(spark, make_docs):
+    one = [(8, f"der hund und die katze {i}", "de") for i in range(3000)]
+    other = [(i, f"the dog and the cat {i}", "en") for i in range(200)] + [(3, "the same", "en")] * 500
+    docs = make_docs(one + other)
+    usable = docs.where(~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["count"] for r in labelled_texts(usable, "lang", 40).groupBy("lang").count().collect()}
+    assert counts == {"de": 40, "en": 40}
+    marks = spark.createDataFrame([(8, 1)] * 50 + [(i, 0) for i in range(200) if i != 8], "doc_id bigint, quality int")
+    model = quality.train_rule_model(docs, marks, per_label=40)
+    assert quality.score_quality(docs, model).count() == docs.count()
+
+
+def test_compiled_columns_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((300, len(quality.STATISTICS)))
+    y = ((x[:, 2] > 0.4) & (x[:, 5] <= 0.7) | (x[:, 9] > 0.9)).astype(float)
+    model = quality.fit_rules(x, y, 0.3)
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in x], [*quality.STATISTICS])
+    got = [r.score for r in frame.select("*", model.score().alias("score")).collect()]
+    raw = quality.applies(model.rules, x) @ np.array(model.weights) + model.bias
+    assert got == pytest.approx((1 / (1 + np.exp(-raw))).tolist(), rel=1e-12)
