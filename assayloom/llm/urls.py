@@ -3,12 +3,17 @@
 Labelled are URLs that the rule list decides, and pages whose id has a row in ``labels`` (block
 if toxic or of no quality). Spark's FP-growth mines combinations of URL tokens with a verdict;
 rules with enough support and confidence, and without a shorter rule that is as sure, are kept.
-They match through an inverted index: each rule is posted under its rarest token, and the rest
-of its tokens are checked. URLs that no rule fits are allowed. All of it is DataFrame work.
+Tokens that occur in the same labelled URLs, all together, count as one: k of them would give 2^k
+combinations that say the same. Any of them stands for all when a rule is matched, as its rules
+of one token each would. Rules match through an inverted index: each is posted under its rarest
+token, and the rest of its tokens are checked. URLs that no rule fits are allowed. All of it is
+DataFrame work.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no tokens and the
-verdict allow; rows with equal ids or URLs are judged each on its own; labels with nulls teach
-nothing; without labelled rows only the list decides; extra columns play no part.
+verdict allow; URLs of any length are read whole; of equally long rules of the list that fit, the later
+one decides, of mined rules the surer, then the better supported, then block; rows with equal ids or
+URLs are judged each on its own; labels with nulls teach nothing; without labelled rows only the list
+decides; no pages give no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -19,11 +24,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.operators.lookup import spread_join
 from assayloom.session import stored
 
-#: A combination must cover this share of the labelled URLs, and be right this often.
-MIN_SUPPORT = 0.002
-#: And at least so many of them.
+#: A combination must cover so many labelled URLs, at every size, and be right this often.
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,7 +94,7 @@ def url_tokens(url: Column) -> Column:
 
 
 def labelled_tokens(parts: DataFrame, labels: DataFrame) -> DataFrame:
-    """``items``: tokens and verdict (``=allow``, ``=block``) of each labelled URL."""
+    """row_id, tokens and verdict (``=allow``, ``=block``) of each labelled URL."""
     marks = (
         labels.where("doc_id is not null and quality is not null and toxic is not null")
         .groupBy(F.col("doc_id").alias("_page"))
@@ -101,13 +105,34 @@ def labelled_tokens(parts: DataFrame, labels: DataFrame) -> DataFrame:
         "listed", F.when(F.col("_bad") == 1, "block").when(F.col("_bad") == 0, "allow")
     )
     return joined.where(verdict.isNotNull() & (F.size("tokens") > 0)).select(
-        F.concat("tokens", F.array(F.concat(F.lit("="), verdict))).alias("items")
+        F.monotonically_increasing_id().alias("row_id"), "tokens",
+        F.concat(F.lit("="), verdict).alias("verdict"),
     )
 
 
-def mined_rules(items: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """``antecedent, verdict, confidence, support``; bounded by the support, not the rows."""
-    min_support = min(1.0, max(min_support, MIN_ROWS / max(1, items.count())))
+def tokens_met_together(items: DataFrame, min_rows: int) -> DataFrame:
+    """``token, other``: tokens of at least ``min_rows`` rows and the first by name of those in exactly the
+    same rows, where that is another one. Two 64-bit sums over the rows tell the same rows."""
+    row = F.xxhash64("row_id")
+    own = items.select("row_id", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(row).alias("a"),
+        F.bit_xor(F.xxhash64(row, F.lit(1))).alias("b")).where(F.col("n") >= min_rows)
+    first = own.groupBy("n", "a", "b").agg(F.min("token").alias("other"), F.count("*").alias("size"))
+    return own.join(first.where("size > 1"), ["n", "a", "b"]).where("token <> other").select(
+        "token", "other")
+
+
+def merged_tokens(rows: DataFrame, key: str, together: DataFrame) -> DataFrame:
+    """``key`` and ``merged``: its tokens, each as the one that stands for it. ``rows`` has one row
+    for each key."""
+    each = rows.select(key, F.explode("tokens").alias("token"))
+    found = spread_join(each, together, "token", "left", [key])
+    return found.groupBy(key).agg(F.array_sort(F.collect_set(F.coalesce("other", "token"))).alias("merged"))
+
+
+def mined_rules(items: DataFrame, min_rows: int, min_confidence: float) -> DataFrame:
+    """``antecedent, verdict, confidence, support`` of combinations in ``min_rows`` rows or more."""
+    min_support = min(1.0, (min_rows - 0.5) / max(1, items.count()))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where(
         (F.size("consequent") == 1) & F.element_at("consequent", 1).isin("=allow", "=block")
@@ -144,7 +169,7 @@ def inverted_index(rules: DataFrame, items: DataFrame) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame, labels: DataFrame, rules: tuple[PathRule, ...] = RULES,
-    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and ``mined``: the tokens of the
     mined rule that decided, if one did."""
@@ -158,19 +183,25 @@ def judge_urls(
         "page_id", "host", "path", text.alias("rule"), verdict.alias("listed"),
         url_tokens(F.col("url")).alias("tokens"),
     )
-    items = stored(labelled_tokens(parts, labels), "url-items")
-    index = inverted_index(mined_rules(items, min_support, min_confidence), items)
+    labelled = stored(labelled_tokens(parts, labels), "url-labelled")
+    together = stored(tokens_met_together(labelled, min_rows), "url-together")
+    items = stored(
+        merged_tokens(labelled, "row_id", together).join(labelled.select("row_id", "verdict"), "row_id")
+        .select(F.concat("merged", F.array("verdict")).alias("items")), "url-items")
+    index = inverted_index(mined_rules(items, min_rows, min_confidence), items)
     # Token sets repeat far more than URLs do; each is matched once.
     sets = parts.where("listed is null").select("tokens").distinct()
     hits = (
-        sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-        .where(F.size(F.array_except("antecedent", "tokens")) == 0)
+        merged_tokens(sets, "tokens", together)
+        .select("tokens", "merged", F.explode("merged").alias("token")).join(index, "token")
+        .where(F.size(F.array_except("antecedent", "merged")) == 0)
         .groupBy("tokens").agg(F.max(F.struct(
             "confidence", "support", "verdict", F.concat_ws(" ", "antecedent").alias("mined")
         )).alias("best"))
-        .select("tokens", "best.verdict", "best.mined")
+        .select("tokens", F.col("best.verdict").alias("verdict"), F.col("best.mined").alias("mined"))
     )
-    judged = parts.join(hits, "tokens", "left")
+    # Pages of one hot token set are split over tasks.
+    judged = spread_join(parts, hits, "tokens", "left", ["page_id"])
     listed = F.col("listed").isNotNull()
     return judged.select(
         "page_id", "host", "path", "rule",

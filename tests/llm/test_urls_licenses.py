@@ -133,3 +133,52 @@ def test_published_files(make_docs):
     for i, (name, _, _) in enumerate(full_texts()):
         assert got[300 + i] == (name, True), name
     assert got[999] == ("", False)
+
+
+def plain_verdicts(pages, bad, min_rows=20, sure=0.8):
+    """All token combinations of the labelled URLs, counted one by one."""
+    from collections import Counter
+    from itertools import chain, combinations
+
+    def tokens(url):
+        host, _, path = url.split("://")[1].partition("/")
+        return {f"h:{x}" for x in host.split(".")} | {f"p:{x}" for x in path.split("/") if x}
+
+    def parts(found):
+        return chain.from_iterable(combinations(sorted(found), n) for n in range(1, len(found) + 1))
+
+    seen, of = Counter(), Counter()
+    for i, url in pages:
+        if i in bad:
+            for part in parts(tokens(url)):
+                seen[part] += 1
+                of[part, "block" if bad[i] else "allow"] += 1
+    out = {}
+    for i, url in pages:
+        best = [(of[p, v] / seen[p], of[p, v], v) for p in parts(tokens(url)) for v in ("allow", "block")
+                if of[p, v] >= min_rows and of[p, v] / seen[p] >= sure]
+        out[i] = max(best)[2] if best else "allow"
+    return out
+
+
+def test_mined_verdicts_equal_counting_all_combinations(spark, make_pages, no_labels):
+    import random
+
+    rng = random.Random(7)
+    pages = [(i, f"x://{rng.choice('ab')}.{rng.choice('cd')}.net/{rng.choice('ef')}/{rng.choice('gh')}")
+             for i in range(700)]
+    bad = {i: int(("a.c" in u or "/f/h" in u) == (rng.random() < 0.9)) for i, u in pages if i % 2}
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in bad.items()], no_labels.schema)
+    got = {r.page_id: r.verdict for r in judge_urls(make_pages(pages), labels, rules=()).collect()}
+    assert got == plain_verdicts(pages, bad)
+
+
+def test_tokens_that_always_meet_are_one(spark, make_pages, no_labels):
+    names = "&".join(f"name{k}=1" for k in range(25))
+    rows = [(i, f"x://shop{i % 40}.net/?{names}") for i in range(60)]
+    rows += [(i, f"x://site{i % 40}.net/page") for i in range(100, 300)]
+    rows += [(900, "x://other.net/?name7=5"), (901, "x://other.net/?name99=5")]
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i, _ in rows if i < 900], no_labels.schema)
+    got = {r.page_id: r for r in judge_urls(make_pages(rows), labels, rules=()).collect()}
+    assert {got[i].verdict for i in range(60)} == {"block"} == {got[900].verdict}
+    assert got[901].verdict == got[150].verdict == "allow"
