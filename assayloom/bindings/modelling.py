@@ -19,7 +19,13 @@ from assayloom.operators.scale import (
     prune_columns,
 )
 from assayloom.operators.split import holdout_hash, kfold_hash, three_way_split
-from assayloom.operators.stats import correlation_pairs, grouped_linear_fit, linear_cross_validate
+from assayloom.operators.stats import (
+    correlation_pairs,
+    grouped_linear_fit,
+    linear_cross_validate,
+    regression_metrics,
+)
+from assayloom.plans.network import NetworkSettings, train_network
 from assayloom.plans.runs import train_target
 from assayloom.plans.scoring import batch_score, score_with_saved
 from assayloom.plans.training import (
@@ -380,6 +386,25 @@ def _param_search_scores(spark, folder):
     )
 
 
+@query(
+    "train_network",
+    f"""WITH {_KEYED}, s AS (SELECT CASE WHEN md5(k || '|42') < '33333333' THEN 'test'
+          WHEN md5(k || '|43') < '33333333' THEN 'val' ELSE 'train' END AS split FROM lines)
+        SELECT split, count(*) AS n, true AS learned FROM s GROUP BY split""",
+)
+def _train_network(spark, folder):
+    """A product of two numbers per order line, learned without noise: every split must be explained
+    to 99 %."""
+    rows = _line_vectors(spark, folder).select(
+        "k", "split", F.array(F.col("features")[0] / 25 - 1, F.col("features")[1] * 20 - 1).alias("x"),
+        (F.col("features")[0] * (1 - F.col("features")[1])).alias("y"))
+    settings = NetworkSettings(hidden=(32, 32), rate=0.05, epochs=12, batches=4, dropout=0.0, step_size=6)
+    made = train_network(rows, "x", "y", "k", settings)
+    scored = rows.withColumn("predicted", made.predict(F.col("x")))
+    return regression_metrics(scored, "y", "predicted", ["split"]).select(
+        "split", "n", (F.col("r2") > 0.99).alias("learned"))
+
+
 @query(
     "batch_score",
     f"""WITH {_FITTED} SELECT k, CASE WHEN x1 > 5 THEN round(p, 3) + 0.0 END AS predicted,

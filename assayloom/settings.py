@@ -7,6 +7,8 @@ TEST_FRACTION = 0.2
 VALIDATION_FRACTION = 0.2
 RANDOM_SEED = 42
 PATIENCE = 10
+MAX_EPOCHS = 100
+LEARNING_RATE = 1e-3
 HASH_BITS = 1024
 DICTIONARY_BITS = 167
 HASH_RADIUS = 2
