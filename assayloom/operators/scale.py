@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.kernels import scaled_vector
 from assayloom.functions.text import select_indices
 from assayloom.operators.stats import (
     correlation_columns,
@@ -44,7 +43,13 @@ class RobustScale:
         return cls(tuple(medians), tuple(divisors))
 
     def column(self, features: Column) -> Column:
-        return scaled_vector(features, self.medians, self.divisors)
+        pairs = F.array(*[
+            F.struct(F.lit(m).alias("m"), F.lit(s).alias("s"))
+            for m, s in zip(self.medians, self.divisors, strict=True)
+        ])
+        return F.zip_with(
+            features, pairs, lambda x, p: (x.cast("double") - p["m"]) / p["s"]
+        )
 
     def transform(self, df: DataFrame, features: str, out: str | None = None) -> DataFrame:
         return df.withColumn(out or features, self.column(F.col(features)))

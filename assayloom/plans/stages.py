@@ -14,6 +14,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.functions.kernels import scaled_vector
 from assayloom.operators.scale import CorrelationPrune, RobustScale
 from assayloom.settings import CORRELATION_THRESHOLD
 
@@ -80,10 +81,8 @@ class RobustModel(Model, _InOut, DefaultParamsReadable, DefaultParamsWritable):
     divisors = Param(Params._dummy(), "divisors", "divisors", TypeConverters.toListFloat)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        scale = RobustScale(
-            tuple(self.getOrDefault("medians")), tuple(self.getOrDefault("divisors"))
-        )
-        scaled = scale.column(as_array(df, self.getInputCol()))
+        scaled = scaled_vector(
+            as_array(df, self.getInputCol()), self.getOrDefault("medians"), self.getOrDefault("divisors"))
         return df.withColumn(self.getOutputCol(), array_to_vector(scaled))
 
 

@@ -52,8 +52,8 @@ def test_splits_move_no_rows(spark, name):
 
 
 @pytest.mark.parametrize("name", [
-    "curate", "dedup_keep_first", "assemble_features", "roc_curve", "undersample_bins",
-    "robust_scale", "cached_lookup", "linear_score", "kde_grid",
+    "curate", "dedup_keep_first", "roc_curve", "undersample_bins", "robust_scale",
+    "cached_lookup", "linear_score", "kde_grid",
 ])
 def test_plans_stay_in_the_jvm(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
@@ -63,3 +63,10 @@ def test_plans_stay_in_the_jvm(spark, name):
 
 def test_dedup_uses_no_window(spark):
     assert "Window" not in plan(QUERIES["dedup_keep_first"](spark, FOLDER))
+
+
+def test_features_take_one_kernel(spark):
+    """A text goes to Python once, in Arrow batches, and is shuffled only to spread the work."""
+    text = plan(QUERIES["assemble_features"](spark, FOLDER))
+    assert text.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in text
+    assert text.count("Exchange") == 1 and "Generate" not in text and "Aggregate" not in text
