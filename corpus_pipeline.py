@@ -7,6 +7,12 @@ Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns
 3. exact: of texts equal but for white space one stays.
 4. near: of each SimHash component the document with the smallest doc_id stays.
 5. pack: token sequences of at most 4,096 ids.
+
+Defined cases, for every stage: null and empty texts are scored by 1, rejected by 2 (no letter), and
+otherwise count as empty; a null doc_id is held out of training and takes part through its text; of
+ties the smallest doc_id stays, and of rows equal in every respect one; rows that share a doc_id stay or
+go together in 4 and on their own elsewhere; texts are read whole; extra columns pass through 1 to 4,
+whatever their names; no documents give no rows.
 """
 
 from __future__ import annotations
