@@ -386,6 +386,23 @@ def _param_search_scores(spark, folder):
     )
 
 
+@query(
+    "train_trees",
+    f"""WITH {_KEYED}, s AS (SELECT CASE WHEN md5(k || '|42') < '33333333' THEN 'test'
+          WHEN md5(k || '|43') < '33333333' THEN 'val' ELSE 'train' END AS split FROM lines)
+        SELECT split, count(*) AS n, true AS learned FROM s GROUP BY split""",
+)
+def _train_trees(spark, folder):
+    """Boosted trees with early stopping on the val rows; the label has steps that trees can follow, so
+    every split must be explained to 97 %."""
+    rows = _line_vectors(spark, folder).withColumn(
+        "y", F.when(F.col("features")[0] > 25, 10.0).otherwise(0.0)
+        + F.when(F.col("features")[1] > 0.05, F.col("features")[3]).otherwise(0.0))
+    trained = train_regressor(rows, "features", "y", "gbt", names=_LINE_NAMES)
+    return regression_metrics(trained.score(rows), "y", "predicted", ["split"]).select(
+        "split", "n", (F.col("r2") > 0.97).alias("learned"))
+
+
 @query(
     "train_network",
     f"""WITH {_KEYED}, s AS (SELECT CASE WHEN md5(k || '|42') < '33333333' THEN 'test'

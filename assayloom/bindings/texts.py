@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayloom.bindings import query, table
 from assayloom.functions.numeric import rounded
-from assayloom.functions.text import content_key
+from assayloom.functions.text import content_key, iso_timestamp
 from assayloom.operators.featurise import (
     DESCRIPTORS,
     SCAFFOLDS,
@@ -338,3 +338,8 @@ def _descriptor_unpivot(spark, folder):
         table(spark, folder, "embeddings"), "embedding", [f"dim_{i}" for i in range(5)], ["vec_id"]
     )
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("iso_timestamp", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS stamp FROM events")
+def _iso_timestamp(spark, folder):
+    return table(spark, folder, "events").select("event_id", iso_timestamp(F.col("ts")).alias("stamp"))

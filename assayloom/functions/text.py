@@ -32,6 +32,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
 
+def iso_timestamp(moment: Column) -> Column:
+    """A timestamp as text, to the microsecond."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
 def content_key(text: Column, version: str | None = None) -> Column:
     """MD5 of the text; with a version, keys of different feature sets never meet."""
     key = F.md5(text)

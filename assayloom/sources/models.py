@@ -11,6 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from assayloom.functions.text import iso_timestamp
 from assayloom.session import remove_others
 
 REQUIRED_KEYS = (
@@ -39,9 +40,7 @@ def save_model(spark: SparkSession, model: PipelineModel, metadata: dict, path:
     ``vacuum_model`` removes them.
     """
     folder = f"pipeline-{uuid.uuid4().hex}"
-    stamp = spark.range(1).select(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    ).first()[0]
+    stamp = spark.range(1).select(iso_timestamp(F.current_timestamp())).first()[0]
     record = {"version": 1.0, "pipeline": folder, "is_trained": True, "timestamp": stamp,
               **metadata}
     model.write().save(f"{path}/{folder}")

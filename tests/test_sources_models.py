@@ -278,3 +278,22 @@ def test_store_moves_wanted_keys_not_vectors(spark, folder):
     assert stores.read_features(spark, path).count() == 900
     stores.clear_features(spark, path)
     assert stores.read_features(spark, path).count() == 0
+
+
+def test_importance_ranks_planted_weights(spark):
+    import random
+
+    from assayloom.plans.training import feature_importance
+
+    rng, weights = random.Random(2), [0.0, 5.0, 0.0, 2.5, 0.0, 1.2]
+    rows = []
+    for _ in range(800):
+        x = [rng.random() for _ in weights]
+        rows.append((x, sum(w * v for w, v in zip(weights, x))))
+    frame = spark.createDataFrame(rows, "v array<double>, y double")
+    names = [f"f{i}" for i in range(6)]
+    ranked = feature_importance(frame, "v", "y", names, k=6, trees=30, max_depth=8).orderBy("rank").collect()
+    assert [r.name for r in ranked[:3]] == ["f1", "f3", "f5"] and [r.rank for r in ranked] == [1, 2, 3, 4, 5, 6]
+    assert sum(r.importance for r in ranked) == pytest.approx(1.0)
+    # Variance explained goes with the square of the weight.
+    assert ranked[0].importance > 2.5 * ranked[1].importance > 2.5 * 2 * ranked[2].importance
