@@ -63,17 +63,23 @@ def labelled_sample(
     return ranked.where(F.col("_rank") <= per_label).select(rows.columns)
 
 
-def labelled_texts(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+def labelled_texts(
+    rows: DataFrame, label: str, per_label: int, labels: DataFrame | None = None
+) -> DataFrame:
     """(label, text) of at most ``per_label`` different rows of each of MOST_LABELS labels.
 
-    ``rows`` has doc_id, text and label. A row is known by its doc_id and a hash of its text, so many rows
-    of one doc_id are as many rows to draw from, and equal ones count once.
+    ``rows`` has doc_id, text and label, unless ``labels`` gives the label by doc_id. A row is known by
+    its doc_id and a hash of its text, so many rows of one doc_id are as many rows to draw from, and
+    equal ones count once. Texts stay where they are until their keys are chosen.
     """
-    keyed = rows.select("doc_id", label, "text", F.xxhash64("text").alias("_text"))
-    key = ("doc_id", "_text")
-    chosen = labelled_sample(keyed.select(*key, label).distinct(), label, per_label, key)
+    key, own = ["doc_id", "_text"], [label] if labels is None else []
+    keyed = rows.select("doc_id", "text", *own, F.xxhash64("text").alias("_text"))
+    narrow = keyed.select(*key, *own).distinct()
+    if labels is not None:
+        narrow = narrow.join(labels.select("doc_id", label).distinct(), "doc_id")
+    chosen = labelled_sample(narrow, label, per_label, tuple(key))
     # At most MOST_LABELS * per_label keys; copies of a row merge before they move.
-    return keyed.join(F.broadcast(chosen), [*key, label]).groupBy(*key, label).agg(
+    return keyed.join(F.broadcast(chosen), [*key, *own]).groupBy(*key, label).agg(
         F.first("text").alias("text")).select(label, "text")
 
 

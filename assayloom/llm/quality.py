@@ -208,9 +208,8 @@ def train_rule_model(
     ids = docs.select("doc_id").distinct()
     usable = usable.join(ids, "doc_id", "left_semi")
     counts = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    labelled = docs.select("doc_id", "text").join(usable.distinct(), "doc_id")
     # At most per_label rows of statistics for each label.
-    rows = labelled_texts(labelled, "quality", per_label).mapInArrow(
+    rows = labelled_texts(docs, "quality", per_label, usable).mapInArrow(
         _measure, "quality int, " + _MEASURED).collect()
     data = np.array(sorted(tuple(r) for r in rows)).reshape(-1, 1 + len(STATISTICS))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
