@@ -91,13 +91,13 @@ def thresholds_by_cut(df: DataFrame, hash_col: str, cuts: Sequence[Column]) -> C
     return found.agg(F.map_from_entries(F.collect_list(F.struct("cut", "threshold")))).scalar()
 
 
-def _even_cuts(ranges: int):
-    """Cut i, from 1 to ``ranges`` - 1, has the rank i * n / ranges, rounded down."""
+def even_cuts(ranges: int, start: int = 1):
+    """Cut i, from ``start`` to ``ranges`` - 1, has the rank i * n / ranges, rounded down."""
     def wanted(before: Column, upto: Column, n: Column) -> Column:
         def reached(rank: Column) -> Column:  # the first cut at or behind a rank
             return F.call_function("div", rank * F.lit(ranges) + n - 1, n)
 
-        first, behind = F.greatest(reached(before), F.lit(1)), F.least(reached(upto), F.lit(ranges))
+        first, behind = F.greatest(reached(before), F.lit(start)), F.least(reached(upto), F.lit(ranges))
         return F.when(first < behind, F.sequence(first, behind - 1)).otherwise(
             F.array().cast("array<bigint>"))
 
@@ -110,7 +110,7 @@ def balanced_ranges(values: DataFrame, value: str, ranges: int, out: str = "_ran
     ``value`` holds doubles, each once. The limits are values at exact ranks, so the spread of the
     values plays no part; one number per range comes to the driver.
     """
-    limits = values_at_ranks(values, value, [], _even_cuts(ranges)).select("value").collect()
+    limits = values_at_ranks(values, value, [], even_cuts(ranges)).select("value").collect()
     inner = sorted({r["value"] for r in limits if abs(r["value"]) != float("inf")})
     if not inner:
         return values.withColumn(out, F.lit(0.0))
