@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.llm.common import slices, work_parts
-from assayloom.llm.tokens import word_encoder
+from assayloom.llm.tokens import REMEMBERED_BYTES, word_encoder
 from assayloom.session import stored
 
 CAPACITY = 4096
@@ -44,9 +44,9 @@ BUCKET_ROWS = 1 << 17
 _PIECES = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _cutter(path: str, capacity: int):
+def _cutter(path: str, capacity: int, remembered: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encode = word_encoder(path, remembered)
         for batch in slices(batches):
             ids = encode([t or "" for t in batch.column("text").to_pylist()])
             rows = []
@@ -64,10 +64,12 @@ def _cutter(path: str, capacity: int):
     return cut
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED_BYTES
+) -> DataFrame:
     """Each document's ids and the end id, cut where longer than ``capacity``."""
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        _cutter(path, capacity), _PIECES
+        _cutter(path, capacity, remembered), _PIECES
     )
 
 
@@ -312,10 +314,13 @@ def ranked(rows: DataFrame, n_rows: int) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED_BYTES
+) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A worker keeps
+    known pieces of text in about ``remembered`` bytes until it ends."""
     rows = stored(
-        pieces(docs, path, capacity).withColumn("row_id", F.monotonically_increasing_id()),
+        pieces(docs, path, capacity, remembered).withColumn("row_id", F.monotonically_increasing_id()),
         "pieces",
     )
     # At most ``capacity`` counts come to the driver.

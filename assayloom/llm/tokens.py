@@ -44,14 +44,15 @@ def _cut(piece: str) -> int:
 class PieceEncoder(dict):
     """Ids of pieces, as bytes of unsigned 32-bit numbers; a piece not met yet is encoded on the way.
 
-    ``encode`` maps a string to its ids. Once half the room is taken, the pieces known are set
+    ``encode`` maps a string to its ids. Once half of ``remembered`` is taken, the pieces known are set
     aside; those that are met again come back, and the others are forgotten at the next turn. So
     frequent pieces stay, whatever the number of rare ones; results never depend on it.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, remembered: int = REMEMBERED_BYTES):
         super().__init__()
-        self._encode, self._aside, self._bytes = encode, {}, 0
+        self._encode, self._remembered = encode, remembered
+        self._aside, self._bytes = {}, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._aside.get(piece)
@@ -66,7 +67,7 @@ class PieceEncoder(dict):
 
     def ids(self, pieces_of: list[list[str]]) -> list[np.ndarray]:
         """For each text, given as its pieces, the ids."""
-        if self._bytes > REMEMBERED_BYTES // 2:
+        if self._bytes > self._remembered // 2:
             self._aside, self._bytes = dict(self), 0
             self.clear()
         get = self.__getitem__
@@ -120,12 +121,13 @@ def word_pieces(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str):
+def word_encoder(path: str, remembered: int = REMEMBERED_BYTES):
     """Function from texts to arrays of ids, by the word vocabulary at ``path``.
 
-    Kept for the life of a worker, so later tasks know the pieces of earlier ones.
+    Kept for the life of a worker, so later tasks know the pieces of earlier ones; they take about
+    ``remembered`` bytes.
     """
     tokenizer = load_tokenizer(path)
 
-    encoder = PieceEncoder(letters_first(tokenizer, lambda p: p == p.lower()))
+    encoder = PieceEncoder(letters_first(tokenizer, lambda p: p == p.lower()), remembered)
     return lambda texts: encoder.ids([word_pieces(t) for t in texts])

@@ -42,9 +42,13 @@ def one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, word_vocabulary())
+    return packing.pack_documents(docs, word_vocabulary(), remembered=REMEMBERED_BYTES)
 
 
+#: Bytes of known pieces that a Python worker of the pipeline keeps: the same workers serve all stages, and
+#: what a stage leaves in them stays until they end.
+REMEMBERED_BYTES = 24 << 20
+
 STAGES = [
     ("quality", good_documents),
     ("language", known_languages),

@@ -81,3 +81,27 @@ def test_remembered_pieces_change_nothing():
     tokenizer, encode = load_tokenizer(word_vocabulary()), word_encoder(word_vocabulary())
     want = [e.ids for e in tokenizer.encode_batch(made, add_special_tokens=False)]
     assert [ids.tolist() for ids in encode(made)] == want
+
+
+def test_what_a_worker_remembers_stays_small():
+    import tracemalloc
+
+    import corpus_pipeline
+
+    encode = word_encoder(word_vocabulary(), corpus_pipeline.REMEMBERED_BYTES)
+    encode(["first"])
+    tracemalloc.start()
+    for at in range(0, 300_000, 3000):
+        encode([" ".join(f"w{i:x}" for i in range(at, at + 3000))])
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 2 * corpus_pipeline.REMEMBERED_BYTES <= 48 << 20
+
+
+def test_ids_do_not_depend_on_what_is_remembered():
+    texts = [" ".join(f"word{i * j % 97}" for i in range(200)) for j in range(40)]
+    plain = word_encoder(word_vocabulary())(texts)
+    forgetful = word_encoder(word_vocabulary(), 1 << 10)
+    for _ in range(2):
+        for one, ids in zip(texts, plain):
+            assert forgetful([one])[0].tolist() == ids.tolist()
