@@ -1,4 +1,4 @@
-"""Cross-validation of linear models from sums: one pass over the rows, whatever the folds and trials.
+"""Linear models from sums: one pass over the rows, whatever the folds and trials.
 
 Least squares, with or without a penalty, sees its rows only through their count, means and covariances. A fold's
 train rows have the sums of the other folds, so all folds and all trials follow from one set of sums per fold. The
@@ -54,16 +54,37 @@ class Moments:
         return Moments(n, self.mean + away * (other.n / n),
                        self.products + other.products + np.outer(away, away) * (self.n * other.n / n))
 
+    @property
+    def finite(self) -> bool:
+        return bool(np.isfinite(self.mean).all() and np.isfinite(self.products).all())
+
     @property
     def covariance(self) -> np.ndarray:
         return self.products / self.n
 
+    @property
+    def std(self) -> np.ndarray:
+        """Population deviations; 0 for a constant, whose variance is nothing but rounding."""
+        variance = np.diag(self.covariance)
+        return np.sqrt(np.where(variance > 1e-24 * self.mean**2, variance, 0.0))
+
+    def correlated(self, threshold: float) -> set[int]:
+        """Features j with a feature i < j whose |r| is above the threshold; constants have no r."""
+        std = self.std[:-1]
+        scale = np.where(std > 0, std, np.inf)
+        r = np.abs(self.covariance[:-1, :-1] / np.outer(scale, scale))
+        return set(np.flatnonzero((np.triu(r, 1) > threshold).any(0)).tolist())
+
+    def moved(self, kept: list[int], centres: np.ndarray, divisors: np.ndarray) -> Moments:
+        """Moments of (x - centre) / divisor of the numbers in ``kept``."""
+        return Moments(self.n, (self.mean[kept] - centres) / divisors,
+                       self.products[np.ix_(kept, kept)] / np.outer(divisors, divisors))
+
     def same_rows(self, spark: SparkSession) -> DataFrame:
         """(features, label, weight): twice as many rows as numbers in one, with these means and covariances."""
         covariance = self.covariance
-        # A constant has no variance but for rounding.
-        varies = np.diag(covariance) > 1e-24 * self.mean**2
-        std = np.sqrt(np.where(varies, np.diag(covariance), 0.0))
+        std = self.std
+        varies = std > 0
         scale = np.where(varies, std, 1.0)
         values, vectors = np.linalg.eigh(covariance / np.outer(scale, scale) * np.outer(varies, varies))
         away = (vectors * np.sqrt(np.maximum(values, 0.0) * len(std))).T * std
@@ -110,23 +131,52 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"fold": table.column("fold").slice(0, 1), "sums": pa.array(total, pa.binary())})
 
 
-def fold_moments(rows: DataFrame, array: Column, label: str, fold_col: str) -> dict[int, Moments] | None:
-    """Moments of every fold; ``array`` is the features as a column of doubles. Rows without features, label or
-    fold do not count. None if the vectors are too wide."""
+def _added_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sum of what comes, of which one is held; empty if one is (of vectors too wide)."""
+    total, wide = None, False
+    for batch in batches:
+        for sums in batch.column(0):
+            wide = wide or not sums.as_py()
+            if not wide:
+                own = Moments.from_bytes(sums.as_py())
+                total = own if total is None else total + own
+    if wide or total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([b"" if wide else total.to_bytes()], pa.binary())], ["sums"])
+
+
+def _sums(rows: DataFrame, array: Column, label: str, fold: Column) -> DataFrame:
+    """(fold, sums) of every task and fold. Rows without features, label or fold do not count."""
     label_value = F.col(label).cast("double")
     made = rows.where(label_value.isNotNull()).select(
-        F.col(fold_col).cast("int").alias("fold"), F.concat(array, F.array(label_value)).alias("z"),
+        fold.cast("int").alias("fold"), F.concat(array, F.array(label_value)).alias("z"),
     ).where(F.col("fold").isNotNull() & F.col("z").isNotNull())
-    found = made.mapInArrow(_summed, "fold int, sums binary").groupBy("fold").applyInArrow(
+    return made.mapInArrow(_summed, "fold int, sums binary")
+
+
+def fold_moments(rows: DataFrame, array: Column, label: str, fold_col: str) -> dict[int, Moments] | None:
+    """Moments of every fold; ``array`` is the features as a column of doubles. Rows without features, label or
+    fold do not count. None if the vectors are too wide."""
+    found = _sums(rows, array, label, F.col(fold_col)).groupBy("fold").applyInArrow(
         _added, "fold int, sums binary").collect()
     if any(r["fold"] == -1 for r in found):
         return None
     moments = {r["fold"]: Moments.from_bytes(r["sums"]) for r in found}
-    if not all(np.isfinite(m.products).all() for m in moments.values()):
+    if not all(m.finite for m in moments.values()):
         raise ValueError("features and labels must be finite numbers")
     return moments
 
 
+def row_moments(rows: DataFrame, array: Column, label: str) -> Moments | None:
+    """Moments of all rows that have features and label. A task sends one set of sums, four tasks add these up and four
+    reach the driver. None if there are no rows, the vectors are too wide or a number is not finite."""
+    parts = [r["sums"] for r in _sums(rows, array, label, F.lit(0)).select("sums").repartition(4).mapInArrow(
+        _added_on, "sums binary").collect()]
+    if not parts or not all(parts):
+        return None
+    total = reduce(Moments.__add__, map(Moments.from_bytes, sorted(parts)))
+    return total if total.finite else None
+
+
 def held_out_r2(spark: SparkSession, moments: dict[int, Moments]) -> Callable[[dict], float]:
     """Mean over the folds of the r2 of a fit on the other folds, as a function of its parameters."""
     if len(moments) < 2:

@@ -19,6 +19,11 @@ from assayloom.operators.scale import CorrelationPrune, RobustScale
 from assayloom.settings import CORRELATION_THRESHOLD
 
 
+#: Vectors of up to so many positions are scaled position by position in Spark's own code; wider ones go
+#: through a kernel.
+NARROW = 64
+
+
 def as_array(df: DataFrame, column: str) -> Column:
     if isinstance(df.schema[column].dataType, VectorUDT):
         return vector_to_array(F.col(column))
@@ -42,6 +47,8 @@ class PruneModel(Model, _InOut, DefaultParamsReadable, DefaultParamsWritable):
     removed = Param(Params._dummy(), "removed", "names removed", TypeConverters.toListString)
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        if not self.getOrDefault("removed"):
+            return df.withColumn(self.getOutputCol(), as_vector(df, self.getInputCol()))
         made = df.withColumn("_v", as_vector(df, self.getInputCol()))
         slicer = VectorSlicer(
             inputCol="_v", outputCol=self.getOutputCol(), indices=self.getOrDefault("kept"))
@@ -81,9 +88,16 @@ class RobustModel(Model, _InOut, DefaultParamsReadable, DefaultParamsWritable):
     divisors = Param(Params._dummy(), "divisors", "divisors", TypeConverters.toListFloat)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        scaled = scaled_vector(
-            as_array(df, self.getInputCol()), self.getOrDefault("medians"), self.getOrDefault("divisors"))
-        return df.withColumn(self.getOutputCol(), array_to_vector(scaled))
+        medians, divisors = self.getOrDefault("medians"), self.getOrDefault("divisors")
+        if len(medians) > NARROW:
+            scaled = scaled_vector(as_array(df, self.getInputCol()), medians, divisors)
+            return df.withColumn(self.getOutputCol(), array_to_vector(scaled))
+        made = df.withColumn("_a", as_array(df, self.getInputCol()))
+        numbers = F.array(*[
+            (F.get("_a", F.lit(i)) - F.lit(m)) / F.lit(d) for i, (m, d) in enumerate(zip(medians, divisors))])
+        wrong = F.raise_error(F.lit(f"a vector of {len(medians)} numbers is wanted"))
+        scaled = F.when(F.size("_a") == len(medians), numbers).when(F.col("_a").isNotNull(), wrong)
+        return made.withColumn(self.getOutputCol(), array_to_vector(scaled)).drop("_a")
 
 
 class ScaleRobust(Estimator, _InOut, DefaultParamsReadable, DefaultParamsWritable):

@@ -107,7 +107,10 @@ def constant_table(spark: SparkSession, columns: dict[str, tuple[str, list]]) ->
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """For heavy work per row: the rows hashed over ``spark.sql.shuffle.partitions`` tasks."""
+    """For heavy work per row: the rows hashed over ``spark.sql.shuffle.partitions`` tasks, unless ``df``, a
+    scan, has a task for every core by itself."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, key)
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -56,3 +57,43 @@ def test_folds_without_sums_keep_the_general_path(spark):
         cross_validate(rows.where("fold = 1"), "x", "y")
     with pytest.raises(ValueError, match="finite"):
         cross_validate(rows.withColumn("y", F.lit(float("nan"))), "x", "y")
+
+
+def test_linear_training_passes_its_rows_once_for_the_fit(spark):
+    """Sums give the same label scale, pruning and model as Spark's own passes over the rows."""
+    from assayloom.operators.scale import StandardScale
+    from assayloom.plans.training import Y_SCALED, train_regressor
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 5)) * [1, 10, 0.1, 3, 1] + [0, 100, 5, 0, 0]
+    x[:, 3] = 2 * x[:, 0] + rng.normal(size=600) * 1e-3
+    x[:, 4] = 7.0
+    y = x @ [1, 0.5, -8, 0, 0] + rng.normal(size=600)
+    made = spark.createDataFrame(
+        [(i, [float(v) for v in a], float(b), "val" if i % 7 == 0 else "train")
+         for i, (a, b) in enumerate(zip(x, y))], "k long, features array<double>, y double, split string")
+    names = [f"f{i}" for i in range(5)]
+    for params in ({"regParam": 0.0}, {"regParam": 0.05, "elasticNetParam": 0.4}):
+        trained = train_regressor(made, "features", "y", "linear", params=params, names=names)
+        train = made.where("split = 'train'")
+        scale = StandardScale.fit(train, "y")
+        plain = Pipeline(stages=[*feature_pipeline("features", names), make_regressor("linear", params)]).fit(
+            train.withColumn(Y_SCALED, scale.scaled(F.col("y"))))
+        assert trained.metadata["removed_features"] == ["f3"]
+        assert trained.pipeline.stages[-1].numFeatures == 4
+        assert np.isclose(trained.y_scale.std, scale.std) and np.isclose(trained.y_scale.mean, scale.mean)
+        got = trained.pipeline.stages[-1].coefficients.toArray()
+        assert np.allclose(got, plain.stages[-1].coefficients.toArray(), atol=1e-6)
+        assert "ArrowEvalPython" not in trained.score(made)._jdf.queryExecution().executedPlan().toString()
+        # The solver saw a few weighted rows, not the table.
+        assert trained.pipeline.stages[-1].summary.numInstances < 20
+
+
+def test_narrow_scaling_rejects_other_widths(spark):
+    from assayloom.plans.stages import RobustModel
+
+    model = RobustModel()._set(inputCol="v", outputCol="s", medians=[1.0, 2.0], divisors=[2.0, 4.0])
+    got = model.transform(spark.createDataFrame([([3.0, 10.0],)], "v array<double>")).first()
+    assert got["s"].toArray().tolist() == [1.0, 2.0]
+    with pytest.raises(Exception, match="2 numbers"):
+        model.transform(spark.createDataFrame([([1.0],)], "v array<double>")).collect()
