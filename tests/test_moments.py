@@ -97,3 +97,34 @@ def test_narrow_scaling_rejects_other_widths(spark):
     assert got["s"].toArray().tolist() == [1.0, 2.0]
     with pytest.raises(Exception, match="2 numbers"):
         model.transform(spark.createDataFrame([([1.0],)], "v array<double>")).collect()
+
+
+def test_boosted_trees_see_a_repeated_row_once(spark):
+    """Counted rows give the trees of the rows themselves."""
+    from pyspark.ml import Pipeline
+
+    from assayloom.operators.scale import StandardScale
+    from assayloom.plans.training import Y_SCALED, train_regressor
+
+    cells = [(float(a), float(b), float(a > 3) * 5 + a * b) for a in range(8) for b in range(6)]
+    made = spark.createDataFrame(
+        [([a, b], y, split) for a, b, y in cells for split, times in (("train", 20), ("val", 5))
+         for _ in range(times + int(a))], "x array<double>, y double, split string").repartition(4).localCheckpoint()
+    params = {"maxIter": 5, "maxDepth": 3}
+    trained = train_regressor(made, "x", "y", "gbt", params=params)
+    model = trained.pipeline.stages[-1]
+    train = made.where("split <> 'test'").withColumn("_is_val", F.col("split") == "val")
+    scale = StandardScale.fit(made.where("split = 'train'"), "y")
+    regressor = make_regressor("gbt", {**model_params(params)}).setValidationIndicatorCol("_is_val")
+    plain = Pipeline(stages=[*trained.pipeline.stages[:-1], regressor]).fit(
+        train.withColumn(Y_SCALED, scale.scaled(F.col("y"))))
+    assert model.getOrDefault("weightCol") == "_weight"
+    both = trained.pipeline.transform(made.dropDuplicates(["x"])).select("x", F.col("_y_predicted").alias("p")).join(
+        plain.transform(made.dropDuplicates(["x"])).select("x", "_y_predicted"), "x")
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("_y_predicted")))).first()[0] < 1e-9
+
+
+def model_params(params):
+    from assayloom.plans.training import PRESETS
+
+    return {**PRESETS["gbt"]["base"], **params}
