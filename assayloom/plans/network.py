@@ -1,7 +1,7 @@
 """A regression network trained by mini-batches over Spark.
 
-Rows are dealt to mini-batches by a hash of their key and the epoch. For one mini-batch every Arrow
-batch of rows gives one gradient, a task adds its gradients up, and what leaves the task has the
+Rows are stored once as blocks of numbers, and dealt to mini-batches by a hash of their key and the epoch.
+For one mini-batch a few blocks at a time give one gradient, a task adds its gradients up, and what leaves the task has the
 size of the network whatever the rows. The driver holds the weights and takes Adam's step; the weights
 travel to the tasks with the next job. Dropout masks and weights at the start come from the seed, so a
 run can be repeated.
@@ -105,20 +105,56 @@ def _summed(rows: DataFrame, size: int) -> np.ndarray:
     return np.sum([np.frombuffer(r["v"], float) for r in middle.collect()], axis=0)
 
 
-def _pass(rows: DataFrame, network: Network, weights: np.ndarray, settings: NetworkSettings, draw: int,
-          learns: bool) -> tuple[float, float, np.ndarray]:
-    """(rows, sum of squared errors, half its gradient) over ``rows`` (x, y); no gradient if not
-    ``learns``. Every batch of rows adds to the task's sums."""
-    size = 2 + (len(weights) if learns else 0)
+#: Bytes of a block, and blocks that give one gradient.
+BLOCK_BYTES, BLOCKS = 1 << 13, 32
+_BLOCK = "val boolean, width int, h binary, x binary, y binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (val, h, x, y) as blocks: the numbers of several rows in one, train and val rows apart."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = _matrix(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False)
+        h, val = batch.column("h").to_numpy(), batch.column("val").to_numpy(zero_copy_only=False)
+        made, rows = [], max(1, BLOCK_BYTES // (8 * (x.shape[1] + 2)))
+        for flag in (False, True):
+            own = np.flatnonzero(val == flag)
+            made += [(flag, x.shape[1], *(v[own[at:at + rows]].tobytes() for v in (h, x, y)))
+                     for at in range(0, len(own), rows)]
+        types = (pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*made), types)], ["val", "width", "h", "x", "y"])
+
+
+def dealt(h: np.ndarray, epoch: int, batches: int) -> np.ndarray:
+    """Mini-batch of each row in an epoch, by a hash of its 64-bit hash."""
+    mixed = h.view(np.uint64) + np.uint64((epoch + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return (mixed ^ (mixed >> np.uint64(31))) % np.uint64(batches)
+
+
+def _pass(blocks: DataFrame, network: Network, weights: np.ndarray, settings: NetworkSettings,
+          draw: int | None = None) -> tuple[float, float, np.ndarray]:
+    """(rows, sum of squared errors, half its gradient) over mini-batch ``draw``, counted through the epochs; over
+    all rows and without the gradient if it is None. A few blocks at a time add to the task's sums."""
+    size = 2 + (len(weights) if draw is not None else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rng = np.zeros(size), None
-        for batch in batches:
-            if not batch.num_rows:
+        total = np.zeros(size)
+        for part in (b.slice(at, BLOCKS) for b in batches for at in range(0, b.num_rows, BLOCKS)):
+            h, x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), t)
+                       for c, t in (("h", np.int64), ("x", float), ("y", float)))
+            x = x.reshape(len(y), -1)
+            if draw is not None:
+                epoch, batch = divmod(draw, settings.batches)
+                own = dealt(h, epoch, settings.batches) == batch
+                x, y = x[own], y[own]
+            if not len(y):
                 continue
-            x, y = _matrix(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False)
             total[0] += len(y)
-            if learns:
+            if draw is not None:
                 # The same rows draw the same mask on a retry.
                 rng = np.random.default_rng([settings.seed, draw, int(abs(x[0]).sum() * 1e6) % (1 << 31)])
                 loss, gradient = network.gradient(weights, x, y, settings.dropout, rng)
@@ -128,7 +164,7 @@ def _pass(rows: DataFrame, network: Network, weights: np.ndarray, settings: Netw
             total[1] += loss
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    total = _summed(rows.select("x", "y").mapInArrow(run, "v binary"), size)
+    total = _summed(blocks.select("h", "x", "y").mapInArrow(run, "v binary"), size)
     return total[0], total[1], total[2:]
 
 
@@ -199,10 +235,11 @@ def train_network(
     y_scale = StandardScale.fit(usable.where(F.col(split_col) == "train"), label)
     rows = stored(usable.select(
         (F.col(split_col) == "val").alias("val"), F.xxhash64(key).alias("h"),
-        F.col(features).cast("array<double>").alias("x"), y_scale.scaled(F.col(label)).alias("y"),
-    ), "network-rows")
+        F.col(features).cast("array<double>").alias("x"),
+        y_scale.scaled(F.col(label)).cast("double").alias("y"),
+    ).mapInArrow(_blocks, _BLOCK), "network-rows")
     train, val = rows.where("not val"), rows.where("val")
-    network = Network((train.agg(F.max(F.size("x"))).first()[0], *settings.hidden, 1))
+    network = Network((train.agg(F.max("width")).first()[0], *settings.hidden, 1))
     weights, adam = network.start(settings.seed), None
     adam = Adam(len(weights))
     made, best, waited = TrainedNetwork(network, weights, y_scale), None, 0
@@ -211,12 +248,11 @@ def train_network(
         rate = settings.rate * settings.step_factor ** (epoch // settings.step_size)
         lost = seen = 0.0
         for batch in range(settings.batches):
-            part = train.where(F.pmod(F.xxhash64("h", F.lit(epoch)), F.lit(settings.batches)) == batch)
-            n, loss, gradient = _pass(part, network, weights, settings, epoch * settings.batches + batch, True)
+            n, loss, gradient = _pass(train, network, weights, settings, epoch * settings.batches + batch)
             if n:
                 weights = adam.move(weights, 2 * gradient / n, rate, settings.decay)
                 lost, seen = lost + loss, seen + n
-        n, loss, _ = _pass(val, network, weights, settings, 0, False) if watched else (seen, lost, None)
+        n, loss, _ = _pass(val, network, weights, settings) if watched else (seen, lost, None)
         made.history.append((epoch, lost / seen, loss / n))
         if best is None or loss / n < best:
             best, waited, made.weights = loss / n, 0, weights

@@ -146,3 +146,25 @@ def test_network_search(spark, curve):
     assert len(trials) == 4 and made.network.sizes[1] in (16, 24)
     best = min(trials, key=lambda t: t.score)
     assert best.params["rate"] == 0.01 or all(t.params["rate"] != 0.01 for t in trials)
+
+
+def test_network_rows_are_stored_as_blocks(spark, monkeypatch):
+    """Few wide rows reach the tasks of a mini-batch, and every row is in one mini-batch of an epoch."""
+    import numpy as np
+
+    from assayloom.plans import network
+
+    made, kept = network.stored, []
+    monkeypatch.setattr(network, "stored", lambda df, name: kept.append(made(df, name)) or kept[-1])
+    rows = spark.range(4000).selectExpr(
+        "id as k", "array(id / 4000.0D, 1.0D) as x", "id / 2000.0D as y", "if(id % 5 = 0, 'val', 'train') as split")
+    got = network.train_network(rows.coalesce(2), "x", "y", "k", network.NetworkSettings(
+        hidden=(4,), epochs=2, batches=3, dropout=0.0))
+    assert len(got.history) == 2
+    blocks = kept[0].collect()
+    assert len(blocks) < 40 and sum(len(b.y) for b in blocks) == 8 * 4000
+    h = np.concatenate([np.frombuffer(b.h, np.int64) for b in blocks])
+    for epoch in range(2):
+        sizes = np.bincount(network.dealt(h, epoch, 3).astype(int), minlength=3)
+        assert sizes.sum() == 4000 and sizes.min() > 1200
+    assert (network.dealt(h, 0, 3) != network.dealt(h, 1, 3)).mean() > 0.5
