@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import cached_property
+from functools import cached_property, lru_cache
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ try:  # CPython's own MD5 takes a third of the time of OpenSSL's for texts as sh
 except ImportError:
     from hashlib import md5
 
-_BREAK = re.compile(r"[ \t\n\r\f]+")
+_BREAK, _BYTE_BREAK = re.compile(r"[ \t\n\r\f]+"), re.compile(rb"[ \t\n\r\f]+")
 #: Texts whose bytes are looked up together; a byte that no UTF-8 text holds parts them.
 SLICE, _APART = 256, b"\xff"
 
@@ -30,31 +31,44 @@ def split_tokens(text: str) -> list[str]:
     return [t for t in _BREAK.split(text) if t]
 
 
+def split_words(data: bytes) -> list[bytes]:
+    """The tokens of a text in UTF-8; ``bytes.split`` also breaks at vertical tabs, which are no break here."""
+    return [w for w in _BYTE_BREAK.split(data) if w] if b"\v" in data else data.split()
+
+
+@lru_cache(64)
+def _codes(characters: str) -> np.ndarray:
+    return np.frombuffer(characters.encode(), np.uint8).astype(np.intp)
+
+
 class TextFacts:
     """What the statistics of one text share; each is found when first asked for."""
 
     def __init__(self, text: str):
         self.text = text
+        self.data = text.encode("utf-8", "replace")
 
     @cached_property
-    def tokens(self) -> list[str]:
-        return split_tokens(self.text)
+    def words(self) -> list[bytes]:
+        return split_words(self.data)
 
     @cached_property
     def distinct(self) -> int:
-        return len(set(self.tokens))
+        return len(set(self.words))
 
     @cached_property
     def lengths(self) -> list[int]:
-        return [len(t) for t in self.tokens]
+        if len(self.data) == len(self.text):
+            return list(map(len, self.words))
+        return [len(w.decode()) for w in self.words]
 
     @cached_property
     def bytes_counted(self) -> np.ndarray:
-        return np.bincount(np.frombuffer(self.text.encode("utf-8", "replace"), np.uint8), minlength=256)
+        return np.bincount(np.frombuffer(self.data, np.uint8), minlength=256)
 
     def count(self, characters: str) -> int:
         """How many of these ASCII characters the text has."""
-        return int(self.bytes_counted[list(characters.encode())].sum())
+        return int(self.bytes_counted[_codes(characters)].sum())
 
     def share(self, characters: str) -> float:
         return self.count(characters) / len(self.text) if self.text else 0.0
@@ -64,10 +78,10 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _PUNCTUATION = "".join(map(chr, (*range(33, 48), *range(58, 65))))
 STATISTICS = {
     "n_chars": lambda t: len(t.text),
-    "n_tokens": lambda t: len(t.tokens),
+    "n_tokens": lambda t: len(t.words),
     "n_distinct_tokens": lambda t: t.distinct,
-    "distinct_share": lambda t: t.distinct / len(t.tokens) if t.tokens else 0.0,
-    "mean_token_length": lambda t: sum(t.lengths) / len(t.tokens) if t.tokens else 0.0,
+    "distinct_share": lambda t: t.distinct / len(t.words) if t.words else 0.0,
+    "mean_token_length": lambda t: sum(t.lengths) / len(t.words) if t.words else 0.0,
     "max_token_length": lambda t: max(t.lengths, default=0),
     "n_lines": lambda t: t.count("\n") + 1,
     "digit_share": lambda t: t.share("0123456789"),
@@ -84,16 +98,24 @@ STATISTICS = {
 }
 
 
-def gram_bits(tokens: Sequence[str], radius: int, width: int) -> np.ndarray:
-    """Sorted positions of the bits that all 1..(radius+1)-grams set, by their MD5's first 40 bits."""
-    words = [t.encode("utf-8", "replace") for t in tokens]
-    grams = set(words)
+_digest = methodcaller("digest")
+
+
+@lru_cache(1 << 16)
+def _word_digest(word: bytes) -> bytes:
+    return md5(word).digest()
+
+
+def gram_bits(text: bytes, radius: int, width: int) -> np.ndarray:
+    """Sorted positions of the bits that all 1..(radius+1)-grams of a text in UTF-8 set, by their MD5's first
+    40 bits."""
+    words, grams = split_words(text), set()
     for n in range(2, radius + 2):
         grams.update(map(b" ".join, zip(*(words[i:] for i in range(n)))))
-    if not grams:
-        return np.zeros(0, np.int64)
-    digests = np.frombuffer(b"".join([md5(g).digest() for g in grams]), ">u8")[::2]
-    return np.unique((digests >> np.uint64(24)) % np.uint64(width)).astype(np.int64)
+    made = b"".join([*map(_word_digest, set(words)), *map(_digest, map(md5, grams))])
+    row = np.zeros(width, bool)
+    row[(np.frombuffer(made, ">u8")[::2] >> np.uint64(24)) % np.uint64(width)] = True
+    return np.flatnonzero(row)
 
 
 class KeyTable:
@@ -177,7 +199,7 @@ def text_statistics(text: Column, names: Sequence[str]) -> Column:
 def text_bits(text: Column, radius: int, width: int) -> Column:
     """Array of the sorted positions of the bits that the tokens' n-grams set."""
     def of(texts, kept, n):
-        return _lists([gram_bits(split_tokens(t), radius, width) for t in texts], kept, n, pa.int32())
+        return _lists([gram_bits(t.encode("utf-8", "replace"), radius, width) for t in texts], kept, n, pa.int32())
 
     def run(texts: pa.Array) -> pa.Array:
         return _sliced(texts, of)
@@ -209,7 +231,7 @@ def text_vector(
         source = [t.lower() for t in texts] if lower else texts
         dense = np.zeros((len(source), width + table.width), np.float32)
         for row, t in zip(dense, source):
-            row[gram_bits(split_tokens(t), radius, width)] = 1
+            row[gram_bits(t.encode("utf-8", "replace"), radius, width)] = 1
         dense[:, width:] = table.found(source)
         return pa.StructArray.from_arrays(
             [_lists(facts, kept, n, pa.float64()), _lists(list(dense), kept, n, pa.float32())],
@@ -222,6 +244,31 @@ def text_vector(
     return F.arrow_udf(run, made)(text)
 
 
+def linear_value(
+    vector: Column, width: int, kept: Sequence[int], centres: Sequence[float], divisors: Sequence[float],
+    weights: Sequence[float], intercept: float,
+) -> Column:
+    """The line's value for the scaled entries at ``kept``; null for a null vector. A vector of another width, or
+    with a null entry, is an error."""
+    kept, centre, divisor = np.array(kept, int), np.array(centres, float), np.array(divisors, float)
+    slopes = np.array(weights, float)
+
+    def run(vectors: pa.Array) -> pa.Array:
+        valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+        made = np.zeros(len(vectors))
+        flat = vectors.drop_null().flatten()
+        if flat.null_count:
+            raise ValueError("a vector has a null entry")
+        values = flat.to_numpy(zero_copy_only=False).reshape(int(valid.sum()), width)
+        at = np.flatnonzero(valid)
+        for i in range(0, len(at), 1024):
+            some = values[i:i + 1024, kept].astype(float)
+            made[at[i:i + 1024]] = ((some - centre) / divisor) @ slopes + intercept
+        return pa.array(made, mask=~valid)
+
+    return F.arrow_udf(run, T.DoubleType())(vector)
+
+
 def scaled_vector(vector: Column, centres: Sequence[float], divisors: Sequence[float]) -> Column:
     """(x - centre) / divisor for each position; an entry that is null stays null. A vector of another
     width is an error."""

@@ -26,15 +26,16 @@ class RobustScale:
     divisors: tuple[float, ...]
 
     @classmethod
-    def fit(cls, train: DataFrame, features: str) -> RobustScale:
+    def fit(cls, train: DataFrame, features: str, width: int | None = None) -> RobustScale:
         """(x - median) / IQR; a position with zero IQR keeps divisor 1, so rare set bits stay.
 
-        A position without any number is left as it is (median 0, divisor 1).
+        A position without any number is left as it is (median 0, divisor 1). A known ``width`` saves a pass.
         """
         fitted = vector_quantile_fit(train, features).collect()
         if not fitted:
             raise ValueError("cannot fit a scaler on no rows")
-        width = train.agg(F.max(F.size(features))).first()[0]
+        if width is None:
+            width = train.agg(F.max(F.size(features))).first()[0]
         medians, divisors = [0.0] * width, [1.0] * width
         for row in fitted:
             low, mid, high = row["quantiles"]

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayloom.functions.numeric import double_of_image, with_double_image
 from assayloom.session import stored
@@ -113,11 +114,19 @@ def _histogram(shift: int, held: dict[int, np.ndarray] | None):
                 own = batch.column(0).slice(at, 512).drop_null()
                 sizes = pa.compute.list_value_length(own).to_numpy(zero_copy_only=False)
                 flat = own.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-                pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                good = ~np.isnan(flat)
-                image, pos = images(flat[good]), pos[good]
-                order = np.lexsort((image, pos))
-                image, pos = image[order], pos[order]
+                if len(sizes) and sizes.min() == sizes.max() and not np.isnan(flat).any():
+                    # Whole vectors: each wanted position is sorted by itself.
+                    wide = flat.reshape(len(sizes), -1)
+                    places = np.arange(wide.shape[1]) if held is None else np.array(
+                        sorted(p for p in held if p < wide.shape[1]), np.int64)
+                    image = np.sort(images(np.ascontiguousarray(wide[:, places].T)), axis=1).ravel()
+                    pos = np.repeat(places, len(sizes))
+                else:
+                    pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    good = ~np.isnan(flat)
+                    image, pos = images(flat[good]), pos[good]
+                    order = np.lexsort((image, pos))
+                    image, pos = image[order], pos[order]
                 if held is not None:
                     inside = np.zeros(len(pos), bool)
                     outer = image >> np.int64(shift + DIGIT)
@@ -158,7 +167,10 @@ def vector_values_at_ranks(df: DataFrame, features: str, wanted: Wanted) -> Data
     The vectors stay whole: a task sends one row per position and cell, however many vectors it has.
     The cells held at a level, one per position and cut at most, travel with the tasks.
     """
-    vectors = df.select(F.col(features).cast("array<double>").alias("v"))
+    numbers = F.col(features)
+    if not isinstance(df.schema[features].dataType.elementType, T.FloatType):  # the kernel widens floats
+        numbers = numbers.cast("array<double>")
+    vectors = df.select(numbers.alias("v"))
 
     def cells(shift: int, held: DataFrame | None) -> DataFrame:
         inside = None

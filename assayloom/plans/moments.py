@@ -113,10 +113,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = pa.compute.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
             if sizes.min() != sizes.max():
                 raise ValueError("all feature vectors must have the same length")
-            if sizes[0] > WIDEST:
+            if sizes[0] >= WIDEST:
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""])], ["fold", "sums"])
                 return
-            z = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(folds), -1)
+            z = np.column_stack([
+                part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(folds), -1),
+                part.column(2).to_numpy(zero_copy_only=False)])
             for fold in np.unique(folds).tolist():
                 own = Moments.of(z[folds == fold])
                 held[fold] = held[fold] + own if fold in held else own
@@ -146,15 +148,14 @@ def _added_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sums(rows: DataFrame, array: Column, label: str, fold: Column) -> DataFrame:
     """(fold, sums) of every task and fold. Rows without features, label or fold do not count."""
-    label_value = F.col(label).cast("double")
-    made = rows.where(label_value.isNotNull()).select(
-        fold.cast("int").alias("fold"), F.concat(array, F.array(label_value)).alias("z"),
-    ).where(F.col("fold").isNotNull() & F.col("z").isNotNull())
-    return made.mapInArrow(_summed, "fold int, sums binary")
+    made = rows.select(
+        fold.cast("int").alias("fold"), array.alias("x"), F.col(label).cast("double").alias("y"))
+    known = F.col("fold").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
+    return made.where(known).mapInArrow(_summed, "fold int, sums binary")
 
 
 def fold_moments(rows: DataFrame, array: Column, label: str, fold_col: str) -> dict[int, Moments] | None:
-    """Moments of every fold; ``array`` is the features as a column of doubles. Rows without features, label or
+    """Moments of every fold; ``array`` is the features as a column of numbers. Rows without features, label or
     fold do not count. None if the vectors are too wide."""
     found = _sums(rows, array, label, F.col(fold_col)).groupBy("fold").applyInArrow(
         _added, "fold int, sums binary").collect()

@@ -13,6 +13,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayloom.functions.kernels import scaled_vector
 from assayloom.operators.scale import CorrelationPrune, RobustScale
@@ -30,6 +31,14 @@ def as_array(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("array<double>")
 
 
+def as_numbers(df: DataFrame, column: str) -> Column:
+    """For kernels, which widen floats by themselves: the array as it is, or as doubles."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType):
+        return F.col(column)
+    return as_array(df, column)
+
+
 def as_vector(df: DataFrame, column: str) -> Column:
     if isinstance(df.schema[column].dataType, VectorUDT):
         return F.col(column)

@@ -158,11 +158,12 @@ def _set_mark(spark: SparkSession, path: str, mark: dict) -> None:
 
 
 def _store(spark: SparkSession, path: str, buckets: int | None = None) -> tuple[str, dict]:
-    """Table name and mark of the store; a new store gets ``buckets`` (the shuffle partitions)."""
+    """Table name and mark of the store; a new store gets ``buckets`` (the shuffle partitions, four a core at least)."""
     mark = _mark(spark, path)
     if mark is None:
         mark = _new_generation(
-            spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+            spark, buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                  4 * spark.sparkContext.defaultParallelism))
         _set_mark(spark, path, mark)
     return _registered(spark, path, mark), mark
 
@@ -212,8 +213,10 @@ def upsert_features(
     features = features or FeatureSet()
     name, mark = _store(spark, path, buckets)
     missing = uncached_keys(df, text, spark.table(name), version=features.version)
-    # Checked on the text: a filter on the vector would compute every vector twice.
-    valid = missing.where(not_blank(F.col(text))).repartition(mark["buckets"], "key")
+    # Checked on the text: a filter on the vector would compute every vector twice. The key is made anew, else Spark
+    # takes the join's partitions for the asked ones and merges them to about a task a core, of unlike sizes.
+    valid = missing.where(not_blank(F.col(text))).select(
+        content_key(F.col(text), features.version).alias("key"), text).repartition(mark["buckets"], "key")
     _append(spark, name, assemble_features(valid, text, features))
     return read_features(spark, path)
 

@@ -72,3 +72,11 @@ def test_grams_are_hashed_without_the_set_up_of_long_messages():
         took[name] = min(best)
         assert made == [hashlib.md5(g).digest() for g in grams]
     assert took["kernel"] < 0.8 * took["hashlib"]
+
+
+def test_words_of_bytes_are_the_tokens(spark):
+    from assayloom.functions.kernels import TextFacts, split_words
+
+    for text in [*some_texts(200), "a\vb c\x1cd\x85e f\tg", "\v", " \f", ""]:
+        assert [w.decode() for w in split_words(text.encode())] == split_tokens(text)
+        assert TextFacts(text).lengths == [len(t) for t in split_tokens(text)]

@@ -128,3 +128,27 @@ def model_params(params):
     from assayloom.plans.training import PRESETS
 
     return {**PRESETS["gbt"]["base"], **params}
+
+
+def test_wide_vectors_are_scored_by_one_kernel(spark):
+    """Pruning, scaling and the line of wide float vectors in one pass, equal to the stages of the pipeline."""
+    from assayloom.plans.training import RAW_PREDICTION, train_regressor
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, size=(300, 70)).astype(np.float32)
+    x[:, 5] = 2 * x[:, 1]
+    made = spark.createDataFrame(
+        [(i, [float(v) for v in a], float(a[1] - a[9]), "val" if i % 7 == 0 else "train") for i, a in enumerate(x)],
+        "k long, features array<float>, y double, split string")
+    trained = train_regressor(made, "features", "y", "linear", names=[f"f{i}" for i in range(70)])
+    assert trained.metadata["removed_features"] == ["f5"] and trained.metadata["input_dim"] == 69
+    got = {r.k: r.predicted for r in trained.score(made).collect()}
+    staged = trained.pipeline.transform(made).select("k", trained.y_scale.restored(F.col(RAW_PREDICTION)).alias("p"))
+    want = {r.k: r.p for r in staged.collect()}
+    assert len(got) == 300 and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    plan = trained.score(made)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "UDF(" not in plan
+    empty = made.limit(3).withColumn("features", F.when(F.col("k") > 0, F.col("features")))
+    assert trained.score(empty).where("predicted is null").count() == empty.where("features is null").count()
+    with pytest.raises(Exception, match="reshape"):
+        trained.score(made.withColumn("features", F.slice("features", 1, 9))).collect()

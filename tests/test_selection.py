@@ -108,3 +108,15 @@ def test_heavy_tails_fall_into_ranges_of_one_size(spark):
     got = running_totals(frame.unionAll(frame), "x", {"n": F.lit(1)}, descending=True).collect()
     for i, r in enumerate(sorted(got, key=lambda r: -r.x), 1):
         assert (r.n, r.cum_n, r.all_n) == (2, 2 * i, 2 * len(values))
+
+
+def test_ranks_of_whole_float_vectors_take_the_short_way(spark):
+    """Vectors of one width without NaN, as floats: ranks equal those of each position sorted by itself."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(0, 2, (1500, 4)), rng.normal(size=(1500, 3)) * 1e6, -np.ones((1500, 1)) * 0.0], 1)
+    x = x.astype(np.float32)
+    frame = spark.createDataFrame([([float(v) for v in r],) for r in x], "v array<float>").repartition(3)
+    got = {r.pos: r.quantiles for r in vector_quantile_fit(frame, "v").collect()}
+    want = np.quantile(x.astype(float), [0.25, 0.5, 0.75], axis=0).T
+    assert sorted(got) == list(range(8))
+    assert all(np.allclose(got[p], want[p], rtol=1e-12) for p in got)
