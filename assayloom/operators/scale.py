@@ -26,12 +26,13 @@ class RobustScale:
     divisors: tuple[float, ...]
 
     @classmethod
-    def fit(cls, train: DataFrame, features: str, width: int | None = None) -> RobustScale:
+    def fit(cls, train: DataFrame, features: str, width: int | None = None, weight: str | None = None) -> RobustScale:
         """(x - median) / IQR; a position with zero IQR keeps divisor 1, so rare set bits stay.
 
         A position without any number is left as it is (median 0, divisor 1). A known ``width`` saves a pass.
+        A row counts ``weight`` times.
         """
-        fitted = vector_quantile_fit(train, features).collect()
+        fitted = vector_quantile_fit(train, features, weight=weight).collect()
         if not fitted:
             raise ValueError("cannot fit a scaler on no rows")
         if width is None:

@@ -111,7 +111,9 @@ def _histogram(shift: int, held: dict[int, np.ndarray] | None):
         parts, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                own = batch.column(0).slice(at, 512).drop_null()
+                own, times = batch.column(0).slice(at, 512), batch.column(1).slice(at, 512).to_numpy()
+                times = times[own.is_valid().to_numpy(zero_copy_only=False)]
+                own = own.drop_null()
                 sizes = pa.compute.list_value_length(own).to_numpy(zero_copy_only=False)
                 flat = own.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
                 if len(sizes) and sizes.min() == sizes.max() and not np.isnan(flat).any():
@@ -119,14 +121,19 @@ def _histogram(shift: int, held: dict[int, np.ndarray] | None):
                     wide = flat.reshape(len(sizes), -1)
                     places = np.arange(wide.shape[1]) if held is None else np.array(
                         sorted(p for p in held if p < wide.shape[1]), np.int64)
-                    image = np.sort(images(np.ascontiguousarray(wide[:, places].T)), axis=1).ravel()
+                    image = images(np.ascontiguousarray(wide[:, places].T))
                     pos = np.repeat(places, len(sizes))
+                    if (times == 1).all():
+                        image, times = np.sort(image, axis=1).ravel(), np.ones(image.size, np.int64)
+                    else:
+                        order = np.argsort(image, axis=1)
+                        image, times = np.take_along_axis(image, order, 1).ravel(), times[order].ravel()
                 else:
                     pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     good = ~np.isnan(flat)
-                    image, pos = images(flat[good]), pos[good]
+                    image, pos, times = images(flat[good]), pos[good], np.repeat(times, sizes)[good]
                     order = np.lexsort((image, pos))
-                    image, pos = image[order], pos[order]
+                    image, pos, times = image[order], pos[order], times[order]
                 if held is not None:
                     inside = np.zeros(len(pos), bool)
                     outer = image >> np.int64(shift + DIGIT)
@@ -135,13 +142,14 @@ def _histogram(shift: int, held: dict[int, np.ndarray] | None):
                         if p + 1 < len(edges):
                             a, b = edges[p], edges[p + 1]
                             inside[a:b] = np.isin(outer[a:b], held[p])
-                    image, pos = image[inside], pos[inside]
+                    image, pos, times = image[inside], pos[inside], times[inside]
                 if not len(pos):
                     continue
                 cell = image >> np.int64(shift)
                 first = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (cell[1:] != cell[:-1])]))
                 last = np.append(first[1:], len(pos))
-                parts.append(np.stack([pos[first], cell[first], last - first, image[first], image[last - 1]], axis=1))
+                parts.append(np.stack([pos[first], cell[first], np.add.reduceat(times, first), image[first],
+                                       image[last - 1]], axis=1))
                 size += len(first)
                 if size > 1 << 20:
                     parts = [_merged(parts)]
@@ -161,8 +169,8 @@ def _cell_batch(rows: np.ndarray) -> pa.RecordBatch:
         ["pos", "_cell", "_in", "_lo", "_hi"])
 
 
-def vector_values_at_ranks(df: DataFrame, features: str, wanted: Wanted) -> DataFrame:
-    """pos, cut, _n, ``value`` for every position of a vector column.
+def vector_values_at_ranks(df: DataFrame, features: str, wanted: Wanted, weight: str | None = None) -> DataFrame:
+    """pos, cut, _n, ``value`` for every position of a vector column; a row counts ``weight`` times.
 
     The vectors stay whole: a task sends one row per position and cell, however many vectors it has.
     The cells held at a level, one per position and cut at most, travel with the tasks.
@@ -170,7 +178,8 @@ def vector_values_at_ranks(df: DataFrame, features: str, wanted: Wanted) -> Data
     numbers = F.col(features)
     if not isinstance(df.schema[features].dataType.elementType, T.FloatType):  # the kernel widens floats
         numbers = numbers.cast("array<double>")
-    vectors = df.select(numbers.alias("v"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    vectors = df.select(numbers.alias("v"), times.cast("bigint").alias("times"))
 
     def cells(shift: int, held: DataFrame | None) -> DataFrame:
         inside = None

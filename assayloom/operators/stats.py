@@ -53,17 +53,22 @@ def feature_summary(df: DataFrame, features: str) -> DataFrame:
 def regression_metrics(
     df: DataFrame, y: str, prediction: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """n, mse, rmse, r2 over rows that have both values; one pass, combined on the map side."""
-    error = F.col(y) - F.col(prediction)
+    """n, mse, rmse, r2 over rows that have both values; one pass, combined on the map side.
+
+    Rows without one drop out of the sums: a filter on the prediction would compute it twice.
+    """
+    error = F.col("_error")
     sums = (
-        df.where(F.col(y).isNotNull() & F.col(prediction).isNotNull())
+        df.select(*by, F.col(y).alias("_label"), (F.col(y) - F.col(prediction)).alias("_error"))
         .groupBy(*by)
         .agg(
-            F.count("*").alias("n"),
+            F.count(error).alias("n"),
             F.sum(error * error).alias("_sse"),
-            F.var_pop(y).alias("_var"),
+            F.var_pop(F.when(error.isNotNull(), F.col("_label"))).alias("_var"),
         )
     )
+    if by:
+        sums = sums.where("n > 0")
     mse = F.try_divide(F.col("_sse"), F.col("n"))
     return sums.select(
         *by,
@@ -220,11 +225,12 @@ def quantile_fit(
 
 
 def vector_quantile_fit(
-    df: DataFrame, features: str, probs: Sequence[float] = (0.25, 0.5, 0.75)
+    df: DataFrame, features: str, probs: Sequence[float] = (0.25, 0.5, 0.75), weight: str | None = None
 ) -> DataFrame:
-    """(pos, n, quantiles) of every position of a vector column, without a row per number."""
+    """(pos, n, quantiles) of every position of a vector column, without a row per number; a row counts
+    ``weight`` (a whole number of) times."""
     probs = sorted(probs)
-    found = vector_values_at_ranks(df, features, _quantile_cuts(probs))
+    found = vector_values_at_ranks(df, features, _quantile_cuts(probs), weight)
     return _interpolated(found, ["pos"], probs)
 
 

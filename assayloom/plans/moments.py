@@ -36,9 +36,10 @@ class Moments:
     products: np.ndarray
 
     @classmethod
-    def of(cls, rows: np.ndarray) -> Moments:
-        mean = rows.mean(0)
-        return cls(float(len(rows)), mean, (rows - mean).T @ (rows - mean))
+    def of(cls, rows: np.ndarray, weights: np.ndarray) -> Moments:
+        n = float(weights.sum())
+        mean = weights @ rows / n
+        return cls(n, mean, ((rows - mean) * weights[:, None]).T @ (rows - mean))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Moments:
@@ -119,8 +120,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             z = np.column_stack([
                 part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(folds), -1),
                 part.column(2).to_numpy(zero_copy_only=False)])
+            weights = part.column(3).to_numpy(zero_copy_only=False)
             for fold in np.unique(folds).tolist():
-                own = Moments.of(z[folds == fold])
+                own = Moments.of(z[folds == fold], weights[folds == fold])
                 held[fold] = held[fold] + own if fold in held else own
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(held), pa.int32()), pa.array([m.to_bytes() for m in held.values()], pa.binary())],
@@ -146,10 +148,11 @@ def _added_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([b"" if wide else total.to_bytes()], pa.binary())], ["sums"])
 
 
-def _sums(rows: DataFrame, array: Column, label: str, fold: Column) -> DataFrame:
+def _sums(rows: DataFrame, array: Column, label: str, fold: Column, weight: str | None = None) -> DataFrame:
     """(fold, sums) of every task and fold. Rows without features, label or fold do not count."""
+    times = F.lit(1.0) if weight is None else F.col(weight)
     made = rows.select(
-        fold.cast("int").alias("fold"), array.alias("x"), F.col(label).cast("double").alias("y"))
+        fold.cast("int").alias("fold"), array.alias("x"), F.col(label).cast("double").alias("y"), times.alias("w"))
     known = F.col("fold").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
     return made.where(known).mapInArrow(_summed, "fold int, sums binary")
 
@@ -167,10 +170,10 @@ def fold_moments(rows: DataFrame, array: Column, label: str, fold_col: str) -> d
     return moments
 
 
-def row_moments(rows: DataFrame, array: Column, label: str) -> Moments | None:
-    """Moments of all rows that have features and label. A task sends one set of sums, four tasks add these up and four
+def row_moments(rows: DataFrame, array: Column, label: str, weight: str | None = None) -> Moments | None:
+    """Moments of all rows that have features and label, each counted ``weight`` times. A task sends one set of sums, four tasks add these up and four
     reach the driver. None if there are no rows, the vectors are too wide or a number is not finite."""
-    parts = [r["sums"] for r in _sums(rows, array, label, F.lit(0)).select("sums").repartition(4).mapInArrow(
+    parts = [r["sums"] for r in _sums(rows, array, label, F.lit(0), weight).select("sums").repartition(4).mapInArrow(
         _added_on, "sums binary").collect()]
     if not parts or not all(parts):
         return None

@@ -152,3 +152,59 @@ def test_wide_vectors_are_scored_by_one_kernel(spark):
     assert trained.score(empty).where("predicted is null").count() == empty.where("features is null").count()
     with pytest.raises(Exception, match="reshape"):
         trained.score(made.withColumn("features", F.slice("features", 1, 9))).collect()
+
+
+def test_a_weight_counts_a_row_several_times(spark):
+    """Sums and ranks of weighted rows are those of the rows repeated."""
+    from assayloom.operators.scale import RobustScale
+    from assayloom.plans.moments import row_moments
+
+    rng = np.random.default_rng(4)
+    few = spark.createDataFrame(
+        [([float(v) for v in a], float(a[0]), float(n)) for a, n in
+         zip(rng.normal(size=(40, 3)).round(1), rng.integers(1, 9, 40))], "a array<double>, y double, w double")
+    ragged = few.union(spark.createDataFrame([([1.0, float("nan"), 2.0], 1.0, 3.0), (None, 1.0, 2.0)], few.schema))
+    for rows in (few, ragged):
+        many = rows.select("a", "y", F.explode(F.array_repeat(F.lit(1.0), F.col("w").cast("int"))).alias("w"))
+        one, other = RobustScale.fit(rows.repartition(3), "a", weight="w"), RobustScale.fit(many, "a")
+        assert one == other
+    many = few.select("a", "y", F.explode(F.array_repeat(F.lit(1.0), F.col("w").cast("int"))).alias("w"))
+    one, other = row_moments(few, F.col("a"), "y", "w"), row_moments(many, F.col("a"), "y")
+    assert one.n == other.n and np.allclose(one.mean, other.mean) and np.allclose(one.products, other.products)
+
+
+def test_boosted_trees_prepare_from_counted_rows(spark, monkeypatch):
+    """Label scale, pruning and ranks see the counted rows, not the table, and are those of the table."""
+    from assayloom.operators.scale import RobustScale, StandardScale
+    from assayloom.plans import training
+
+    made = spark.range(4000).select(
+        F.expr("array(id % 4 + 0.0D, id % 5 + 0.0D, 2 * (id % 4) + 1.0D)").alias("x"),
+        F.expr("id % 4 + 0.5D * (id % 5)").alias("y"),
+        F.expr("CASE WHEN id % 10 = 0 THEN 'test' WHEN id % 10 = 1 THEN 'val' ELSE 'train' END").alias("split"))
+    seen, fit = [], RobustScale.fit.__func__
+    monkeypatch.setattr(RobustScale, "fit", classmethod(
+        lambda cls, df, *a, **k: (seen.append(df.count()), fit(cls, df, *a, **k))[1]))
+    trained = training.train_regressor(made, "x", "y", "gbt", params={"maxIter": 2}, names=["a", "b", "c"])
+    assert seen and max(seen) < 100
+    train = made.where("split = 'train'")
+    scale = StandardScale.fit(train, "y")
+    plain = fit(RobustScale, train.select(F.slice("x", 1, 2).alias("x")), "x")
+    stages = trained.pipeline.stages
+    assert trained.metadata["removed_features"] == ["c"] and np.isclose(trained.y_scale.std, scale.std)
+    assert stages[1].getOrDefault("medians") == list(plain.medians)
+    assert stages[1].getOrDefault("divisors") == list(plain.divisors)
+
+
+def test_unpruned_arrays_are_scored_without_a_detour(spark):
+    from assayloom.plans.training import RAW_PREDICTION, train_regressor
+
+    made = spark.range(400).select(
+        F.expr("array(id % 4 + 0.0D, id % 5 + 0.0D)").alias("x"), F.expr("id % 4 + 0.5D * (id % 5)").alias("y"),
+        F.expr("CASE WHEN id % 10 = 1 THEN 'val' ELSE 'train' END").alias("split"))
+    trained = train_regressor(made, "x", "y", "gbt", params={"maxIter": 2})
+    plan = trained.score(made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 2  # the vector for the trees, and the trees
+    both = trained.pipeline.transform(trained.score(made))
+    away = F.abs(F.col("predicted") - trained.y_scale.restored(F.col(RAW_PREDICTION)))
+    assert both.agg(F.max(away)).first()[0] < 1e-12

@@ -166,3 +166,19 @@ def test_positions_without_numbers_keep_their_place(spark):
         [([float(i), None, 10.0 * i],) for i in range(5)], "v array<double>")
     scaler = RobustScale.fit(rows, "v")
     assert scaler.medians == (2.0, 0.0, 20.0) and scaler.divisors == (2.0, 1.0, 20.0)
+
+
+def test_metrics_compute_a_prediction_once(spark):
+    from assayloom.operators.stats import regression_metrics
+
+    rows = spark.createDataFrame(
+        [("a", 1.0, 2.0), ("a", 3.0, 3.0), ("a", None, 1.0), ("a", 9.0, None), ("b", 1.0, None)],
+        "g string, y double, x double")
+    twice = F.udf(lambda x: x, "double")
+    made = regression_metrics(rows.withColumn("p", twice("x")), "y", "p", ["g"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1
+    got = made.collect()
+    assert [(r.g, r.n, r.mse, r.r2) for r in got] == [("a", 2, 0.5, 0.5)]
+    whole = regression_metrics(rows.where("g = 'b'").withColumn("p", F.col("x")), "y", "p").first()
+    assert (whole.n, whole.mse) == (0, None)
