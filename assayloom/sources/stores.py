@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,12 +201,12 @@ def lookup_features(spark: SparkSession, path: str, keys: DataFrame) -> DataFram
 
 def upsert_features(
     df: DataFrame, text: str, path: str, features: FeatureSet | None = None,
-    buckets: int | None = None,
+    buckets: int | None = None, valid: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Computes and appends what the store lacks for the texts of ``df``; returns the store.
 
     Stored keys are never recomputed, and of the store only keys are read to find what is missing. Texts
-    that are invalid have no vector and are not stored. The new texts, not their longer vectors, are
+    that are invalid (by default blank ones) have no vector and are not stored. The new texts, not their longer vectors, are
     dealt to the buckets; each task then writes one file.
     """
     spark = df.sparkSession
@@ -215,18 +215,19 @@ def upsert_features(
     missing = uncached_keys(df, text, spark.table(name), version=features.version)
     # Checked on the text: a filter on the vector would compute every vector twice. The key is made anew, else Spark
     # takes the join's partitions for the asked ones and merges them to about a task a core, of unlike sizes.
-    valid = missing.where(not_blank(F.col(text))).select(
+    wanted = missing.where((valid or not_blank)(F.col(text))).select(
         content_key(F.col(text), features.version).alias("key"), text).repartition(mark["buckets"], "key")
-    _append(spark, name, assemble_features(valid, text, features))
+    _append(spark, name, assemble_features(wanted, text, features, valid=valid))
     return read_features(spark, path)
 
 
 def featurise_with_store(
-    df: DataFrame, text: str, row_id: str, path: str, features: FeatureSet | None = None
+    df: DataFrame, text: str, row_id: str, path: str, features: FeatureSet | None = None,
+    valid: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Rows with ``features`` from the store, computing misses once; null if invalid."""
     features = features or FeatureSet()
-    upsert_features(df, text, path, features)
+    upsert_features(df, text, path, features, valid=valid)
     keys = df.where(F.col(text).isNotNull()).select(content_key(F.col(text), features.version).alias("key"))
     wanted = lookup_features(df.sparkSession, path, keys)
     found = cached_lookup(df, text, wanted, spread_by=[row_id], version=features.version)
